@@ -16,5 +16,8 @@ from fleetlens.catalog import (  # noqa: F401  (importing registers the queries)
     streams,
 )
 from fleetlens.catalog.registry import ORACLES, QUERIES
+from fleetlens.catalog.sql import expand
 
-__all__ = ["ORACLES", "QUERIES"]
+TWINS = {name: expand(sql) for name, sql in ORACLES.items()}
+
+__all__ = ["QUERIES", "TWINS"]

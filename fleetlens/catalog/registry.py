@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.catalog.sql import expand
 from fleetlens.catalog.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {}  # as written; their views are put in front once all modules are loaded
 
 
 def present(df: DataFrame) -> DataFrame:
@@ -44,7 +43,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Callable[[Tables],
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = run
         if oracle is not None:
-            ORACLES[name] = expand(oracle)
+            ORACLES[name] = oracle
         return fn
 
     return register

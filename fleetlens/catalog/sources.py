@@ -161,9 +161,8 @@ def messages(t: Tables) -> DataFrame:
 )
 def inference_log_stream(t: Tables) -> DataFrame:
     """The log table as a stream, normalised and appended to a table."""
-    raw = t.spark.readStream.schema(t.read("events").schema).parquet(f"{t.sf_dir}/events.parquet")
     path = fresh_folder(t.spark, "log-stream")
-    ingest_logs(logs_of(events_of(raw)), path + "/table", path + "/checkpoint").awaitTermination()
+    ingest_logs(logs_of(events_of(t.stream("events"))), path + "/table", path + "/checkpoint").awaitTermination()
     return t.spark.read.parquet(path + "/table").select("event_id", "timestamp", "model_id", F.to_date("day").alias("day"), "level")
 
 

@@ -138,7 +138,10 @@ def expand(sql: str) -> str:
 
     visit(sql)
     parts = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in needed)
-    return f"WITH {parts}\n{sql}" if parts else sql
+    if not parts:
+        return sql
+    own = sql.lstrip()
+    return f"WITH {parts},\n{own[5:]}" if own.startswith("WITH ") else f"WITH {parts}\n{sql}"
 
 
 def r6(x: str) -> str:

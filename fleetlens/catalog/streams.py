@@ -19,8 +19,7 @@ from fleetlens.streaming.alert_state import hold_stream
 
 
 def _events(t: Tables) -> DataFrame:
-    schema = t.read("events").schema
-    return events_of(t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/events.parquet"))
+    return events_of(t.stream("events"))
 
 
 @query(

@@ -37,6 +37,11 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stream(self, name: str) -> DataFrame:
+        """A table as a stream. The pattern lets the table be one file or a folder of files."""
+        schema = self.read(name).schema
+        return self.spark.readStream.schema(schema).parquet(f"{self.sf_dir}/{name}.parque[t]")
+
     @cached_property
     def events(self) -> DataFrame:
         return events_of(self.read("events"))
