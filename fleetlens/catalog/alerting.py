@@ -118,7 +118,7 @@ view("slow_evals", f"SELECT model_id, e, value FROM {ratio_sql(300, 15)} WHERE v
 )
 def rule_high_latency(t: Tables) -> DataFrame:
     name, severity, limit, held = RULE_HIGH_LATENCY
-    above = tsexpr.latency_avg(t.sums, t.counts, ["model_id"]).where(F.col("value") > limit)
+    above = tsexpr.latency_avg(t.latency, ["model_id"]).where(F.col("value") > limit)
     states = alerts.hold(above, ["model_id"], held)
     return states.select(F.lit(name).alias("alertname"), F.lit(severity).alias("severity"), "model_id", "ts", "since", "state")
 
@@ -220,7 +220,7 @@ def rule_host_resources(t: Tables) -> DataFrame:
 
     memory = tsexpr.memory_percent(gauge((F.lit(100.0) - F.col("memory_percent")) * 1e8), gauge(F.lit(1e10)))
     disk = tsexpr.disk_percent(gauge((F.lit(100.0) - F.col("disk_percent")) * 5e9, mount), gauge(F.lit(5e11), mount))
-    network = tsexpr.network_bytes(t.received, t.sent, ["instance"], LOOKBACK, STEP).withColumn("value", F.col("value") * 1e3)
+    network = tsexpr.network_bytes(t.network, ["instance"], LOOKBACK, STEP).withColumn("value", F.col("value") * 1e3)
     frames = {
         "cpu_percent": tsexpr.cpu_percent(t.idle, LOOKBACK, STEP),
         "memory_percent": memory,
@@ -248,7 +248,7 @@ view(
 
 
 def _held(t: Tables) -> DataFrame:
-    above = tsexpr.latency_avg(t.sums, t.counts, ["model_id"], WIDE, GRID).where("value > 1.0")
+    above = tsexpr.latency_avg(t.latency, ["model_id"], WIDE, GRID).where("value > 1.0")
     return alerts.hold(above, ["model_id"], 1800, step=GRID)
 
 
@@ -329,7 +329,7 @@ def repeat_suppress(t: Tables) -> DataFrame:
 )
 def inhibit(t: Tables) -> DataFrame:
     """Models fall into two alert names; a critical one silences the warnings of its name."""
-    above = tsexpr.latency_avg(t.sums, t.counts, ["model_id"], WIDE, GRID).withColumn(
+    above = tsexpr.latency_avg(t.latency, ["model_id"], WIDE, GRID).withColumn(
         "alertname", F.concat(F.lit("Latency"), (F.col("model_id") < "m4").cast("string"))
     )
 

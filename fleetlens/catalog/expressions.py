@@ -49,7 +49,7 @@ def increase(t: Tables) -> DataFrame:
     FROM {rate('sums', 'model_id')} s JOIN {rate('counts', 'model_id')} c USING (model_id, e) WHERE c.value <> 0""",
 )
 def latency_avg(t: Tables) -> DataFrame:
-    return tsexpr.latency_avg(t.sums, t.counts, ["model_id"])
+    return tsexpr.latency_avg(t.latency, ["model_id"])
 
 
 _rates = rate("buckets", "model_id, le", 21600, 3600)
@@ -146,7 +146,7 @@ def disk_percent(t: Tables) -> DataFrame:
     GROUP BY instance, e""",
 )
 def network_bytes(t: Tables) -> DataFrame:
-    return tsexpr.network_bytes(t.received, t.sent, ["instance"])
+    return tsexpr.network_bytes(t.network, ["instance"])
 
 
 @query(

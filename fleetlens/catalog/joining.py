@@ -65,7 +65,10 @@ def vector_ratio(t: Tables) -> DataFrame:
 )
 def vector_sum(t: Tables) -> DataFrame:
     keys = ["instance", "device"]
-    return joins.vector_sum(tsexpr.rate(t.received, keys, 3600, 900), tsexpr.rate(t.sent, keys, 3600, 900), [*keys, "ts"])
+    received, sent = (
+        tsexpr.rate(t.network.withColumn("value", F.col(c)), keys, 3600, 900) for c in ("received", "sent")
+    )
+    return joins.vector_sum(received, sent, [*keys, "ts"])
 
 
 @query(

@@ -98,12 +98,12 @@ def collect_all_metrics(t: Tables) -> DataFrame:
     )
     frames = {
         "requests_total": tsexpr.instant(t.counts, ["model_id"], RANGE, STEP),
-        "latency_avg": tsexpr.latency_avg(t.sums, t.counts, ["model_id"], RANGE, STEP),
+        "latency_avg": tsexpr.latency_avg(t.latency, ["model_id"], RANGE, STEP),
         "latency_p95": tsexpr.histogram_quantile(bucket_rates, 0.95, ["model_id", "ts"]),
         "latency_p99": tsexpr.histogram_quantile(bucket_rates, 0.99, ["model_id", "ts"]),
         "cpu_usage_real": tsexpr.cpu_percent(t.idle, RANGE, STEP),
         "memory_usage_real": memory,
-        "network_io_real": tsexpr.network_bytes(t.received, t.sent, (), RANGE, STEP),
+        "network_io_real": tsexpr.network_bytes(t.network, (), RANGE, STEP),
     }
     shaped = []
     for name, frame in frames.items():

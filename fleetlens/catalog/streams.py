@@ -60,7 +60,7 @@ def alert_for_state(t: Tables) -> DataFrame:
     """True evaluations are written to a table, streamed back and followed per model."""
     spark = t.spark
     path = fresh_folder(spark, "hold")
-    above = tsexpr.latency_avg(t.sums, t.counts, ["model_id"], WIDE, GRID).where("value > 1.0")
+    above = tsexpr.latency_avg(t.latency, ["model_id"], WIDE, GRID).where("value > 1.0")
     above.select(F.col("model_id").alias("series"), F.unix_seconds("ts").alias("epoch")).write.parquet(path + "/in")
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)

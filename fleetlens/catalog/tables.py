@@ -81,6 +81,19 @@ class Tables:
         """Events with their number in the model, from 1."""
         return with_position(self.events, ["model_id"], "ts", ["ts", "event_id"], "n")
 
+    @cached_property
+    def latency(self) -> DataFrame:
+        """Latency sum and request count per model; both fall back after 49 requests."""
+        life = F.floor(F.col("n") / 50)
+        inside = W.partitionBy("model_id", "life").orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow)
+        return self.counted.withColumn("life", life).select(
+            "model_id",
+            "ts",
+            F.col("event_id").alias("id"),
+            (F.sum("cents").over(inside) / F.lit(5000.0)).alias("total"),
+            (F.col("n") % 50).cast("double").alias("count"),
+        )
+
     @cached_property
     def counts(self) -> DataFrame:
         """Request counter per model that falls back to 0 after 49."""
@@ -90,13 +103,7 @@ class Tables:
 
     @cached_property
     def sums(self) -> DataFrame:
-        """Latency sum counter per model that restarts together with the request counter."""
-        life = F.floor(F.col("n") / 50)
-        inside = W.partitionBy("model_id", "life").orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow)
-        total = F.sum("cents").over(inside) / F.lit(5000.0)
-        return self.counted.withColumn("life", life).select(
-            "model_id", "ts", F.col("event_id").alias("id"), total.alias("value")
-        )
+        return self.latency.select("model_id", "ts", "id", F.col("total").alias("value"))
 
     def _total(self, keys: list[str], amount: Column, scale: float) -> DataFrame:
         total = running(self.events.withColumn("_a", amount), keys, "ts", ["ts", "event_id"], {"_t": ("sum", F.col("_a"))})
@@ -114,12 +121,17 @@ class Tables:
         return self._total(["instance", "cpu"], F.col("cents"), 10000.0)
 
     @cached_property
-    def received(self) -> DataFrame:
-        return self._total(["instance", "device"], F.col("cents") * 100000, 1.0)
-
-    @cached_property
-    def sent(self) -> DataFrame:
-        return self._total(["instance", "device"], F.col("cents") * 50000, 1.0)
+    def network(self) -> DataFrame:
+        """Bytes received and sent per instance and device."""
+        total = running(self.events, ["instance", "device"], "ts", ["ts", "event_id"], {"_t": ("sum", F.col("cents"))})
+        return total.select(
+            "instance",
+            "device",
+            "ts",
+            F.col("event_id").alias("id"),
+            (F.col("_t") * 100000).cast("double").alias("received"),
+            (F.col("_t") * 50000).cast("double").alias("sent"),
+        )
 
     @cached_property
     def buckets(self) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetlens.functions.timeline import previous, running
-from fleetlens.operators.joins import vector_ratio, vector_sum
+from fleetlens.operators.joins import vector_ratio
 from fleetlens.schemas import EVAL_STEP, LATENCY_BUCKETS, RATE_RANGE
 
 
@@ -47,71 +47,84 @@ def instant(df: DataFrame, keys: Sequence[str], lookback: int = RATE_RANGE, step
     return _spread(latest, keys, lookback, step).select(*keys, F.timestamp_seconds("eval").alias("ts"), "value")
 
 
+def _delta(value: str) -> Column:
+    now, before = F.col(value), F.col(f"prev_{value}")
+    return F.when(before.isNotNull(), F.when(now < before, now).otherwise(now - before))
+
+
 def counter_delta(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Growth since the sample before; a drop means the counter restarted from 0. First sample: null."""
     with_prev = previous(df, keys, "ts", ["ts", "id"], ["value", "ts"])
-    delta = F.when(F.col("value") < F.col("prev_value"), F.col("value")).otherwise(F.col("value") - F.col("prev_value"))
-    return with_prev.withColumn("delta", F.when(F.col("prev_value").isNotNull(), delta)).drop("prev_value")
+    return with_prev.withColumn("delta", _delta("value")).drop("prev_value")
 
 
-def _ranges(df: DataFrame, keys: Sequence[str], range_seconds: int, step: int) -> DataFrame:
-    """Per series and evaluation: growth inside the range, its samples and its first and last time.
+def growth(
+    df: DataFrame, keys: Sequence[str], values: Sequence[str] = ("value",), range_seconds: int = RATE_RANGE, step: int = EVAL_STEP
+) -> DataFrame:
+    """Per series and evaluation: growth of each counter column inside the range, samples, elapsed seconds.
 
-    Growth counts differences between two samples that both lie in the range.
+    Growth counts differences between two samples that both lie in the range. Samples are summed per
+    step first; the step rows, bounded by time span / step per series, are then brought together by
+    series and summed per evaluation in place, without another shuffle.
     """
     if range_seconds % step:
         raise ValueError("range must be a multiple of step")
-    place = F.struct("ts", "id")
-    steps = (
-        counter_delta(df, keys)
-        .groupBy(*keys, _first_eval("ts", step).alias("e"))
-        .agg(
-            F.sum(F.coalesce("delta", F.lit(0.0))).alias("inc"),
-            F.min_by(F.coalesce("delta", F.lit(0.0)), place).alias("entry"),
-            F.count("*").alias("n"),
-            F.min("ts").alias("t0"),
-            F.max("ts").alias("t1"),
-        )
+    first = _first_eval("ts", step)
+    samples = previous(df, keys, "ts", ["ts", "id"], [*values, "ts"]).withColumn("e", first)
+    # The first sample of a step has its predecessor in an earlier step; that predecessor may be out of range.
+    enters = F.coalesce(F.unix_seconds("prev_ts") < F.col("e") - step, F.lit(True))
+    sums = []
+    for v in values:
+        delta = F.coalesce(_delta(v), F.lit(0.0))
+        sums.append(F.sum(F.when(~enters, delta).otherwise(0.0)).alias(f"_in_{v}"))
+        sums.append(F.sum(F.when(enters, delta).otherwise(0.0)).alias(f"_enter_{v}"))
+    steps = samples.groupBy(*keys, "e").agg(
+        *sums,
+        F.max(F.when(enters, F.unix_micros("prev_ts"))).alias("_before"),
+        F.count("*").alias("n"),
+        F.min(F.unix_micros("ts")).alias("t0"),
+        F.max(F.unix_micros("ts")).alias("t1"),
     )
-    evals = _spread(steps, keys, range_seconds, step)
-    own = F.col("eval") == F.col("e")
-    # A stretched copy of a row only marks an evaluation; its sums count once, at the row itself.
-    marked = evals.select(
-        *keys, "eval", *[F.when(own, F.col(c)).alias(c) for c in ("inc", "entry", "n", "t0", "t1")]
-    )
-    frame = W.partitionBy(*keys).orderBy("eval").rangeBetween(-(range_seconds - step), 0)
-    return marked.select(
-        *keys,
-        "eval",
-        (F.sum("inc").over(frame) - F.first("entry", ignorenulls=True).over(frame)).alias("growth"),
-        F.sum("n").over(frame).alias("n"),
-        ((F.unix_micros(F.max("t1").over(frame)) - F.unix_micros(F.min("t0").over(frame))) / F.lit(1e6)).alias("elapsed"),
+    by_series = steps.repartition(*keys) if keys else steps
+    last = F.col("e") + range_seconds - step
+    evals = by_series.select("*", F.explode(F.sequence("e", last, F.lit(step))).alias("eval"))
+    in_range = F.col("_before") >= (F.col("eval") - range_seconds) * 1000000
+    grown = [
+        F.sum(F.col(f"_in_{v}") + F.when(in_range, F.col(f"_enter_{v}")).otherwise(0.0)).alias(v) for v in values
+    ]
+    return evals.groupBy(*keys, "eval").agg(
+        *grown, F.sum("n").alias("n"), ((F.max("t1") - F.min("t0")) / F.lit(1e6)).alias("elapsed")
     )
 
 
 def increase(df: DataFrame, keys: Sequence[str], range_seconds: int = RATE_RANGE, step: int = EVAL_STEP) -> DataFrame:
     """Growth of a counter over the range; needs two samples."""
-    return (
-        _ranges(df, keys, range_seconds, step)
-        .where("n >= 2")
-        .select(*keys, F.timestamp_seconds("eval").alias("ts"), F.col("growth").alias("value"))
-    )
+    grown = growth(df, keys, ["value"], range_seconds, step).where("n >= 2")
+    return grown.select(*keys, F.timestamp_seconds("eval").alias("ts"), "value")
 
 
-def rate(df: DataFrame, keys: Sequence[str], range_seconds: int = RATE_RANGE, step: int = EVAL_STEP) -> DataFrame:
-    """Growth per second between the first and last sample of the range."""
-    return (
-        _ranges(df, keys, range_seconds, step)
-        .where("n >= 2 AND elapsed > 0")
-        .select(*keys, F.timestamp_seconds("eval").alias("ts"), (F.col("growth") / F.col("elapsed")).alias("value"))
-    )
+def rate(
+    df: DataFrame,
+    keys: Sequence[str],
+    range_seconds: int = RATE_RANGE,
+    step: int = EVAL_STEP,
+    values: Sequence[str] = ("value",),
+) -> DataFrame:
+    """Growth per second between the first and last sample of the range, of one or more counter columns."""
+    grown = growth(df, keys, values, range_seconds, step).where("n >= 2 AND elapsed > 0")
+    per_second = [(F.col(v) / F.col("elapsed")).alias(v) for v in values]
+    return grown.select(*keys, F.timestamp_seconds("eval").alias("ts"), *per_second)
 
 
 def latency_avg(
-    sums: DataFrame, counts: DataFrame, keys: Sequence[str], range_seconds: int = RATE_RANGE, step: int = EVAL_STEP
+    df: DataFrame, keys: Sequence[str], range_seconds: int = RATE_RANGE, step: int = EVAL_STEP, total: str = "total", count: str = "count"
 ) -> DataFrame:
-    """rate(sum) / rate(count); no result where nothing was counted."""
-    return vector_ratio(rate(sums, keys, range_seconds, step), rate(counts, keys, range_seconds, step), [*keys, "ts"])
+    """rate(sum) / rate(count); no result where nothing was counted.
+
+    Both counters are columns of one sample table, as they are read together: one pass, no join.
+    """
+    rates = rate(df, keys, range_seconds, step, [total, count])
+    return rates.select(*keys, "ts", F.try_divide(total, count).alias("value")).where("value IS NOT NULL")
 
 
 def agg_by_label(df: DataFrame, by: Sequence[str], how: str = "sum") -> DataFrame:
@@ -184,12 +197,15 @@ def disk_percent(free: DataFrame, size: DataFrame, keys: Sequence[str] = ("insta
 
 
 def network_bytes(
-    received: DataFrame, sent: DataFrame, by: Sequence[str] = (), range_seconds: int = RATE_RANGE, step: int = EVAL_STEP
+    df: DataFrame,
+    by: Sequence[str] = (),
+    range_seconds: int = RATE_RANGE,
+    step: int = EVAL_STEP,
+    keys: Sequence[str] = ("instance", "device"),
 ) -> DataFrame:
-    """Receive plus transmit rate, summed over all instances or by label."""
-    keys = ["instance", "device"]
-    both = vector_sum(rate(received, keys, range_seconds, step), rate(sent, keys, range_seconds, step), [*keys, "ts"])
-    return agg_by_label(both, by)
+    """Receive plus transmit rate, summed over all instances or by label; both are columns ``received`` and ``sent``."""
+    rates = rate(df, keys, range_seconds, step, ["received", "sent"])
+    return agg_by_label(rates.withColumn("value", F.col("received") + F.col("sent")), by)
 
 
 def io_rate(snapshots: DataFrame, keys: Sequence[str] = ("model_id", "instance")) -> DataFrame:
