@@ -107,8 +107,8 @@ def override_latest(t: Tables) -> DataFrame:
 )
 def flat_from_latest(t: Tables) -> DataFrame:
     as_of = moment("2024-01-31")
-    now = forecast.flat_from_latest(t.metrics, as_of, tie=["event_id"]).withColumn("kind", F.lit("latest"))
-    past = forecast.flat_from_latest(t.metrics, as_of, anchors=5, points=3, tie=["event_id"]).withColumn("kind", F.lit("history"))
+    now = forecast.flat_from_latest(t.metrics, as_of, tie="event_id").withColumn("kind", F.lit("latest"))
+    past = forecast.flat_from_latest(t.metrics, as_of, anchors=5, points=3, tie="event_id").withColumn("kind", F.lit("history"))
     return now.unionByName(past)
 
 

@@ -159,4 +159,4 @@ def top_page(t: Tables) -> DataFrame:
     FROM metrics GROUP BY metric_name""",
 )
 def latest_value(t: Tables) -> DataFrame:
-    return joins.latest_value(t.metrics, ["metric_name"], tie=["event_id"])
+    return joins.latest_value(t.metrics, ["metric_name"], tie="event_id")

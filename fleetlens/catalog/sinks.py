@@ -79,7 +79,7 @@ view(
 
 def _flat(t: Tables) -> DataFrame:
     """Forecast of five points from the latest values, one row per model and time."""
-    rows = flat_from_latest(t.metrics, moment("2024-01-31"), tie=["event_id"])
+    rows = flat_from_latest(t.metrics, moment("2024-01-31"), tie="event_id")
     picked = [F.max(F.when(F.col("metric_name") == m, F.col("value"))).alias(m) for m in BASIC_METRICS]
     return rows.groupBy("model_id", "timestamp").agg(*picked)
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetlens.functions.timeline import running, with_position
+from fleetlens.functions.timeline import CHUNK, chunked, running, with_position
 from fleetlens.operators.clean import dedupe_mean, pivot_metrics
 from fleetlens.operators.tsexpr import histogram_build
 from fleetlens.schemas import BASIC_METRICS
@@ -79,7 +79,7 @@ class Tables:
     @cached_property
     def counted(self) -> DataFrame:
         """Events with their number in the model, from 1."""
-        return with_position(self.events, ["model_id"], "ts", ["ts", "event_id"], "n")
+        return with_position(chunked(self.events, "ts"), ["model_id"], "ts", ["ts", "event_id"], "n")
 
     @cached_property
     def latency(self) -> DataFrame:
@@ -92,22 +92,23 @@ class Tables:
             F.col("event_id").alias("id"),
             (F.sum("cents").over(inside) / F.lit(5000.0)).alias("total"),
             (F.col("n") % 50).cast("double").alias("count"),
+            CHUNK,
         )
 
     @cached_property
     def counts(self) -> DataFrame:
         """Request counter per model that falls back to 0 after 49."""
         return self.counted.select(
-            "model_id", "ts", F.col("event_id").alias("id"), (F.col("n") % 50).cast("double").alias("value")
+            "model_id", "ts", F.col("event_id").alias("id"), (F.col("n") % 50).cast("double").alias("value"), CHUNK
         )
 
     @cached_property
     def sums(self) -> DataFrame:
-        return self.latency.select("model_id", "ts", "id", F.col("total").alias("value"))
+        return self.latency.select("model_id", "ts", "id", F.col("total").alias("value"), CHUNK)
 
     def _total(self, keys: list[str], amount: Column, scale: float) -> DataFrame:
-        total = running(self.events.withColumn("_a", amount), keys, "ts", ["ts", "event_id"], {"_t": ("sum", F.col("_a"))})
-        return total.select(*keys, "ts", F.col("event_id").alias("id"), (F.col("_t") / F.lit(scale)).alias("value"))
+        total = running(chunked(self.events.withColumn("_a", amount), "ts"), keys, "ts", ["ts", "event_id"], {"_t": ("sum", F.col("_a"))})
+        return total.select(*keys, "ts", F.col("event_id").alias("id"), (F.col("_t") / F.lit(scale)).alias("value"), CHUNK)
 
     @cached_property
     def errors(self) -> DataFrame:
@@ -123,7 +124,7 @@ class Tables:
     @cached_property
     def network(self) -> DataFrame:
         """Bytes received and sent per instance and device."""
-        total = running(self.events, ["instance", "device"], "ts", ["ts", "event_id"], {"_t": ("sum", F.col("cents"))})
+        total = running(chunked(self.events, "ts"), ["instance", "device"], "ts", ["ts", "event_id"], {"_t": ("sum", F.col("cents"))})
         return total.select(
             "instance",
             "device",
@@ -131,6 +132,7 @@ class Tables:
             F.col("event_id").alias("id"),
             (F.col("_t") * 100000).cast("double").alias("received"),
             (F.col("_t") * 50000).cast("double").alias("sent"),
+            CHUNK,
         )
 
     @cached_property

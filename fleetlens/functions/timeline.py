@@ -4,23 +4,44 @@ A plain ``Window.partitionBy(series)`` sorts a whole series in one task. Here ea
 into time chunks, the window runs inside ``(series, chunk)``, and what a chunk inherits from the
 ones before it comes from a table with one row per chunk. Results equal those of the plain window.
 
+A frame that already carries the ``_chunk`` column (see ``chunked``) keeps its partitioning from one
+helper to the next, so several of them cost one shuffle of the rows.
+
 Key columns must not be null: the chunk table is joined back by equality.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CHUNK_SECONDS = 3600
+# A series with a third of 100 TB over a month has some 4 GB in five minutes: one task can sort that.
+CHUNK_SECONDS = 300
+CHUNK = "_chunk"
 BLOCK_ROWS = 10_000
 
 
-def chunk_of(ts: str, seconds: int = CHUNK_SECONDS) -> Column:
-    return F.floor(F.unix_seconds(F.col(ts)) / F.lit(seconds))
+def place(ts: str, tie: str | None = None) -> Column:
+    """The order of (time, tie) as one number, for ``max_by`` and ``min_by``.
+
+    A struct as ordering makes Spark sort all rows before it aggregates; a decimal has a fixed size
+    and is hash-aggregated. The tie is a whole number such as a row id.
+    """
+    micros = F.unix_micros(F.col(ts))
+    if tie is None:
+        return micros
+    return micros.cast("decimal(17,0)") * F.lit(Decimal(10**19)) + F.col(tie).cast("decimal(20,0)")
+
+
+def chunked(df: DataFrame, ts: str, seconds: int = CHUNK_SECONDS) -> DataFrame:
+    """Adds the time chunk of each row, unless it is there."""
+    if CHUNK in df.columns:
+        return df
+    return df.withColumn(CHUNK, F.floor(F.unix_seconds(F.col(ts)) / F.lit(seconds)))
 
 
 def running(
@@ -33,37 +54,27 @@ def running(
 ) -> DataFrame:
     """Running aggregates from the first row of a series up to the current one.
 
-    ``aggs`` maps an output name to ``(kind, column)``; kinds are sum, count, min, max and
-    last (last non-null value). ``order`` starts with ``ts`` and ends with a tie-breaker.
+    ``aggs`` maps an output name to ``(kind, column)``; kinds are sum, count, min and max.
+    ``order`` starts with ``ts`` and ends with a tie-breaker.
     """
-    chunked = df.withColumn("_chunk", chunk_of(ts, seconds))
-    part = [*keys, "_chunk"]
+    parts = chunked(df, ts, seconds)
+    part = [*keys, CHUNK]
     inside = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
 
     local, total, carry, joined = [], [], [], []
     for name, (kind, col) in aggs.items():
-        here, there = F.col(f"_l_{name}"), F.col(f"_c_{name}")
-        if kind == "last":
-            place = F.struct(*[F.col(c) for c in order])
-            local.append(F.last(col, ignorenulls=True).over(inside).alias(f"_l_{name}"))
-            total.append(F.max_by(col, F.when(col.isNotNull(), place)).alias(f"_t_{name}"))
-            carry.append(F.last(F.col(f"_t_{name}"), ignorenulls=True).over(before).alias(f"_c_{name}"))
-            joined.append(F.coalesce(here, there).alias(name))
-            continue
         agg = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}[kind]
         merge = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}[kind]
         local.append(agg(col).over(inside).alias(f"_l_{name}"))
         total.append(agg(col).alias(f"_t_{name}"))
         carry.append(merge(F.col(f"_t_{name}")).over(before).alias(f"_c_{name}"))
-        if kind in ("sum", "count"):
-            both = here + there
-        else:
-            both = F.least(here, there) if kind == "min" else F.greatest(here, there)
+        here, there = F.col(f"_l_{name}"), F.col(f"_c_{name}")
+        both = {"min": F.least, "max": F.greatest}[kind](here, there) if kind in ("min", "max") else here + there
         joined.append(F.coalesce(both, here, there).alias(name))
 
-    inherited = chunked.groupBy(*part).agg(*total).select(*part, *carry)
-    return chunked.select("*", *local).join(inherited, part).select(*df.columns, *joined)
+    inherited = parts.groupBy(*part).agg(*total).select(*part, *carry)
+    return parts.select("*", *local).join(inherited, part).select(*df.columns, *joined)
 
 
 def previous(
@@ -74,19 +85,20 @@ def previous(
     cols: Sequence[str],
     seconds: int = CHUNK_SECONDS,
 ) -> DataFrame:
-    """Adds ``prev_<c>``: the value of ``c`` in the row before, null in a series' first row."""
-    chunked = df.withColumn("_chunk", chunk_of(ts, seconds))
-    part = [*keys, "_chunk"]
-    row = F.struct(*[F.col(c) for c in cols])
-    place = F.struct(*[F.col(c) for c in order])
-    inherited = (
-        chunked.groupBy(*part)
-        .agg(F.max_by(row, place).alias("_final"))
-        .select(*part, F.lag("_final").over(W.partitionBy(*keys).orderBy("_chunk")).alias("_carry"))
-    )
+    """Adds ``prev_<c>``: the value of ``c`` in the row before, null in a series' first row.
+
+    The last row of each chunk is found by the same sort that serves the window. Where ``df`` has
+    no columns beyond keys, order and ``cols``, both uses share one shuffle.
+    """
+    part = [*keys, CHUNK]
     inside = W.partitionBy(*part).orderBy(*order)
+    row = F.struct(*[F.col(c) for c in cols])
+    marked = chunked(df, ts, seconds).withColumn("_lag", F.lag(row).over(inside)).withColumn("_ahead", F.lead(ts).over(inside))
+    over_chunks = W.partitionBy(*keys).orderBy(CHUNK)
+    inherited = marked.where(F.col("_ahead").isNull()).select(*part, row.alias("_final"))
+    inherited = inherited.select(*part, F.lag("_final").over(over_chunks).alias("_carry"))
     return (
-        chunked.withColumn("_lag", F.lag(row).over(inside))
+        marked.drop("_ahead")
         .join(inherited, part)
         .withColumn("_prev", F.coalesce("_lag", "_carry"))
         .select(*df.columns, *[F.col(f"_prev.{c}").alias(f"prev_{c}") for c in cols])

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import fixed, moment
-from fleetlens.functions.timeline import over_last_rows, previous, running
+from fleetlens.functions.timeline import CHUNK, chunked, over_last_rows, previous, running
 from fleetlens.operators.filters import Moment
 from fleetlens.schemas import (
     ALERT_LIFETIME,
@@ -268,11 +268,11 @@ def service_health(
     checks: DataFrame, keys: Sequence[str] = ("model_id",), ts: str = "ts", tie: str = "id", limit: int = MAX_FAILED_CHECKS
 ) -> DataFrame:
     """Consecutive failed checks after each check; unavailable from the limit on, a success resets."""
-    numbered = running(checks, keys, ts, [ts, tie], {"_n": ("count", F.lit(1))})
+    numbered = running(chunked(checks, ts), keys, ts, [ts, tie], {"_n": ("count", F.lit(1))})
     marked = running(numbered, keys, ts, [ts, tie], {"_ok": ("max", F.when(F.col("ok"), F.col("_n")))})
     failures = F.col("_n") - F.coalesce("_ok", F.lit(0))
     return (
         marked.withColumn("failures", failures)
         .withColumn("status", F.when(F.col("failures") >= limit, "unavailable").otherwise("available"))
-        .drop("_n", "_ok")
+        .drop("_n", "_ok", CHUNK)
     )

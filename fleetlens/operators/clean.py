@@ -55,13 +55,16 @@ def points_per_timestamp(df: DataFrame, metrics: Sequence[str], basic: Sequence[
 
     A null value counts as 0; basic metrics without a row are 0, others stay null.
     """
-    value = F.coalesce("value", F.lit(0.0))
-    order = F.struct("model_id", F.coalesce("instance", F.lit("")), "arrival")
+    owner = ["model_id", F.coalesce("instance", F.lit("")).alias("instance")]
+    newest = df.groupBy("timestamp", "metric_name", *owner).agg(
+        F.max_by(F.coalesce("value", F.lit(0.0)), "arrival").alias("value")
+    )
     columns = []
     for m in metrics:
-        last = F.max_by(value, F.when(F.col("metric_name") == m, order))
+        order = F.when(F.col("metric_name") == m, F.struct("model_id", "instance"))
+        last = F.max_by("value", order)
         columns.append((F.coalesce(last, F.lit(0.0)) if m in basic else last).alias(m))
-    return df.groupBy("timestamp").agg(*columns)
+    return newest.groupBy("timestamp").agg(*columns)
 
 
 def interpolate(

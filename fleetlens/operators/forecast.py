@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import clip, literal_map, moment, time_features
+from fleetlens.functions.timeline import place
 from fleetlens.operators.clean import future_grid
 from fleetlens.operators.filters import Moment
 from fleetlens.schemas import FORECAST_FLOORS, HOST_METRICS, LATENCY_METRICS, VALUE_RANGES
@@ -177,27 +178,25 @@ def mean_forecast(df: DataFrame, horizon_minutes: int = 30, step_minutes: int =
     )
 
 
-def override_latest(forecast: DataFrame, observed: DataFrame, metrics: Sequence[str] = HOST_METRICS, tie: Sequence[str] = ()) -> DataFrame:
+def override_latest(forecast: DataFrame, observed: DataFrame, metrics: Sequence[str] = HOST_METRICS, tie: str | None = None) -> DataFrame:
     """Host metrics in a forecast take the value observed last."""
-    place = F.struct("timestamp", *tie)
     last = (
         observed.where(F.col("metric_name").isin(*metrics) & F.col("value").isNotNull())
         .groupBy(*SERIES)
-        .agg(F.max_by("value", place).alias("_last"))
+        .agg(F.max_by("value", place("timestamp", tie)).alias("_last"))
     )
     joined = forecast.join(last, SERIES, "left")
     return joined.withColumn("yhat", F.coalesce("_last", "yhat")).drop("_last")
 
 
 def flat_from_latest(
-    observed: DataFrame, as_of: Moment, anchors: int = 1, points: int = 5, tie: Sequence[str] = ()
+    observed: DataFrame, as_of: Moment, anchors: int = 1, points: int = 5, tie: str | None = None
 ) -> DataFrame:
     """Where no forecast is stored: the latest values, repeated.
 
     Points are five minutes apart; several anchors, 15 minutes apart back from ``as_of``, make a history.
     """
-    place = F.struct("timestamp", *tie)
-    last = observed.groupBy(*SERIES).agg(F.max_by("value", place).alias("value"))
+    last = observed.groupBy(*SERIES).agg(F.max_by("value", place("timestamp", tie)).alias("value"))
     spread = last.withColumn("anchor", F.explode(F.sequence(F.lit(0), F.lit(anchors - 1)))).withColumn(
         "point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
     )

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions.timeline import place
+
 
 def metric_left(df: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("model_id", "timestamp")) -> DataFrame:
     """Every time of a model, left-joined with the mean of each metric at that time."""
@@ -97,7 +99,6 @@ def page(df: DataFrame, order: Sequence[Column], limit: int = 50, offset: int =
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
-def latest_value(df: DataFrame, keys: Sequence[str], ts: str = "timestamp", value: str = "value", tie: Sequence[str] = ()) -> DataFrame:
+def latest_value(df: DataFrame, keys: Sequence[str], ts: str = "timestamp", value: str = "value", tie: str | None = None) -> DataFrame:
     """Value at the latest time of each key."""
-    place = F.struct(ts, *tie)
-    return df.groupBy(*keys).agg(F.max(ts).alias(ts), F.max_by(value, place).alias(value))
+    return df.groupBy(*keys).agg(F.max(ts).alias(ts), F.max_by(value, place(ts, tie)).alias(value))

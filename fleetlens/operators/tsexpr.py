@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetlens.functions.timeline import previous, running
+from fleetlens.functions.timeline import CHUNK, place, previous, running
 from fleetlens.operators.joins import vector_ratio
 from fleetlens.schemas import EVAL_STEP, LATENCY_BUCKETS, RATE_RANGE
 
@@ -42,7 +42,7 @@ def instant(df: DataFrame, keys: Sequence[str], lookback: int = RATE_RANGE, step
     if lookback % step:
         raise ValueError("lookback must be a multiple of step")
     latest = df.groupBy(*keys, _first_eval("ts", step).alias("e")).agg(
-        F.max_by("value", F.struct("ts", "id")).alias("value")
+        F.max_by("value", place("ts", "id")).alias("value")
     )
     return _spread(latest, keys, lookback, step).select(*keys, F.timestamp_seconds("eval").alias("ts"), "value")
 
@@ -70,7 +70,8 @@ def growth(
     if range_seconds % step:
         raise ValueError("range must be a multiple of step")
     first = _first_eval("ts", step)
-    samples = previous(df, keys, "ts", ["ts", "id"], [*values, "ts"]).withColumn("e", first)
+    narrow = df.select(*keys, "ts", "id", *values, *[c for c in (CHUNK,) if c in df.columns])
+    samples = previous(narrow, keys, "ts", ["ts", "id"], [*values, "ts"]).withColumn("e", first)
     # The first sample of a step has its predecessor in an earlier step; that predecessor may be out of range.
     enters = F.coalesce(F.unix_seconds("prev_ts") < F.col("e") - step, F.lit(True))
     sums = []

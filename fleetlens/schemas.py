@@ -11,8 +11,6 @@ RANGE_RESPONSE = (
     "data STRUCT<resultType: STRING, result: ARRAY<STRUCT<metric: MAP<STRING, STRING>, values: ARRAY<ARRAY<STRING>>>>>"
 )
 
-METRIC_MESSAGE = "metric_name STRING, value DOUBLE, timestamp STRING, labels MAP<STRING, STRING>"
-
 INFERENCE_LOG = (
     "event_id BIGINT, timestamp TIMESTAMP, model_id STRING, instance STRING, endpoint STRING, latency DOUBLE, "
     "error STRING, status_code INT, level STRING, context STRING, message STRING"

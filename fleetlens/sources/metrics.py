@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.schemas import HOST_METRICS, METRIC_MESSAGE, RANGE_RESPONSE
+from fleetlens.schemas import HOST_METRICS, RANGE_RESPONSE
 
 
 def read_range_responses(spark: SparkSession, path: str) -> DataFrame:
@@ -57,27 +57,39 @@ def read_metric_messages(
     return reader.load().select(F.col("value").cast("string").alias("value"), "timestamp")
 
 
-def _kind(document: Column, field: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(document, f"$.{field}", "variant"))
+MESSAGE_PARTS = "metric_name VARIANT, value VARIANT, timestamp VARIANT, labels VARIANT"
 
 
 def check_messages(messages: DataFrame, value: str = "value") -> DataFrame:
-    """Adds ``valid``: every field of the metric message is there and of the declared kind."""
-    doc = F.try_parse_json(F.col(value))
-    number = F.regexp_like(_kind(doc, "value"), F.lit("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"))
+    """Adds ``valid``: every field of the metric message is there and of the declared kind.
+
+    Also adds the parsed message ``m``. The explode of one element keeps Spark from merging the parse
+    into each use of its fields.
+    """
+    parsed = messages.withColumn("m", F.explode(F.array(F.from_json(F.col(value), MESSAGE_PARTS))))
+
+    def kind(field: str) -> Column:
+        return F.schema_of_variant(F.col(f"m.{field}"))
+
     rules = (
-        (_kind(doc, "metric_name") == "STRING")
-        & number
-        & (_kind(doc, "timestamp") == "STRING")
-        & F.startswith(_kind(doc, "labels"), F.lit("OBJECT"))
+        (kind("metric_name") == "STRING")
+        & F.regexp_like(kind("value"), F.lit("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"))
+        & (kind("timestamp") == "STRING")
+        & F.startswith(kind("labels"), F.lit("OBJECT"))
     )
-    return messages.withColumn("valid", F.coalesce(rules, F.lit(False)))
+    return parsed.withColumn("valid", F.coalesce(rules, F.lit(False)))
 
 
 def parse_messages(messages: DataFrame, value: str = "value", record_time: str = "timestamp") -> DataFrame:
     """Valid messages as rows; the time is the record time. Works on batch and streaming frames."""
-    checked = check_messages(messages, value).where("valid")
-    body = F.from_json(F.col(value), METRIC_MESSAGE)
-    return checked.select(F.col(record_time).alias("timestamp"), body.alias("m")).select(
-        "timestamp", "m.metric_name", "m.value", "m.labels"
+    good = check_messages(messages, value).where("valid")
+
+    def field(name: str, kind: str) -> Column:
+        return F.try_variant_get(F.col(f"m.{name}"), "$", kind).alias(name)
+
+    return good.select(
+        F.col(record_time).alias("timestamp"),
+        field("metric_name", "string"),
+        field("value", "double"),
+        field("labels", "map<string,string>"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fleetlens.functions.timeline import running
+from fleetlens.functions.timeline import CHUNK, chunked, place, running
 from fleetlens.operators.alerts import resource_alerts
 from fleetlens.operators.logs import normalize
 from fleetlens.operators.tsexpr import counter_delta
@@ -138,13 +138,13 @@ def health_stream(checks: DataFrame, path: str, checkpoint: str, limit: int = MA
 
     def step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
         order = ["ts", "id"]
-        numbered = running(batch, ["model_id"], "ts", order, {"_n": ("count", F.lit(1))})
+        numbered = running(chunked(batch, "ts"), ["model_id"], "ts", order, {"_n": ("count", F.lit(1))})
         marked = running(numbered, ["model_id"], "ts", order, {"_ok": ("max", F.when(F.col("ok"), F.col("_n")))})
         carried = marked.join(state.select("model_id", F.col("failures").alias("_carry")), "model_id", "left")
         failures = F.col("_n") - F.coalesce("_ok", -F.coalesce("_carry", F.lit(0)))
         status = F.when(F.col("failures") >= limit, "unavailable").otherwise("available")
-        out = carried.withColumn("failures", failures).withColumn("status", status).drop("_n", "_ok", "_carry")
-        last = out.groupBy("model_id").agg(F.max_by("failures", F.struct(*order)).alias("failures"))
+        out = carried.withColumn("failures", failures).withColumn("status", status).drop("_n", "_ok", "_carry", CHUNK)
+        last = out.groupBy("model_id").agg(F.max_by("failures", place(*order)).alias("failures"))
         kept = state.join(last, "model_id", "left_anti").unionByName(last)
         return out, kept
 
@@ -165,7 +165,8 @@ def counter_stream(samples: DataFrame, path: str, checkpoint: str) -> StreamingQ
             .withColumn("rate", F.when(elapsed > 0, F.col("delta") / F.when(elapsed > 0, elapsed)))
             .select(*columns, "delta", "rate")
         )
-        last = rows.groupBy("model_id").agg(F.max_by(F.struct("ts", "id", "value"), F.struct("ts", "id")).alias("r"))
-        return out, last.select("model_id", "r.*")
+        at = place("ts", "id")
+        last = rows.groupBy("model_id").agg(*[F.max_by(c, at).alias(c) for c in ("ts", "id", "value")])
+        return out, last
 
     return _with_state(samples, path, checkpoint, "model_id STRING, ts TIMESTAMP, id BIGINT, value DOUBLE", step)
