@@ -258,9 +258,8 @@ def time_features(t: Tables) -> DataFrame:
 )
 def derive_resource_metrics(t: Tables) -> DataFrame:
     """Models m0 to m3 report a host CPU, the others take theirs from the request count."""
-    reported = t.metrics.where((F.col("metric_name") != "cpu_usage_real") | (F.col("model_id") < "m4"))
-    silent = t.metrics.where((F.col("metric_name") == "cpu_usage_real") & (F.col("model_id") >= "m4"))
-    rows = reported.unionByName(silent.withColumn("value", F.lit(None).cast("double")))
+    reported = (F.col("metric_name") != "cpu_usage_real") | (F.col("model_id") < "m4")
+    rows = t.metrics.withColumn("value", F.when(reported, F.col("value")))
     wide = pivot_metrics(rows, [*BASIC_METRICS, "cpu_usage_real"]).withColumns(
         {"memory_usage_real": F.lit(None).cast("double"), "network_io_real": F.lit(None).cast("double")}
     )

@@ -110,30 +110,29 @@ def with_position(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[s
     return running(df, keys, ts, order, {name: ("count", F.lit(1))})
 
 
-def over_last_rows(
+def rows_back(
     df: DataFrame,
     keys: Sequence[str],
-    ts: str,
-    order: Sequence[str],
+    position: str,
     rows: int,
-    aggs: dict[str, Column],
+    cols: Sequence[str],
     block: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Aggregates over the current row and the ``rows - 1`` before it.
+    """Adds ``back_<c>``: the value of ``c`` that many rows earlier in the series, by row number.
 
     Series are cut into blocks of equal row counts; the tail of a block is repeated at the head of
-    the next, so each block is computed on its own.
+    the next, so each block is computed on its own. With running sums this gives sums over the last
+    rows at the cost of one lookup.
     """
     if rows > block:
-        raise ValueError("a block must hold at least one full frame")
-    placed = with_position(df, keys, ts, order, "_pos")
-    index = F.col("_pos") - 1
+        raise ValueError("a block must hold at least the rows looked back")
+    index = F.col(position) - 1
     home = F.floor(index / F.lit(block))
-    blocks = F.when(index % block >= block - (rows - 1), F.array(home, home + 1)).otherwise(F.array(home))
-    spread = placed.withColumn("_home", home).withColumn("_block", F.explode(blocks))
-    frame = W.partitionBy(*keys, "_block").orderBy("_pos").rowsBetween(-(rows - 1), W.currentRow)
+    blocks = F.when(index % block >= block - rows, F.array(home, home + 1)).otherwise(F.array(home))
+    spread = df.withColumn("_home", home).withColumn("_block", F.explode(blocks))
+    order = W.partitionBy(*keys, "_block").orderBy(position)
     return (
-        spread.select("*", *[col.over(frame).alias(name) for name, col in aggs.items()])
+        spread.select("*", *[F.lag(c, rows).over(order).alias(f"back_{c}") for c in cols])
         .where(F.col("_block") == F.col("_home"))
-        .drop("_pos", "_home", "_block")
+        .drop("_home", "_block")
     )

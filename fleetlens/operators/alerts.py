@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import fixed, moment
-from fleetlens.functions.timeline import CHUNK, chunked, over_last_rows, previous, running
+from fleetlens.functions.timeline import CHUNK, chunked, previous, rows_back, running
 from fleetlens.operators.filters import Moment
 from fleetlens.schemas import (
     ALERT_LIFETIME,
@@ -71,8 +71,14 @@ def error_rate_alerts(
 ) -> DataFrame:
     """CRITICAL where the error share of a model's last requests is above the limit."""
     rules = thresholds["error_rules"]
-    flagged = logs.withColumn("_error", F.col("error").isNotNull().cast("double"))
-    rates = over_last_rows(flagged, ["model_id"], ts, [ts, tie], int(rules["error_window"]), {"_rate": F.avg("_error")})
+    window = int(rules["error_window"])
+    counted = running(
+        logs, ["model_id"], ts, [ts, tie], {"_n": ("count", F.lit(1)), "_errors": ("count", F.col("error"))}
+    )
+    failed = F.col("_errors") - F.coalesce("back__errors", F.lit(0))
+    rates = rows_back(counted, ["model_id"], "_n", window, ["_errors"]).withColumn(
+        "_rate", failed / F.least("_n", F.lit(window))
+    )
     limit = rules["max_error_rate"]
     message = _text("Model ", "model_id", " error rate (", fixed(F.col("_rate") * 100, 2), f"%) exceeds threshold ({limit:.2%})")
     return _raise_alerts(

@@ -2,14 +2,13 @@
 
 Windows here run over whole series. Apply them to series with one row per time step (after
 ``dedupe_mean``): such a series has at most (time span / step) rows however many rows were read,
-since duplicates are averaged map-side before the shuffle. Statistics over a series are grouped
-aggregates joined back, which need no such bound.
+since duplicates are averaged map-side before the shuffle. Statistics over a series are by default
+grouped aggregates joined back, which need no such bound.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -41,13 +40,15 @@ def pivot_metrics(
     df: DataFrame, metrics: Sequence[str] = BASIC_METRICS, keys: Sequence[str] = ("model_id", "timestamp")
 ) -> DataFrame:
     """Long to wide with the mean per time; a metric a model never reports is 0, a missing point null."""
+    owners = [k for k in keys if k != "timestamp"]
+    if not owners:
+        raise ValueError("the keys must name an owner of the series besides the time")
     means = [F.avg(F.when(F.col("metric_name") == m, F.col("value"))).alias(m) for m in metrics]
     rows = [F.count_if(F.col("metric_name") == m).alias(f"_r_{m}") for m in metrics]
     wide = df.groupBy(*keys).agg(*means, *rows)
-    owners = [k for k in keys if k != "timestamp"]
-    known = wide.groupBy(*owners).agg(*[F.sum(f"_r_{m}").alias(f"_n_{m}") for m in metrics])
-    filled = [F.when(F.col(f"_n_{m}") == 0, F.lit(0.0)).otherwise(F.col(m)).alias(m) for m in metrics]
-    return wide.join(known, owners).select(*keys, *filled)
+    owner = W.partitionBy(*owners)
+    filled = [F.when(F.sum(f"_r_{m}").over(owner) == 0, F.lit(0.0)).otherwise(F.col(m)).alias(m) for m in metrics]
+    return wide.select(*keys, *filled)
 
 
 def points_per_timestamp(df: DataFrame, metrics: Sequence[str], basic: Sequence[str] = BASIC_METRICS) -> DataFrame:
@@ -77,12 +78,13 @@ def interpolate(
     series = W.partitionBy(*keys).orderBy(ts)
     placed = df.withColumn("_x", F.unix_micros(ts) / F.lit(1e6) if by_time else F.row_number().over(series).cast("double"))
     back = series.rowsBetween(W.unboundedPreceding, W.currentRow)
-    ahead = series.rowsBetween(W.currentRow, W.unboundedFollowing)
+    # Looking ahead is looking back in reverse order: a frame to the end would be summed anew for each row.
+    ahead = W.partitionBy(*keys).orderBy(F.col(ts).desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
     found = []
     for c in columns:
         known = F.when(F.col(c).isNotNull(), F.struct("_x", F.col(c).alias("v")))
         found.append(F.last(known, ignorenulls=True).over(back).alias(f"_p_{c}"))
-        found.append(F.first(known, ignorenulls=True).over(ahead).alias(f"_n_{c}"))
+        found.append(F.last(known, ignorenulls=True).over(ahead).alias(f"_n_{c}"))
     spans = placed.select("*", *found)
 
     def value(c: str) -> Column:
@@ -95,24 +97,53 @@ def interpolate(
     return spans.select(*[value(c) if c in columns else c for c in df.columns])
 
 
-def fill_gaps(df: DataFrame, keys: Sequence[str] = SERIES, ts: str = "timestamp", value: str = "value") -> DataFrame:
+def fill_gaps(df: DataFrame, keys: Sequence[str] = SERIES, ts: str = "timestamp", columns: Sequence[str] = ("value",)) -> DataFrame:
     """Forward fill, then backward fill, then the series mean."""
     series = W.partitionBy(*keys)
-    forward = F.last(value, ignorenulls=True).over(series.orderBy(ts).rowsBetween(W.unboundedPreceding, W.currentRow))
-    backward = F.first(value, ignorenulls=True).over(series.orderBy(ts).rowsBetween(W.currentRow, W.unboundedFollowing))
-    return df.withColumn(value, F.coalesce(forward, backward, F.avg(value).over(series)))
+    back = series.orderBy(ts).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ahead = series.orderBy(F.col(ts).desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return df.withColumns(
+        {
+            c: F.coalesce(
+                F.last(c, ignorenulls=True).over(back), F.last(c, ignorenulls=True).over(ahead), F.avg(c).over(series)
+            )
+            for c in columns
+        }
+    )
 
 
 def fill_zero(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.fillna(0, subset=list(columns))
 
 
-def cap_outliers(df: DataFrame, keys: Sequence[str] = SERIES, value: str = "value", sigmas: float = 3.0) -> DataFrame:
+def with_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column], regular: bool = False) -> DataFrame:
+    """Adds aggregates of each series to its rows.
+
+    By default they are grouped and joined back, which holds for series of any length. Regular
+    series (one row per step) may take them from a window that shares the shuffle of the others.
+    """
+    if regular:
+        series = W.partitionBy(*keys)
+        return df.select("*", *[agg.over(series).alias(name) for name, agg in stats.items()])
+    grouped = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in stats.items()])
+    return df.join(grouped, list(keys))
+
+
+def cap_outliers(
+    df: DataFrame, keys: Sequence[str] = SERIES, columns: Sequence[str] = ("value",), sigmas: float = 3.0, regular: bool = False
+) -> DataFrame:
     """Cap at mean +- sigmas * sample standard deviation of the series; one-row series pass."""
-    stats = df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std"))
-    low, high = F.col("_mean") - sigmas * F.col("_std"), F.col("_mean") + sigmas * F.col("_std")
-    capped = F.when(F.col("_std").isNull(), F.col(value)).otherwise(clip(F.col(value), low, high))
-    return df.join(stats, list(keys)).withColumn(value, capped).select(*df.columns)
+    stats: dict[str, Column] = {}
+    for c in columns:
+        stats |= {f"_m_{c}": F.avg(c), f"_s_{c}": F.stddev_samp(c)}
+
+    def capped(c: str) -> Column:
+        mean, std = F.col(f"_m_{c}"), F.col(f"_s_{c}")
+        held = clip(F.col(c), mean - sigmas * std, mean + sigmas * std)
+        return F.when(std.isNull(), F.col(c)).otherwise(held).alias(c)
+
+    known = with_stats(df, keys, stats, regular)
+    return known.select(*[capped(c) if c in columns else c for c in df.columns])
 
 
 def lag_features(
@@ -124,6 +155,31 @@ def lag_features(
     return df.select("*", *shifted).dropna()
 
 
+PLAIN_FRAME = 32  # longer frames are summed in two levels
+
+
+def rolling_sums(
+    df: DataFrame, frames: Mapping[str, tuple[str, int]], keys: Sequence[str] = ("model_id",), ts: str = "timestamp"
+) -> DataFrame:
+    """Sum of ``column`` over the last n rows for each ``name: (column, n)``; short frames at the start are partial.
+
+    Spark adds up a sliding frame anew for every row. A long frame of a * b rows is therefore the sum
+    of b sums over a rows each.
+    """
+    series = W.partitionBy(*keys).orderBy(ts)
+    parts = {name: max(d for d in range(1, int(n**0.5) + 1) if n % d == 0) if n > PLAIN_FRAME else n for name, (_, n) in frames.items()}
+    short = df.select(
+        "*", *[F.sum(c).over(series.rowsBetween(1 - parts[name], W.currentRow)).alias(name) for name, (c, _) in frames.items()]
+    )
+    totals = {}
+    for name, (_, n) in frames.items():
+        total = F.coalesce(F.col(name), F.lit(0.0))
+        for shift in range(parts[name], n, parts[name]):
+            total = total + F.coalesce(F.lag(name, shift).over(series), F.lit(0.0))
+        totals[name] = total
+    return short.withColumns(totals)
+
+
 def rolling_means(
     df: DataFrame,
     columns: Sequence[str],
@@ -133,49 +189,55 @@ def rolling_means(
 ) -> DataFrame:
     """Rolling mean of the last n rows, null until n non-null values are in the frame."""
     series = W.partitionBy(*keys).orderBy(ts)
+    so_far = series.rowsBetween(W.unboundedPreceding, W.currentRow)
+    names = {f"{c}_{span}": (c, n) for c in columns for span, n in spans.items()}
+    counted = df.select("*", *[F.count(c).over(so_far).alias(f"_k_{c}") for c in columns])
+    summed = rolling_sums(counted, names, keys, ts)
     means = []
-    for c in columns:
-        for name, n in spans.items():
-            frame = series.rowsBetween(-(n - 1), W.currentRow)
-            means.append(F.when(F.count(c).over(frame) >= n, F.avg(c).over(frame)).alias(f"{c}_{name}"))
-    return df.select("*", *means)
+    for name, (c, n) in names.items():
+        held = F.col(f"_k_{c}") - F.coalesce(F.lag(f"_k_{c}", n).over(series), F.lit(0))
+        means.append(F.when(held >= n, F.col(name) / n).alias(name))
+    return summed.select(*df.columns, *means)
 
 
-def minmax(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("model_id",)) -> DataFrame:
+def minmax(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("model_id",), regular: bool = False) -> DataFrame:
     """``<c>_normalized`` in [0, 1] per series; 0 where the column is constant."""
-    stats = df.groupBy(*keys).agg(
-        *[F.min(c).alias(f"_lo_{c}") for c in columns], *[F.max(c).alias(f"_hi_{c}") for c in columns]
-    )
+    stats: dict[str, Column] = {}
+    for c in columns:
+        stats |= {f"_lo_{c}": F.min(c), f"_hi_{c}": F.max(c)}
 
     def scaled(c: str) -> Column:
         lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
         value = F.when(hi > lo, (F.col(c) - lo) / F.when(hi > lo, hi - lo)).when(F.col(c).isNotNull(), F.lit(0.0))
         return value.alias(f"{c}_normalized")
 
-    return df.join(stats, list(keys)).select(*df.columns, *[scaled(c) for c in columns])
+    return with_stats(df, keys, stats, regular).select(*df.columns, *[scaled(c) for c in columns])
 
 
-def zscore(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("model_id",)) -> DataFrame:
+def zscore(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("model_id",), regular: bool = False) -> DataFrame:
     """``<c>_z`` with the population standard deviation; a deviation of 0 counts as 1."""
-    stats = df.groupBy(*keys).agg(
-        *[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns]
-    )
+    stats: dict[str, Column] = {}
+    for c in columns:
+        stats |= {f"_m_{c}": F.avg(c), f"_s_{c}": F.stddev_pop(c)}
 
     def scaled(c: str) -> Column:
         std = F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(F.lit(1.0))
         return ((F.col(c) - F.col(f"_m_{c}")) / std).alias(f"{c}_z")
 
-    return df.join(stats, list(keys)).select(*df.columns, *[scaled(c) for c in columns])
+    return with_stats(df, keys, stats, regular).select(*df.columns, *[scaled(c) for c in columns])
 
 
 def preprocess(df: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("model_id",), ts: str = "timestamp") -> DataFrame:
-    """The cleaning steps in order on a wide frame: fill, cap, calendar, rolling means, min-max, zeros."""
-    filled = reduce(lambda d, m: fill_gaps(d, keys, ts, m), metrics, df)
-    capped = reduce(lambda d, m: cap_outliers(d, keys, m), metrics, filled)
+    """The cleaning steps in order on a wide frame: fill, cap, calendar, rolling means, min-max, zeros.
+
+    The frame has one row per series and time, so every step is a window over the series and all of
+    them share one shuffle.
+    """
+    capped = cap_outliers(fill_gaps(df, keys, ts, metrics), keys, metrics, regular=True)
     calendar = {k: v for k, v in time_features(F.col(ts)).items() if k != "week_of_year"}
     featured = rolling_means(capped.withColumns(calendar), metrics, keys=keys, ts=ts)
     rolled = [*metrics, *[f"{m}_{s}" for m in metrics for s in ("lag_1h", "lag_24h")]]
-    scaled = minmax(featured, rolled, keys)
+    scaled = minmax(featured, rolled, keys, regular=True)
     return fill_zero(scaled, [c for c in scaled.columns if c not in (*keys, ts)])
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import clip, literal_map, moment, time_features
 from fleetlens.functions.timeline import place
-from fleetlens.operators.clean import future_grid
+from fleetlens.operators.clean import future_grid, rolling_means
 from fleetlens.operators.filters import Moment
 from fleetlens.schemas import FORECAST_FLOORS, HOST_METRICS, LATENCY_METRICS, VALUE_RANGES
 
@@ -230,11 +230,8 @@ def forest_forecast(
     Features are the calendar, the 1 h and 24 h rolling means and the mean of the series, which
     stands for the model whatever their number. Series with few rows get their mean.
     """
-    series = W.partitionBy(*SERIES).orderBy("timestamp")
-    rolled = df
-    for name, n in (("lag_1h", 12), ("lag_24h", 288)):
-        frame = series.rowsBetween(-(n - 1), W.currentRow)
-        rolled = rolled.withColumn(name, F.when(F.count("value").over(frame) >= n, F.avg("value").over(frame)).otherwise(0.0))
+    rolled = rolling_means(df, ["value"], keys=SERIES).withColumnsRenamed({"value_lag_1h": "lag_1h", "value_lag_24h": "lag_24h"})
+    rolled = rolled.fillna(0.0, ["lag_1h", "lag_24h"])
     stats = df.groupBy(*SERIES).agg(F.avg("value").alias("level"), F.count("value").alias("rows"))
     train = rolled.where("value IS NOT NULL").join(stats, SERIES)
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import clip, utilization
+from fleetlens.operators.clean import with_stats
 from fleetlens.schemas import SIZING_WEIGHTS
 
 RESOURCES = ("cpu", "memory", "network")
@@ -37,14 +38,14 @@ def _cap(r: str) -> Column:
 def derive_resource_metrics(df: DataFrame, keys: Sequence[str] = ("model_id",)) -> DataFrame:
     """cpu_usage, memory_usage, network_io and latency from host metrics, or from service metrics.
 
-    ``df`` is a wide frame. A host metric column that is null throughout a model counts as absent.
+    ``df`` is a wide frame, one row per model and time. A host metric column that is null throughout a model counts as absent.
     """
-    basis = df.groupBy(*keys).agg(
-        F.max("requests_total").alias("_requests"),
-        F.count("cpu_usage_real").alias("_cpu"),
-        F.count("memory_usage_real").alias("_memory"),
-        F.count("network_io_real").alias("_network"),
-    )
+    basis = {
+        "_requests": F.max("requests_total"),
+        "_cpu": F.count("cpu_usage_real"),
+        "_memory": F.count("memory_usage_real"),
+        "_network": F.count("network_io_real"),
+    }
     peak = F.when(F.col("_requests") > 0, F.col("_requests"))
     cpu = F.when(peak.isNotNull(), clip(F.col("requests_total") / peak * 0.8 * 100, 0.0, 100.0)).otherwise(F.lit(10.0))
     chosen = {
@@ -57,7 +58,7 @@ def derive_resource_metrics(df: DataFrame, keys: Sequence[str] = ("model_id",))
         ),
         "latency": F.col("latency_p99"),
     }
-    return df.join(basis, list(keys)).withColumns(chosen).drop("_requests", "_cpu", "_memory", "_network")
+    return with_stats(df, keys, basis, regular=True).withColumns(chosen).drop(*basis)
 
 
 def demand(df: DataFrame, keys: Sequence[str] = ("model_id",)) -> DataFrame:
