@@ -179,7 +179,7 @@ def _predict_mean(model: dict[str, float], pdf: pd.DataFrame) -> pd.DataFrame:
 def custom_model(t: Tables) -> DataFrame:
     """A user's model per series: half the mean, half the last value."""
     schema = "model_id STRING, metric_name STRING, forecast DOUBLE, n BIGINT"
-    return forecast.series_model(fill_gaps(t.hourly), ["model_id", "metric_name"], _fit_mean, _predict_mean, schema)
+    return forecast.series_model(fill_gaps(t.hourly), _fit_mean, _predict_mean, schema)
 
 
 def _norm(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -153,7 +153,7 @@ def _raw_documents(t: Tables) -> DataFrame:
 @query(
     "doc_format_for_export",
     f"""
-    SELECT model_id, d::VARCHAR AS d, {text('timestamp')} AS timestamp, pos,
+    SELECT model_id, d::VARCHAR AS d, {text('timestamp')} || CASE WHEN kind IN (1, 2) THEN '+00:00' ELSE '' END AS timestamp, pos,
            {text('timestamp + to_minutes(5 * pos)')} AS point_time, {r6('n::DOUBLE')} AS requests,
            {r6('CASE WHEN kind = 3 THEN 0 ELSE memory_allocation END')} AS utilization_cpu, 0.0::DOUBLE AS utilization_network
     FROM raw_docs, (SELECT unnest(range(2))::INTEGER AS pos)""",

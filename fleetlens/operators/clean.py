@@ -25,6 +25,14 @@ def dedupe_mean(df: DataFrame, keys: Sequence[str] = ("timestamp", "metric_name"
     return df.groupBy(*keys).agg(F.avg("value").alias("value"))
 
 
+def resample(
+    df: DataFrame, step_seconds: int, keys: Sequence[str] = SERIES, ts: str = "timestamp", value: str = "value"
+) -> DataFrame:
+    """Mean per series and time step: makes a series regular, however densely it was sampled."""
+    start = F.timestamp_seconds(F.floor(F.unix_seconds(F.col(ts)) / F.lit(step_seconds)) * step_seconds)
+    return df.groupBy(*keys, start.alias(ts)).agg(F.avg(value).alias(value))
+
+
 def dedupe_first(df: DataFrame, keys: Sequence[str], arrival: str) -> DataFrame:
     """One row per key: the one that arrived first. An aggregate, so duplicates never reach the shuffle."""
     rest = [c for c in df.columns if c not in keys]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import clip, literal_map, moment, time_features
 from fleetlens.functions.timeline import place
-from fleetlens.operators.clean import future_grid, rolling_means
+from fleetlens.operators.clean import future_grid, resample, rolling_means
 from fleetlens.operators.filters import Moment
 from fleetlens.schemas import FORECAST_FLOORS, HOST_METRICS, LATENCY_METRICS, VALUE_RANGES
 
@@ -206,6 +206,23 @@ def flat_from_latest(
     )
 
 
+def flat_allocation(observed: DataFrame, tie: str | None = None) -> DataFrame:
+    """The allocation shown beside such a forecast: fixed sizes, utilization from the latest host metrics."""
+    last = observed.groupBy(*SERIES).agg(F.max_by("value", place("timestamp", tie)).alias("value"))
+
+    def used(metric: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("metric_name") == metric, F.col("value"))), F.lit(0.0))
+
+    return last.groupBy("model_id").agg(
+        F.first(F.lit(100.0)).alias("cpu_allocation"),
+        F.first(F.lit(1024.0)).alias("memory_allocation"),
+        F.first(F.lit(1024.0)).alias("network_allocation"),
+        used("cpu_usage_real").alias("utilization_cpu"),
+        used("memory_usage_real").alias("utilization_memory"),
+        (used("network_io_real") / (10 * 1024 * 1024)).alias("utilization_network"),
+    )
+
+
 # --- forests -------------------------------------------------------------------------------
 
 TREES = 100
@@ -337,16 +354,17 @@ def load_fits(spark: SparkSession, path: str) -> DataFrame:
     return newest.select(*SERIES, "fit.*")
 
 
-def series_model(df: DataFrame, keys: Sequence[str], fit, predict, schema: str) -> DataFrame:  # noqa: ANN001
+def series_model(df: DataFrame, fit, predict, schema: str, step_seconds: int = 3600) -> DataFrame:  # noqa: ANN001
     """A user's ``fit(pdf) -> model`` and ``predict(model, pdf) -> pdf`` run on each series.
 
-    The series must be regular (one row per time step): each is handed to Python whole.
+    Each series is handed to Python whole, so it is averaged per time step first: a group has at most
+    (time span / step) rows, whatever the table holds.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return predict(fit(pdf), pdf)
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return resample(df, step_seconds).groupBy(*SERIES).applyInPandas(run, schema)
 
 
 def score_rows(df: DataFrame, scorer, schema: str) -> DataFrame:  # noqa: ANN001

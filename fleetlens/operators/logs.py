@@ -56,7 +56,10 @@ def search(
     query: str | None = None,
     ts: str = "timestamp",
 ) -> DataFrame:
-    """Logs that pass the given filters; the text is sought in message and context, case ignored."""
+    """Logs that pass the given filters; the text is sought in message and context, case ignored.
+
+    A log without a time counts as older than any.
+    """
     if level:
         logs = logs.where(F.upper(F.coalesce("level", F.lit(""))) == level.upper())
     if model_id:
@@ -64,7 +67,7 @@ def search(
     if start is not None:
         logs = logs.where(F.col(ts) >= moment(start))
     if end is not None:
-        logs = logs.where(F.col(ts) <= moment(end))
+        logs = logs.where((F.col(ts) <= moment(end)) | F.col(ts).isNull())
     if query:
         text = F.lit(query.lower())
         logs = logs.where(

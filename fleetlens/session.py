@@ -34,9 +34,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if root:
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(root)
         return root.rstrip("/")
-    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="fleetlens-"))
     return context.getCheckpointDir().rstrip("/")

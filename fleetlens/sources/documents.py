@@ -9,6 +9,7 @@ from fleetlens.functions.scalars import moment
 from fleetlens.operators.filters import Moment
 
 KEY_PREFIX = "prediction:"
+OFFSET = r"(Z|(?<=:\d\d(\.\d{1,6})?)[+-]\d\d:\d\d)$"
 
 
 def document_key(ts: Column, prefix: str = KEY_PREFIX) -> Column:
@@ -29,13 +30,25 @@ def check_documents(docs: DataFrame, text: str = "timestamp", body: str = "predi
 def format_documents(docs: DataFrame) -> DataFrame:
     """One spelling of times, numbers as doubles, missing utilization as 0.
 
+    A time keeps its wall clock and its offset (``2024-01-01T05:00:00Z`` becomes
+    ``2024-01-01 05:00:00+00:00``); text that is no time stays as it is.
+
     Expects ``timestamp`` text, ``predictions`` array of structs with a ``timestamp`` text,
     ``metrics`` map and ``utilization`` struct of cpu, memory and network.
     """
 
     def text(c: Column) -> Column:
-        parsed = F.try_to_timestamp(c)
-        return F.coalesce(F.date_format(parsed, "yyyy-MM-dd HH:mm:ss"), c)
+        zone = F.regexp_extract(c, OFFSET, 0)
+        wall = F.try_to_timestamp(F.regexp_replace(c, OFFSET, ""))
+        fraction = F.date_format(wall, ".SSSSSS")
+        return F.coalesce(
+            F.concat(
+                F.date_format(wall, "yyyy-MM-dd HH:mm:ss"),
+                F.when(fraction == ".000000", "").otherwise(fraction),
+                F.when(zone == "Z", "+00:00").otherwise(zone),
+            ),
+            c,
+        )
 
     return (
         docs.withColumn("timestamp", text(F.col("timestamp")))

@@ -41,6 +41,13 @@ def stack_frames(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def coverage(metrics: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows collected per wanted metric; a metric without data counts 0."""
+    wanted = metrics.sparkSession.createDataFrame([(n,) for n in names], "metric_name STRING")
+    counts = metrics.groupBy("metric_name").agg(F.count("*").alias("n_rows"))
+    return wanted.join(counts, "metric_name", "left").select("metric_name", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+
+
 def metric_names(metrics: DataFrame) -> DataFrame:
     return metrics.select("metric_name").distinct()
 

@@ -106,67 +106,73 @@ def _with_state(
     path: str,
     checkpoint: str,
     state_schema: str,
-    step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]],
+    step: Callable[[DataFrame, DataFrame], DataFrame],
+    advance: Callable[[DataFrame, DataFrame], DataFrame],
 ) -> StreamingQuery:
     """Micro-batches computed from their rows and a small state table, one row per key.
 
-    ``step(batch, state)`` gives the output and the next state. Both are written per batch id, so a
-    batch that runs twice after a failure gives the same tables. Rows of one key are spread over
-    tasks inside ``step``, which a stateful operator keyed by it could not do.
+    ``step(batch, state)`` gives the output; ``advance(written output, state)`` the next state, so the
+    batch is computed once. Both are written per batch id: a batch that runs twice after a failure
+    gives the same tables. Rows of one key are spread over tasks inside ``step``, which a stateful
+    operator keyed by it could not do.
     """
 
-    def advance(batch: DataFrame, batch_id: int) -> None:
+    def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         if batch_id == 0:
             state = spark.createDataFrame([], state_schema)
         else:
             state = spark.read.schema(state_schema).parquet(f"{path}/state/batch={batch_id - 1}")
-        out, new_state = step(batch, state)
-        out.write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
-        new_state.write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
+        written = f"{path}/out/batch={batch_id}"
+        out = step(batch, state)
+        out.write.mode("overwrite").parquet(written)
+        done = spark.read.schema(out.schema).parquet(written)
+        advance(done, state).write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
 
     return (
         stream.writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(advance)
+        .foreachBatch(run)
         .start()
     )
 
 
 def health_stream(checks: DataFrame, path: str, checkpoint: str, limit: int = MAX_FAILED_CHECKS) -> StreamingQuery:
     """Consecutive failed checks per model, carried over micro-batches (see ``alerts.service_health``)."""
+    order = ["ts", "id"]
 
-    def step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-        order = ["ts", "id"]
+    def step(batch: DataFrame, state: DataFrame) -> DataFrame:
         numbered = running(chunked(batch, "ts"), ["model_id"], "ts", order, {"_n": ("count", F.lit(1))})
         marked = running(numbered, ["model_id"], "ts", order, {"_ok": ("max", F.when(F.col("ok"), F.col("_n")))})
         carried = marked.join(state.select("model_id", F.col("failures").alias("_carry")), "model_id", "left")
         failures = F.col("_n") - F.coalesce("_ok", -F.coalesce("_carry", F.lit(0)))
         status = F.when(F.col("failures") >= limit, "unavailable").otherwise("available")
-        out = carried.withColumn("failures", failures).withColumn("status", status).drop("_n", "_ok", "_carry", CHUNK)
+        return carried.withColumn("failures", failures).withColumn("status", status).drop("_n", "_ok", "_carry", CHUNK)
+
+    def advance(out: DataFrame, state: DataFrame) -> DataFrame:
         last = out.groupBy("model_id").agg(F.max_by("failures", place(*order)).alias("failures"))
-        kept = state.join(last, "model_id", "left_anti").unionByName(last)
-        return out, kept
+        return state.join(last, "model_id", "left_anti").unionByName(last)
 
-    return _with_state(checks, path, checkpoint, "model_id STRING, failures BIGINT", step)
+    return _with_state(checks, path, checkpoint, "model_id STRING, failures BIGINT", step, advance)
 
 
 def counter_stream(samples: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Rate of a counter between each reading and the one before, across micro-batches."""
     columns = ["model_id", "ts", "id", "value"]
 
-    def step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def step(batch: DataFrame, state: DataFrame) -> DataFrame:
         seeds = state.withColumn("seed", F.lit(True))
         rows = batch.select(*columns).withColumn("seed", F.lit(False)).unionByName(seeds)
         elapsed = (F.unix_micros("ts") - F.unix_micros("prev_ts")) / F.lit(1e6)
-        out = (
+        return (
             counter_delta(rows, ["model_id"])
             .where("NOT seed")
             .withColumn("rate", F.when(elapsed > 0, F.col("delta") / F.when(elapsed > 0, elapsed)))
             .select(*columns, "delta", "rate")
         )
-        at = place("ts", "id")
-        last = rows.groupBy("model_id").agg(*[F.max_by(c, at).alias(c) for c in ("ts", "id", "value")])
-        return out, last
 
-    return _with_state(samples, path, checkpoint, "model_id STRING, ts TIMESTAMP, id BIGINT, value DOUBLE", step)
+    def advance(out: DataFrame, state: DataFrame) -> DataFrame:
+        readings = out.select(*columns).unionByName(state)
+        return readings.groupBy("model_id").agg(*[F.max_by(c, place("ts", "id")).alias(c) for c in columns[1:]])
+
+    return _with_state(samples, path, checkpoint, "model_id STRING, ts TIMESTAMP, id BIGINT, value DOUBLE", step, advance)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.operators import alerts
+from fleetlens.plans.active_alerts import active_alerts
 from tests.conftest import rows
 
 
@@ -110,6 +111,17 @@ def test_unavailable_after_three_failures(spark):
     assert [i for i, _, s in got if s == "unavailable"] == [3, 4]
 
 
+def test_active_alerts(spark):
+    snapshots = at(spark, [("a", "h", 0, 99.0, 1.0), ("a", "h", 7200, 81.0, 1.0), ("b", "h", 7200, 1.0, 1.0)], "model_id STRING, instance STRING, s BIGINT, cpu_percent DOUBLE, memory_percent DOUBLE")
+    hosts = at(spark, [("h", 7200, 1.0, 90.0, 1.0), ("h", 0, 99.0, 99.0, 99.0)], "instance STRING, s BIGINT, cpu_percent DOUBLE, memory_percent DOUBLE, disk_percent DOUBLE")
+    got = active_alerts(snapshots, hosts, F.timestamp_seconds(F.lit(7500)))
+    assert rows(got, "name", "model_id", "value", "active", "since") == [
+        ("Cpu Usage", "a", 81.0, True, "1970-01-01T02:00:00Z"),
+        ("System Memory Usage", "a", 90.0, True, "1970-01-01T02:00:00Z"),
+        ("System Memory Usage", "b", 90.0, True, "1970-01-01T02:00:00Z"),
+    ]
+
+
 def test_young_alerts_and_levels(spark):
     df = at(spark, [("INFO", 0), ("WARNING", 1000), ("WARNING", 1900)], "level STRING, s BIGINT")
     young = alerts.young_alerts(df, F.timestamp_seconds(F.lit(1900)), "ts")

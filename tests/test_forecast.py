@@ -89,6 +89,13 @@ def test_override_takes_last_host_value(spark):
     }
 
 
+def test_flat_allocation(spark):
+    df = series(spark, lambda d: 25.0, days=1, step=3600, metric="cpu_usage_real")
+    row = forecast.flat_allocation(df).first()
+    assert (row["cpu_allocation"], row["memory_allocation"], row["network_allocation"]) == (100.0, 1024.0, 1024.0)
+    assert (row["utilization_cpu"], row["utilization_memory"], row["utilization_network"]) == (25.0, 0.0, 0.0)
+
+
 def test_wide_forecast(spark):
     wide = forecast.to_wide(forecast.mean_forecast(series(spark, lambda d: 10.0, days=1), 3), ["requests_total", "latency_avg"])
     row = wide.first()
@@ -125,11 +132,11 @@ def test_store_loads_the_newest_fit(spark):
 def test_custom_model_and_scorer(spark):
     df = series(spark, lambda d: 3.0, days=1, step=3600)
 
-    def predict(mean, pdf):
-        return pd.DataFrame({"model_id": [pdf["model_id"].iloc[0]], "y": [mean]})
+    def predict(model, pdf):
+        return pd.DataFrame({"model_id": [pdf["model_id"].iloc[0]], "y": [model[0]], "n": [model[1]]})
 
-    got = forecast.series_model(df, ["model_id"], lambda pdf: pdf["value"].mean(), predict, "model_id STRING, y DOUBLE")
-    assert rows(got) == [("a", 3.0)]
+    got = forecast.series_model(df, lambda pdf: (pdf["value"].mean(), len(pdf)), predict, "model_id STRING, y DOUBLE, n BIGINT", 7200)
+    assert rows(got) == [("a", 3.0, 12)]
     scored = forecast.score_rows(df.select("value"), lambda pdf: pd.DataFrame({"y": pdf["value"] * 2}), "y DOUBLE")
     assert {r["y"] for r in scored.collect()} == {6.0}
 

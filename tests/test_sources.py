@@ -95,12 +95,12 @@ def test_documents_format_and_check(spark):
     df = spark.createDataFrame([("2024-01-01T00:00:00Z", 1), (None, 1), ("soon", 1), (None, None)], "timestamp STRING, predictions INT")
     assert [r["reason"] for r in docs.check_documents(df).collect()] == [None, "Missing timestamp", "Invalid timestamp format", "Empty data"]
     raw = spark.createDataFrame(
-        [("2024-01-01T00:00:00Z", [("2024-01-01T05:00:00+05:00", 1.0), ("later", 2.0)], {"n": 3}, (None, 5.0, None))],
+        [("2024-01-01T00:00:00Z", [("2024-01-01T05:00:00.25+05:00", 1.0), ("later", 2.0), ("2024-01-02", 3.0)], {"n": 3}, (None, 5.0, None))],
         "timestamp STRING, predictions ARRAY<STRUCT<timestamp: STRING, cpu: DOUBLE>>, metrics MAP<STRING, INT>, utilization STRUCT<cpu: DOUBLE, memory: DOUBLE, network: DOUBLE>",
     )
     got = docs.format_documents(raw).first()
-    assert got["timestamp"] == "2024-01-01 00:00:00"
-    assert [p["timestamp"] for p in got["predictions"]] == ["2024-01-01 00:00:00", "later"]
+    assert got["timestamp"] == "2024-01-01 00:00:00+00:00"
+    assert [p["timestamp"] for p in got["predictions"]] == ["2024-01-01 05:00:00.250000+05:00", "later", "2024-01-02 00:00:00"]
     assert got["metrics"] == {"n": 3.0} and tuple(got["utilization"]) == (0.0, 5.0, 0.0)
 
 
@@ -194,6 +194,18 @@ def test_log_summary(spark):
     assert got == {("total", "all"): 3, ("level", "INFO"): 1, ("level", "ERROR"): 1, ("level", "UNKNOWN"): 1, ("model", "a"): 1, ("model", "b"): 1, ("model", "unknown"): 1}
 
 
+def test_log_without_time_is_oldest(spark):
+    df = log_table(spark).withColumn("timestamp", F.when(F.col("event_id") != 3, F.col("timestamp")))
+    assert rows(logs.search(df, end="1970-01-01 00:00:10"), "event_id") == [(1,), (3,)]
+    assert rows(logs.search(df, start="1970-01-01 00:00:05"), "event_id") == [(1,), (2,)]
+    assert [r["event_id"] for r in logs.query(df).collect()] == [2, 1, 3]
+
+
+def test_coverage(spark):
+    df = spark.createDataFrame([("x",), ("x",)], "metric_name STRING")
+    assert rows(src.coverage(df, ["x", "y"])) == [("x", 2), ("y", 0)]
+
+
 def test_latest_logs(spark):
     assert rows(logs.latest(log_table(spark), 2), "event_id", "level") == [(2, "ERROR"), (3, "INFO")]
 
