@@ -202,7 +202,7 @@ view(
     UNION ALL
     SELECT 'HighDiskUsage', instance, e, (5e11 - value) * 100 / 5e11, 85.0 FROM {instant('disk_free', 'instance', LOOKBACK, STEP)}
     UNION ALL
-    SELECT 'HighNetworkTraffic', instance, e, sum(a.value + b.value) * 1e3, 1e8
+    SELECT 'HighNetworkTraffic', instance, e, sum(a.value + b.value) * 1e6, 1e8
     FROM {rate('received', 'instance, device', LOOKBACK, STEP)} a JOIN {rate('sent', 'instance, device', LOOKBACK, STEP)} b
     USING (instance, device, e) GROUP BY instance, e""",
 )
@@ -220,7 +220,7 @@ def rule_host_resources(t: Tables) -> DataFrame:
 
     memory = tsexpr.memory_percent(gauge((F.lit(100.0) - F.col("memory_percent")) * 1e8), gauge(F.lit(1e10)))
     disk = tsexpr.disk_percent(gauge((F.lit(100.0) - F.col("disk_percent")) * 5e9, mount), gauge(F.lit(5e11), mount))
-    network = tsexpr.network_bytes(t.network, ["instance"], LOOKBACK, STEP).withColumn("value", F.col("value") * 1e3)
+    network = tsexpr.network_bytes(t.network, ["instance"], LOOKBACK, STEP).withColumn("value", F.col("value") * 1e6)
     frames = {
         "cpu_percent": tsexpr.cpu_percent(t.idle, LOOKBACK, STEP),
         "memory_percent": memory,

@@ -64,10 +64,7 @@ _rates = rate("buckets", "model_id, le", 21600, 3600)
 )
 def histogram_quantile(t: Tables) -> DataFrame:
     rates = tsexpr.rate(t.buckets, ["model_id", "le"], 21600, 3600)
-    q95, q99 = (
-        tsexpr.histogram_quantile(rates, q, ["model_id", "ts"]).withColumn("q", F.lit(q)) for q in (0.95, 0.99)
-    )
-    return q95.unionByName(q99).where("value IS NOT NULL")
+    return tsexpr.histogram_quantiles(rates, [0.95, 0.99], ["model_id", "ts"]).where("value IS NOT NULL")
 
 
 @query(

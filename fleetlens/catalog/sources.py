@@ -99,8 +99,7 @@ def collect_all_metrics(t: Tables) -> DataFrame:
     frames = {
         "requests_total": tsexpr.instant(t.counts, ["model_id"], RANGE, STEP),
         "latency_avg": tsexpr.latency_avg(t.latency, ["model_id"], RANGE, STEP),
-        "latency_p95": tsexpr.histogram_quantile(bucket_rates, 0.95, ["model_id", "ts"]),
-        "latency_p99": tsexpr.histogram_quantile(bucket_rates, 0.99, ["model_id", "ts"]),
+        "latency_p95 or p99": tsexpr.histogram_quantiles(bucket_rates, [0.95, 0.99], ["model_id", "ts"]),
         "cpu_usage_real": tsexpr.cpu_percent(t.idle, RANGE, STEP),
         "memory_usage_real": memory,
         "network_io_real": tsexpr.network_bytes(t.network, (), RANGE, STEP),
@@ -110,9 +109,10 @@ def collect_all_metrics(t: Tables) -> DataFrame:
         host = name.endswith("_real")
         model = F.lit("system") if host else F.col("model_id")
         instance = F.col("instance") if "instance" in frame.columns else F.lit("unknown" if host else None)
+        metric = F.when(F.col("q") == 0.95, "latency_p95").otherwise("latency_p99") if "q" in frame.columns else F.lit(name)
         shaped.append(
             frame.where("value IS NOT NULL").select(
-                F.lit(name).alias("metric_name"),
+                metric.alias("metric_name"),
                 model.alias("model_id"),
                 instance.cast("string").alias("instance"),
                 "ts",

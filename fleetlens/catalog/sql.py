@@ -60,11 +60,11 @@ VIEWS = {
         FROM ev""",
     "received": """
         SELECT instance, device, ts, event_id AS id,
-               sum(cents * 100000) OVER (PARTITION BY instance, device ORDER BY ts, event_id)::DOUBLE AS value
+               sum(cents * 100) OVER (PARTITION BY instance, device ORDER BY ts, event_id)::DOUBLE AS value
         FROM ev""",
     "sent": """
         SELECT instance, device, ts, event_id AS id,
-               sum(cents * 50000) OVER (PARTITION BY instance, device ORDER BY ts, event_id)::DOUBLE AS value
+               sum(cents * 50) OVER (PARTITION BY instance, device ORDER BY ts, event_id)::DOUBLE AS value
         FROM ev""",
     "bounds": """
         SELECT unnest([0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0,

@@ -130,8 +130,8 @@ class Tables:
             "device",
             "ts",
             F.col("event_id").alias("id"),
-            (F.col("_t") * 100000).cast("double").alias("received"),
-            (F.col("_t") * 50000).cast("double").alias("sent"),
+            (F.col("_t") * 100).cast("double").alias("received"),
+            (F.col("_t") * 50).cast("double").alias("sent"),
             CHUNK,
         )
 

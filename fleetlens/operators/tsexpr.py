@@ -147,8 +147,10 @@ def histogram_build(
     return grouped.select(*keys, "sum", "count", F.explode(buckets).alias("b")).select(*keys, "b.le", "b.n", "sum", "count")
 
 
-def histogram_quantile(df: DataFrame, q: float, keys: Sequence[str], le: str = "le", value: str = "value") -> DataFrame:
-    """q-quantile of cumulative buckets, linear inside the bucket.
+def histogram_quantiles(
+    df: DataFrame, qs: Sequence[float], keys: Sequence[str], le: str = "le", value: str = "value"
+) -> DataFrame:
+    """Quantiles (rows q, value) of cumulative buckets, linear inside the bucket; one pass for all of them.
 
     A quantile in the +Inf bucket gives the bound below it; no observations give null.
     """
@@ -161,11 +163,22 @@ def histogram_quantile(df: DataFrame, q: float, keys: Sequence[str], le: str = "
         F.lag(value, 1, 0.0).over(by_bound).alias("c0"),
         F.max(value).over(W.partitionBy(*keys)).alias("total"),
     )
-    rank = F.lit(q) * F.col("total")
-    inside = F.col("le0") + (F.col("le") - F.col("le0")) * F.try_divide(rank - F.col("c0"), F.col("c") - F.col("c0"))
-    quantile = F.when(F.col("le") == float("inf"), F.col("le0")).otherwise(inside)
-    hit = (F.col("total") > 0) & (F.col("c") >= rank)
-    return below.groupBy(*keys).agg(F.min_by(quantile, F.when(hit, F.col("le"))).alias("value"))
+
+    def first_hit(q: float) -> Column:
+        rank = F.lit(q) * F.col("total")
+        inside = F.col("le0") + (F.col("le") - F.col("le0")) * F.try_divide(rank - F.col("c0"), F.col("c") - F.col("c0"))
+        quantile = F.when(F.col("le") == float("inf"), F.col("le0")).otherwise(inside)
+        hit = (F.col("total") > 0) & (F.col("c") >= rank)
+        return F.min_by(quantile, F.when(hit, F.col("le")))
+
+    found = below.groupBy(*keys).agg(*[first_hit(q).alias(f"_q{i}") for i, q in enumerate(qs)])
+    each = F.array(*[F.struct(F.lit(float(q)).alias("q"), F.col(f"_q{i}").alias("value")) for i, q in enumerate(qs)])
+    return found.select(*keys, F.explode(each).alias("x")).select(*keys, "x.q", "x.value")
+
+
+def histogram_quantile(df: DataFrame, q: float, keys: Sequence[str], le: str = "le", value: str = "value") -> DataFrame:
+    """One quantile of cumulative buckets."""
+    return histogram_quantiles(df, [q], keys, le, value).drop("q")
 
 
 def request_counts(logs: DataFrame, every: str = "1 hour") -> DataFrame:
