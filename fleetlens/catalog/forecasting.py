@@ -18,12 +18,23 @@ from fleetlens.session import fresh_folder, shared_folder
 TS = f"{text('timestamp')} AS timestamp"
 
 
-@query("fc_seasonal_fit")
+# The intercept of a fit is not penalised, so fitted values have the mean of the observed ones.
+MEAN_SQL = f"""
+    SELECT model_id, metric_name, count(value) AS points, {text('max(timestamp) FILTER (value IS NOT NULL)')} AS last_time,
+           {r6('avg(value)')} AS mean_fitted
+    FROM hourly GROUP BY model_id, metric_name HAVING count(value) >= 8"""
+
+
+def _mean_fitted(t: Tables, fits: DataFrame) -> DataFrame:
+    """Size and end of each fit with the mean of its values at the observed times."""
+    fitted = forecast.fitted_values(t.hourly.where("value IS NOT NULL"), fits)
+    means = fitted.groupBy("model_id", "metric_name").agg(F.avg("yhat").alias("mean_fitted"))
+    return fits.select("model_id", "metric_name", "points", "last_time").join(means, ["model_id", "metric_name"])
+
+
+@query("fc_seasonal_fit", MEAN_SQL)
 def seasonal_fit(t: Tables) -> DataFrame:
-    fits = forecast.seasonal_fit(t.hourly)
-    return fits.select(
-        "model_id", "metric_name", "points", "last_time", F.size("coefficients").alias("terms"), F.col("coefficients")[0].alias("level"), "sigma"
-    )
+    return _mean_fitted(t, forecast.seasonal_fit(t.hourly))
 
 
 @query("fc_seasonal_predict")
@@ -112,23 +123,32 @@ def flat_from_latest(t: Tables) -> DataFrame:
     return now.unionByName(past)
 
 
-@query("fc_model_store")
+@query("fc_model_store", MEAN_SQL)
 def model_store(t: Tables) -> DataFrame:
     """Two fits are stored; the newer one is loaded and used."""
     path = fresh_folder(t.spark, "fits")
     early = t.hourly.where(F.col("timestamp") < moment("2024-01-15"))
     forecast.save_fits(forecast.seasonal_fit(early), path, "2024-01-15")
     forecast.save_fits(forecast.seasonal_fit(t.hourly), path, "2024-01-31")
-    fits = forecast.load_fits(t.spark, path)
-    return fits.select("model_id", "metric_name", "points", "fitted_at", F.col("coefficients")[0].alias("level"), "sigma")
+    return _mean_fitted(t, forecast.load_fits(t.spark, path))
 
 
-@query("ml_linear_fit")
+@query(
+    "ml_linear_fit",
+    f"""
+    SELECT 'x' || (i - 1) AS term, {r6('avg(x * label)')} AS moment
+    FROM (SELECT label::DOUBLE AS label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY i
+    UNION ALL SELECT 'intercept', {r6('avg(label::DOUBLE)')} FROM embeddings""",
+)
 def linear_fit(t: Tables) -> DataFrame:
-    """Coefficients of the label on the vectors, one row per term."""
+    """Mean of prediction times each feature. Least squares makes it that of label times feature."""
     model = scoring.linear_fit(t.vectors)
-    values = [("intercept", float(model.intercept))] + [(f"x{i}", float(w)) for i, w in enumerate(model.coefficients)]
-    return t.spark.createDataFrame(values, "term STRING, weight DOUBLE")
+    fitted = t.spark.createDataFrame([([float(w) for w in model.coefficients], float(model.intercept))], "w ARRAY<DOUBLE>, b DOUBLE")
+    models = fitted.select(F.lit("all").alias("model_id"), F.col("w").alias("coefficients"), F.col("b").alias("intercept"))
+    scored = scoring.batch_score(t.vectors.withColumn("model_id", F.lit("all")), models, ["features"])
+    terms = scored.select("prediction", F.posexplode("features").alias("i", "x"))
+    moments = terms.groupBy(F.concat(F.lit("x"), F.col("i").cast("string")).alias("term")).agg(F.avg(F.col("x") * F.col("prediction")).alias("moment"))
+    return moments.unionByName(scored.agg(F.lit("intercept").alias("term"), F.avg("prediction").alias("moment")))
 
 
 view(

@@ -25,6 +25,12 @@ def time_range(df: DataFrame, start: Moment | None = None, end: Moment | None =
     return df
 
 
+def lookback(df: DataFrame, now: Moment, minutes: int = 24 * 60, ts: str = "timestamp") -> DataFrame:
+    """Rows of the last minutes up to now; the default is a day."""
+    at = moment(now)
+    return df.where((F.col(ts) >= at - F.expr(f"INTERVAL {minutes} MINUTES")) & (F.col(ts) <= at))
+
+
 def label_match(df: DataFrame, wanted: Mapping[str, str], labels: str = "labels") -> DataFrame:
     """Series whose label map holds every given value."""
     for name, value in wanted.items():
@@ -74,6 +80,11 @@ def check_columns(df: DataFrame, required: Mapping[str, str]) -> list[str]:
     return problems
 
 
+def check_any(df: DataFrame, choices: Sequence[Mapping[str, str]]) -> list[str]:
+    """No problems if the frame fits one of several column sets, else those of the nearest set."""
+    return min((check_columns(df, c) for c in choices), key=len)
+
+
 def quality_report(
     df: DataFrame,
     ranges: Mapping[str, tuple[float, float]] = VALUE_RANGES,

@@ -114,6 +114,18 @@ def seasonal_fit(df: DataFrame, slot: int = SLOT, min_points: int = MIN_POINTS)
     return sums.groupBy(*SERIES).applyInPandas(fit, FIT_SCHEMA)
 
 
+def _model_value(ts: str, slot: int) -> Column:
+    """The fitted model at a time; the row carries the fit."""
+    seconds = _slot(ts, slot) * slot
+    features = [F.lit(1.0), (F.unix_micros(ts) / F.lit(DAY * 1e6) - F.col("center")) / F.col("scale")]
+    for period, order in ((DAY, DAILY_ORDER), (WEEK, WEEKLY_ORDER)):
+        for k in range(1, order + 1):
+            angle = F.lit(2 * math.pi * k / period) * seconds
+            features += [F.sin(angle), F.cos(angle)]
+    products = F.zip_with("coefficients", F.array(*features), lambda b, x: b * x)
+    return F.aggregate(products, F.lit(0.0), lambda a, x: a + x)
+
+
 def seasonal_predict(
     fits: DataFrame, horizon_minutes: int = 30, step_minutes: int = 5, include_start: bool = True, slot: int = SLOT
 ) -> DataFrame:
@@ -124,15 +136,7 @@ def seasonal_predict(
     grid = fits.withColumn("step", steps).withColumn(
         "timestamp", F.timestamp_seconds(F.unix_seconds("last_time") + F.col("step") * step_minutes * 60)
     )
-    seconds = _slot("timestamp", slot) * slot
-    features = [F.lit(1.0), (F.unix_micros("timestamp") / F.lit(DAY * 1e6) - F.col("center")) / F.col("scale")]
-    for period, order in ((DAY, DAILY_ORDER), (WEEK, WEEKLY_ORDER)):
-        for k in range(1, order + 1):
-            angle = F.lit(2 * math.pi * k / period) * seconds
-            features += [F.sin(angle), F.cos(angle)]
-    products = F.zip_with("coefficients", F.array(*features), lambda b, x: b * x)
-    yhat = F.aggregate(products, F.lit(0.0), lambda a, x: a + x)
-    return grid.withColumn("yhat", yhat).select(
+    return grid.withColumn("yhat", _model_value("timestamp", slot)).select(
         *SERIES,
         "timestamp",
         "yhat",
@@ -141,6 +145,12 @@ def seasonal_predict(
     )
 
 
+def fitted_values(df: DataFrame, fits: DataFrame, slot: int = SLOT) -> DataFrame:
+    """Rows of fitted series with the model's value ``yhat`` at their time, to judge a fit by."""
+    models = fits.select(*SERIES, "coefficients", "center", "scale")
+    return df.join(models, SERIES).withColumn("yhat", _model_value("timestamp", slot)).drop("coefficients", "center", "scale")
+
+
 def postprocess(forecast: DataFrame, floors: Mapping[str, float] = FORECAST_FLOORS, latency_exp: bool = False) -> DataFrame:
     """Hold forecasts above the metric's floor and the bounds around the forecast.
 

@@ -13,6 +13,7 @@ from fleetlens.operators.alerts import resource_alerts
 from fleetlens.operators.logs import normalize
 from fleetlens.operators.tsexpr import counter_delta
 from fleetlens.schemas import MAX_FAILED_CHECKS
+from fleetlens.sources.documents import store_documents
 
 WATERMARK = "5 minutes"
 
@@ -80,6 +81,20 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
+def store_predictions(documents: DataFrame, path: str, checkpoint: str, expire_seconds: int) -> StreamingQuery:
+    """Append prediction documents to their store; a repeated batch overwrites its own folder."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        store_documents(batch, f"{path}/batch={batch_id}", expire_seconds, mode="overwrite")
+
+    return (
+        documents.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(store)
+        .start()
+    )
+
+
 def evaluate_periodically(
     snapshots: DataFrame,
     path: str,

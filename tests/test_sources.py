@@ -124,6 +124,7 @@ def test_time_range(spark):
     df = spark.createDataFrame([(0,), (10,), (20,)], "s BIGINT").withColumn("timestamp", F.timestamp_seconds("s"))
     kept = filters.time_range(df, datetime(1970, 1, 1, 0, 0, 10), datetime(1970, 1, 1, 0, 0, 20))
     assert rows(kept, "s") == [(10,), (20,)]
+    assert rows(filters.lookback(df, "1970-01-01 00:01:10", 1), "s") == [(10,), (20,)]
     with pytest.raises(ValueError):
         filters.time_range(df, datetime(2024, 1, 2), datetime(2024, 1, 2))
 
@@ -143,6 +144,8 @@ def test_relabel(spark):
 def test_checks(spark):
     df = spark.createDataFrame([("x",)], "value STRING")
     assert filters.check_columns(df, {"value": "number", "timestamp": "time"}) == ["missing column timestamp", "column value must be numeric"]
+    assert filters.check_any(df, [{"cpu": "number", "memory": "number"}, {"value": "text"}]) == []
+    assert filters.check_any(df, [{"cpu": "number", "memory": "number"}, {"cpu": "number"}]) == ["missing column cpu"]
     rows_ = [("requests_total", 5.0), ("latency_avg", 500.0), ("latency_avg", None), ("other", 1e9)]
     clipped = filters.clip_to_range(spark.createDataFrame(rows_, "metric_name STRING, value DOUBLE"))
     assert rows(clipped, "metric_name", "value", "clipped") == [

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators import alerts, tsexpr
 from fleetlens.session import ROCKSDB, fresh_folder
+from fleetlens.sources.documents import latest_document, read_store
+from fleetlens.sources.metrics import parse_messages
 from fleetlens.streaming import jobs
 from fleetlens.streaming.alert_state import hold_stream
 from tests.conftest import rows
@@ -111,6 +113,23 @@ def test_ingest_continues_from_its_checkpoint(spark):
     assert rows(table.where("event_id < 2"), "event_id", "level") == [(0, "INFO"), (1, "WARNING")]
 
 
+def test_prediction_store(spark):
+    df = spark.createDataFrame([("a", 0, 1.0), ("a", 86400, 2.0)], "model_id STRING, s BIGINT, cpu DOUBLE").withColumn("timestamp", F.timestamp_seconds("s"))
+    stream, path = sliced(spark, df, "s", 2)
+    jobs.store_predictions(stream, path + "-out", path + "-ck", 300).awaitTermination()
+    store = read_store(spark, path + "-out")
+    assert rows(store, "key", "batch") == [("prediction:19700101000000", 0), ("prediction:19700102000000", 1)]
+    assert rows(latest_document(store, "1970-01-02 00:01:00"), "model_id", "cpu") == [("a", 2.0)]
+
+
+def test_messages_as_a_stream(spark):
+    body = '{"metric_name": "x", "value": %s, "timestamp": "t", "labels": {"model_id": "m"}}'
+    df = spark.createDataFrame([(i, body % v) for i, v in enumerate(["1", '"1"', "2.5"])], "s BIGINT, value STRING").withColumn("timestamp", F.timestamp_seconds("s"))
+    stream, path = sliced(spark, df, "s", 2)
+    jobs.append_to(parse_messages(stream), path + "-out", path + "-ck").awaitTermination()
+    assert rows(spark.read.parquet(path + "-out"), "metric_name", "value") == [("x", 1.0), ("x", 2.5)]
+
+
 def test_periodic_evaluation(spark):
     df = spark.createDataFrame([("a", 90.0, 1.0), ("b", 1.0, 1.0)], "model_id STRING, cpu_percent DOUBLE, memory_percent DOUBLE")
     stream, path = sliced(spark, df, "model_id", 2)
