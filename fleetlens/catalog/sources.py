@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.catalog.registry import query
 from fleetlens.catalog.sql import at, instant, r6, rate, text, view
-from fleetlens.catalog.tables import Tables, logs_of, events_of
+from fleetlens.catalog.tables import Tables, events_of, logs_of, metric_name
 from fleetlens.functions.scalars import moment
 from fleetlens.operators import tsexpr
 from fleetlens.operators.filters import time_range
@@ -137,8 +137,6 @@ def kafka_metrics(t: Tables) -> DataFrame:
 
 def messages(t: Tables) -> DataFrame:
     """Metric messages as a topic would hold them; some are invalid."""
-    from fleetlens.catalog.tables import metric_name
-
     labels = F.create_map(F.lit("model_id"), F.col("model_id")).alias("labels")
     name, value, at_ = metric_name().alias("metric_name"), F.col("value"), F.col("ts").cast("string").alias("timestamp")
     kind = F.col("event_id") % 11
@@ -172,8 +170,7 @@ def inference_log_stream(t: Tables) -> DataFrame:
     SELECT model_id, CASE WHEN number < 8 THEN 'healthy' ELSE 'unknown' END AS status, 8000 + number AS port,
            'http://localhost:' || (8000 + number) AS url, CASE WHEN number < 8 THEN 2 END AS n_features
     FROM (SELECT DISTINCT (user_id % 10)::INTEGER AS number, 'm' || (user_id % 10) AS model_id FROM ev)
-    WHERE number < 8 OR number <> 9
-    """,
+    WHERE number <> 9""",
 )
 def registry(t: Tables) -> DataFrame:
     """Registry documents written as text and read back, plus ids known from port files alone."""
@@ -190,7 +187,7 @@ def registry(t: Tables) -> DataFrame:
         F.concat(F.lit("m"), F.col("n").cast("string"), F.lit(".port")).alias("file_name"),
         F.when(F.col("n") == 9, "none").otherwise(F.concat((F.col("n") + 8000).cast("string"), F.lit("\n"))).alias("value"),
     )
-    rows = reg.with_port_files(reg.read_registry(t.spark, path), ports.withColumn("value", F.regexp_replace("value", "\n", " ")))
+    rows = reg.with_port_files(reg.read_registry(t.spark, path), ports)
     return rows.select(
         "model_id", "status", "port", "url", F.when(F.col("features").isNotNull(), F.size("features")).alias("n_features")
     )

@@ -87,18 +87,17 @@ def previous(
 ) -> DataFrame:
     """Adds ``prev_<c>``: the value of ``c`` in the row before, null in a series' first row.
 
-    The last row of each chunk is found by the same sort that serves the window. Where ``df`` has
-    no columns beyond keys, order and ``cols``, both uses share one shuffle.
+    ``order`` is the time and, where times tie, a whole number such as a row id. The last row of each
+    chunk comes from a hash aggregate, so the rows themselves are shuffled and sorted once.
     """
+    parts = chunked(df, ts, seconds)
     part = [*keys, CHUNK]
-    inside = W.partitionBy(*part).orderBy(*order)
     row = F.struct(*[F.col(c) for c in cols])
-    marked = chunked(df, ts, seconds).withColumn("_lag", F.lag(row).over(inside)).withColumn("_ahead", F.lead(ts).over(inside))
-    over_chunks = W.partitionBy(*keys).orderBy(CHUNK)
-    inherited = marked.where(F.col("_ahead").isNull()).select(*part, row.alias("_final"))
-    inherited = inherited.select(*part, F.lag("_final").over(over_chunks).alias("_carry"))
+    final = F.struct(*[F.max_by(c, place(*order)).alias(c) for c in cols])
+    before = W.partitionBy(*keys).orderBy(CHUNK)
+    inherited = parts.groupBy(*part).agg(final.alias("_final")).select(*part, F.lag("_final").over(before).alias("_carry"))
     return (
-        marked.drop("_ahead")
+        parts.withColumn("_lag", F.lag(row).over(W.partitionBy(*part).orderBy(*order)))
         .join(inherited, part)
         .withColumn("_prev", F.coalesce("_lag", "_carry"))
         .select(*df.columns, *[F.col(f"_prev.{c}").alias(f"prev_{c}") for c in cols])
