@@ -10,7 +10,6 @@ from fleetlens.catalog.cleaning import twice
 from fleetlens.catalog.registry import query
 from fleetlens.catalog.sql import at, evaluations, hold, r6, text
 from fleetlens.catalog.tables import Tables, events_of, logs_of
-from fleetlens.functions.scalars import moment
 from fleetlens.operators import tsexpr
 from fleetlens.operators.alerts import resource_alerts
 from fleetlens.session import ROCKSDB, fresh_folder
@@ -42,14 +41,15 @@ def log_ingest(t: Tables) -> DataFrame:
     f"""
     SELECT model_id, {at('e')} AS ts, count(*) AS n, {r6('avg(latency)')} AS mean
     FROM (SELECT model_id, latency, {evaluations(15, 300)} AS e FROM (SELECT model_id, latency, timestamp AS ts FROM logs))
-    WHERE make_timestamp(e * 1000000) <= TIMESTAMP '2024-01-30 12:00:00' GROUP BY model_id, e""",
+    WHERE make_timestamp(e * 1000000) <= (SELECT max(timestamp) - INTERVAL 15 MINUTES FROM logs) GROUP BY model_id, e""",
 )
 def sliding_metrics(t: Tables) -> DataFrame:
-    """Ranges that ended before noon of the last day; later ones may still be open."""
+    """All ranges but those of the last 15 minutes, which the watermark may not have closed."""
     path = fresh_folder(t.spark, "sliding")
     stream = jobs.sliding_metrics(logs_of(_events(t)), ["model_id"])
     jobs.append_to(stream, path + "/table", path + "/checkpoint").awaitTermination()
-    return t.spark.read.parquet(path + "/table").where(F.col("ts") <= moment("2024-01-30 12:00:00"))
+    closed = t.logs.agg(F.max("timestamp") - F.expr("INTERVAL 15 MINUTES")).scalar()
+    return t.spark.read.parquet(path + "/table").where(F.col("ts") <= closed)
 
 
 @query(
