@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import jaccard, language_id, mixing, pii, sharding
+from fleetlens.llm import decontaminate, jaccard, language_id, mixing, pii, sharding
 from fleetlens.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("t")
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
+    "op4_decontamination": op4_decontamination,
     "op5_jaccard": op5_jaccard,
     "op7_pii": op7_pii,
     "op8_language_id": op8_language_id,
@@ -40,4 +45,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.ORACLE,
+    "op4_decontamination": decontaminate.ORACLE,
 }
