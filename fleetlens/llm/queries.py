@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import decontaminate, jaccard, language_id, mixing, pii, sharding
+from fleetlens.llm import decontaminate, jaccard, language_id, mixing, pii, sharding, urls
 from fleetlens.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents"))
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
     "op5_jaccard": op5_jaccard,
+    "op6_urls": op6_urls,
     "op7_pii": op7_pii,
     "op8_language_id": op8_language_id,
     "op10_sharding": op10_sharding,
