@@ -31,7 +31,7 @@ MAX_GRAMS = 20_000
 LONGEST = 4
 SMOOTHING = 0.5
 FOLDS = 5
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.2
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 CACHED_WORDS = 200_000
