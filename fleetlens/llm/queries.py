@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import decontaminate, jaccard, language_id, licenses, mixing, pii, sharding, substrings, urls
+from fleetlens.llm import decontaminate, jaccard, language_id, licenses, mixing, pii, sharding, substrings, urls, vectors
 from fleetlens.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_urls": op6_urls,
     "op7_pii": op7_pii,
     "op8_language_id": op8_language_id,
+    "op9_vectors": op9_vectors,
     "op10_sharding": op10_sharding,
 }
 
