@@ -37,6 +37,12 @@ def all_columns(df: DataFrame) -> list[Column]:
     return [df[f"`{c}`"] for c in df.columns]
 
 
+def row_keys(df: DataFrame) -> tuple[Column, Column]:
+    """128 bits that stand for all values of a row. Spark's hash passes over nulls, so these are named."""
+    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in all_columns(df)])
+    return F.xxhash64(*all_columns(df), nulls), F.xxhash64(F.lit(1), *all_columns(df), nulls)
+
+
 def expand_copies(groups: DataFrame, count: str) -> DataFrame:
     """One row per copy, numbered from 0 in ``_copy``. A group of any size is spread over tasks in chunks."""
     chunks = groups.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col(count) - 1) / CHUNK_ROWS).cast("int"))))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import written
+from fleetlens.llm.common import PLAIN_WORD, written
 from fleetlens.llm.components import components
 
 WIDTH = 5
@@ -91,7 +91,7 @@ def _digest(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def _token_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n, counted (tokens of the counted class), d1, d2 (digest of the set), tokens (those of the prefix or counted).
+    """doc_id, k, t, n, counted (tokens of the counted class), d1, d2 (digest of the set), tokens (those of the prefix or counted).
 
     Of equal sets in one task only the first carries its tokens.
     """
@@ -114,8 +114,8 @@ def _token_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             beyond = max(0, prefix_length(len(tokens)) - few)
             sent.append(np.concatenate([tokens[in_class], tokens[~in_class][:beyond]]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(counted, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), _lists(sent)],
-            ["doc_id", "n", "counted", "d1", "d2", "tokens"],
+            [*(batch.column(c) for c in ("doc_id", "k", "t")), pa.array(n, pa.int64()), pa.array(counted, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), _lists(sent)],
+            ["doc_id", "k", "t", "n", "counted", "d1", "d2", "tokens"],
         )
 
 
@@ -170,12 +170,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataF
 
 
 def linked(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (one row of each component) for every row of ``documents``.
+    """doc_id, n_shingles, component_id, kept (one row of each component), and the row's key: k and t.
 
-    ``row`` and ``t`` (a hash of the text) tell rows with the same id apart.
+    k is a hash of id and text, t one of the text.
     """
-    sets = documents.select("doc_id", "text").mapInArrow(
-        _token_sets, "doc_id long, n long, counted long, d1 long, d2 long, tokens array<long>"
+    sets = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), F.xxhash64("text").alias("t"), "text").mapInArrow(
+        _token_sets, "doc_id long, k long, t long, n long, counted long, d1 long, d2 long, tokens array<long>"
     )
     sets = written(sets.withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
     nodes = sets.where("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
@@ -221,8 +221,17 @@ def linked(documents: DataFrame) -> DataFrame:
     sizes = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = sizes.groupBy("component").agg(F.min("least").alias("component_id"))
     sizes = sizes.join(ids, "component").select("d1", "d2", "component", "component_id")
-    rows = sets.where("n > 0").select("doc_id", "n", "d1", "d2", "row").join(sizes, ["d1", "d2"])
+    rows = sets.where("n > 0").select("doc_id", "k", "t", "n", "d1", "d2", "row").join(sizes, ["d1", "d2"])
     stays = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("row").alias("stays"))
-    rows = rows.join(stays, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("row") == F.col("stays")).alias("kept"))
-    alone = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    rows = rows.join(stays, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("row") == F.col("stays")).alias("kept"), "k", "t")
+    alone = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "k", "t")
     return rows.unionByName(alone)
+
+
+def deduplicated(documents: DataFrame) -> DataFrame:
+    """One document of each component: the one with the smallest id, one row of it; texts without words stay."""
+    stays = linked(documents).where("kept and n_shingles > 0").select(F.col("k").alias("_k"), F.col("t").alias("_t"))
+    worded = F.coalesce(F.col("text").rlike(PLAIN_WORD), F.lit(False))
+    keyed = documents.where(worded).withColumns({"_k": F.xxhash64("doc_id", "text"), "_t": F.xxhash64("text")})
+    one = keyed.dropDuplicates(["_k", "_t"]).join(stays, ["_k", "_t"], "left_semi").drop("_k", "_t")
+    return one.unionByName(documents.where(~worded))

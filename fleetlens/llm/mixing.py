@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import COPY, PLAIN_WORD, expand_copies, running_offsets
+from fleetlens.llm.common import COPY, PLAIN_WORD, expand_copies, row_keys, running_offsets
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -187,17 +187,18 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
     A document drawn whole keeps its text as it is; one without words is in no pass and goes.
     """
     columns = documents.columns
-    documents = documents.withColumn("_h", F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]))))
-    units = with_units(documents, ["_h"])
+    k1, k2 = row_keys(documents)
+    documents = documents.withColumns({"_k1": k1, "_k2": k2})
+    units = with_units(documents, ["_k1", "_k2"])
     drawn, _ = mix(units)
     picked = drawn.groupBy("unit", "pass").agg(
         F.sort_array(F.collect_list(F.struct("block", "words"))).alias("_picked"), F.sum("words").alias("_words")
     )
-    picked = picked.join(units.select("unit", "_h", "size"), "unit")
-    rows = documents.dropDuplicates(["_h"]).join(picked, "_h")
+    picked = picked.join(units.select("unit", "_k1", "_k2", F.col("size").alias("_size")), "unit").drop("unit", "pass")
+    rows = documents.dropDuplicates(["_k1", "_k2"]).join(picked, ["_k1", "_k2"])
     pieces = F.regexp_extract_all("text", F.lit(rf"{PLAIN_WORD}[\x20\x09-\x0D]*"), F.lit(0))
     parts = F.flatten(F.transform("_picked", lambda p: F.slice(F.col("_pieces"), p["block"] * BLOCK_WORDS + 1, p["words"].cast("int"))))
-    whole = F.col("_words") == F.col("size")
+    whole = F.col("_words") == F.col("_size")
     text = F.when(whole, F.col("text")).otherwise(F.array_join(parts, ""))
     rows = rows.withColumn("_pieces", F.when(~whole, pieces)).withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long"))
     return rows.select(*columns)

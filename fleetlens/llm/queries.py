@@ -27,7 +27,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.linked(table(spark, sf_dir, "documents"))
+    return jaccard.linked(table(spark, sf_dir, "documents")).drop("k", "t")
 
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

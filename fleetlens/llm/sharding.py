@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import COPY, all_columns, running_offsets, tell_copies_apart
+from fleetlens.llm.common import CHUNK_ROWS, COPY, all_columns, row_keys, running_offsets, tell_copies_apart
 
 ROUNDS = 8
 #: The domain is less than twice the row count, so a walk longer than this has a chance of 2^-128.
@@ -94,41 +94,50 @@ class Feistel:
         return F.when(walked < size, walked).otherwise(F.raise_error(F.lit("the walk did not end")).cast("long"))
 
 
-def global_numbers(df: DataFrame, number: str = "row_number") -> DataFrame:
-    """Numbers all rows from 0, the same in every run over the same rows.
+def global_numbers(keys: DataFrame, number: str = "row_number") -> DataFrame:
+    """Numbers all rows from 0, the same in every run over the same rows; equal rows get ``_copy`` as well.
 
     The order is that of a hash over all columns and the copy number. Rows are counted per hash bucket, the
     counts are summed up over the (fixed number of) buckets, and rows are numbered inside their bucket.
     """
-    rows = tell_copies_apart(df)
+    rows = tell_copies_apart(keys)
     rows = rows.withColumn("_h", F.xxhash64(*all_columns(rows)))
     rows = rows.withColumn("_bucket", F.pmod(F.col("_h"), F.lit(BUCKETS)).cast("int"))
     totals = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     offsets = running_offsets(totals.withColumn("_all", F.lit(0)), ["_all"], "_bucket", ["_rows"]).drop("_all")
-    inside = W.partitionBy("_bucket").orderBy("_h", *[F.col(f"`{c}`") for c in df.columns], COPY)
+    inside = W.partitionBy("_bucket").orderBy("_h", *[F.col(f"`{c}`") for c in keys.columns], COPY)
     return (
         rows.withColumn("_inside", F.row_number().over(inside))
         .join(offsets, "_bucket")
         .withColumn(number, F.col("_rows_before") + F.col("_inside") - 1)
-        .drop("_h", "_bucket", "_inside", "_rows_before", COPY)
+        .drop("_h", "_bucket", "_inside", "_rows_before")
     )
 
 
 def shard(df: DataFrame, shards: int, seed: int = 42) -> DataFrame:
     """Adds ``shard`` (0 .. shards-1) and ``slot`` (gapless from 0 in each shard).
 
-    Shard sizes differ by one row at most. All columns of ``df`` must be of types that can be grouped.
+    Shard sizes differ by one row at most. Places are worked out on 128-bit keys of the rows; the rows
+    themselves are shuffled once, to meet their places. ``df`` is read twice and must give the same rows.
     """
-    clash = {"shard", "slot", "row_number", COPY} & set(df.columns)
+    clash = {"shard", "slot", "row_number", "_k1", "_k2", "_n", COPY} & set(df.columns)
     if clash:
         raise ValueError(f"columns in the way: {sorted(clash)}")
-    feistel = Feistel(df.count(), seed)
-    return (
-        global_numbers(df)
-        .withColumn("_place", feistel.column(F.col("row_number")))
-        .withColumn("shard", F.pmod(F.col("_place"), F.lit(shards)).cast("int"))
-        .withColumn("slot", F.floor(F.col("_place") / F.lit(shards)).cast("long"))
-        .drop("_place", "row_number")
+    k1, k2 = row_keys(df)
+    keyed = df.withColumns({"_k1": k1, "_k2": k2})
+    keys = keyed.select("_k1", "_k2")
+    feistel = Feistel(keys.count(), seed)
+    place = feistel.column(F.col("row_number"))
+    places = global_numbers(keys).withColumn("_place", place).withColumn("_part", F.floor(F.col(COPY) / CHUNK_ROWS).cast("int"))
+    once = keyed.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*all_columns(df))).alias("_row"))
+    # a row with very many copies meets them in parts
+    few = once.where(F.col("_n") <= CHUNK_ROWS).withColumn("_part", F.lit(0)).join(places, ["_k1", "_k2", "_part"])
+    parts = F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / CHUNK_ROWS).cast("int")))
+    many = once.where(F.col("_n") > CHUNK_ROWS).withColumn("_part", parts).join(places, ["_k1", "_k2", "_part"])
+    return few.unionByName(many).select(
+        "_row.*",
+        F.pmod(F.col("_place"), F.lit(shards)).cast("int").alias("shard"),
+        F.floor(F.col("_place") / F.lit(shards)).cast("long").alias("slot"),
     )
 
 
