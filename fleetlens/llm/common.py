@@ -33,6 +33,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front if the frame has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def packed(df: DataFrame, **more: Column) -> DataFrame:
+    """The rows as one column ``row`` beside columns of our own, so that no names clash; see ``unpacked``."""
+    return df.select(F.struct(*all_columns(df)).alias("row"), *[c.alias(name) for name, c in more.items()])
+
+
+def unpacked(df: DataFrame, columns: Sequence[str], **changed: Column) -> DataFrame:
+    """The columns out of ``row``, with some of them changed."""
+    return df.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in columns])
+
+
 def all_columns(df: DataFrame) -> list[Column]:
     return [df[f"`{c}`"] for c in df.columns]
 

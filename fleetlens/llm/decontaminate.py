@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import ascii_lower, written
+from fleetlens.llm.common import ascii_lower, packed, unpacked, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -121,7 +121,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that hold no window of the benchmark."""
     bad = contamination(documents, benchmark).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct()
-    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_t")), "left_anti")
+    rows = packed(documents, id=F.col("doc_id"), t=F.xxhash64("text"))
+    good = rows.join(bad, F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")), "left_anti")
+    return unpacked(good, documents.columns)
 
 
 ORACLE = r"""

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import PLAIN_WORD, written
+from fleetlens.llm.common import PLAIN_WORD, packed, unpacked, written
 from fleetlens.llm.components import components
 
 WIDTH = 5
@@ -232,6 +232,6 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     """One document of each component: the one with the smallest id, one row of it; texts without words stay."""
     stays = linked(documents).where("kept and n_shingles > 0").select(F.col("k").alias("_k"), F.col("t").alias("_t"))
     worded = F.coalesce(F.col("text").rlike(PLAIN_WORD), F.lit(False))
-    keyed = documents.where(worded).withColumns({"_k": F.xxhash64("doc_id", "text"), "_t": F.xxhash64("text")})
-    one = keyed.dropDuplicates(["_k", "_t"]).join(stays, ["_k", "_t"], "left_semi").drop("_k", "_t")
-    return one.unionByName(documents.where(~worded))
+    keyed = packed(documents.where(worded), _k=F.xxhash64("doc_id", "text"), _t=F.xxhash64("text"))
+    one = keyed.dropDuplicates(["_k", "_t"]).join(stays, ["_k", "_t"], "left_semi")
+    return unpacked(one, documents.columns).unionByName(documents.where(~worded))

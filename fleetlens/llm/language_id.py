@@ -24,6 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from fleetlens.llm.common import free_name
 
 FIT_DOCUMENTS = 400
 MAX_WORDS = 100_000
@@ -135,11 +138,9 @@ class Speaker:
         return self.langs[lang], float(min(1.0, max(0.0, score)))
 
 
-def predict(documents: DataFrame, model: dict) -> DataFrame:
-    """All columns of ``documents`` with ``lang_pred`` and ``score``."""
-    clash = {"lang_pred", "score"} & set(documents.columns)
-    if clash:
-        raise ValueError(f"columns in the way: {sorted(clash)}")
+def predict(documents: DataFrame, model: dict, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All columns of ``documents`` with the prediction and its score; columns of these names are replaced."""
+    documents = documents.drop(pred, score)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     text_at = documents.columns.index("text")
 
@@ -149,10 +150,10 @@ def predict(documents: DataFrame, model: dict) -> DataFrame:
             found = [speaker.predict(t) for t in batch.column(text_at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                [*batch.schema.names, "lang_pred", "score"],
+                [*batch.schema.names, pred, score],
             )
 
-    schema = documents.select("*").schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([*documents.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
     return documents.mapInArrow(run, schema)
 
 
@@ -166,5 +167,6 @@ def identify(documents: DataFrame) -> DataFrame:
 
 def understood(documents: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """Documents whose language is known; undetermined ones and those of mixed speech go."""
-    found = predict(documents, fit(documents))
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score)).drop("lang_pred", "score")
+    pred, score = free_name(documents, "lang_pred"), free_name(documents, "score")
+    found = predict(documents, fit(documents), pred, score)
+    return found.where((F.col(pred) != UNDETERMINED) & (F.col(score) >= least_score)).drop(pred, score)

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import COPY, PLAIN_WORD, expand_copies, row_keys, running_offsets
+from fleetlens.llm.common import COPY, PLAIN_WORD, expand_copies, packed, row_keys, running_offsets, unpacked, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -98,6 +98,7 @@ def mix(units: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS,
     it from its start, ``place`` the order in its shard; and the sources (source, source_size, target).
     """
     spark = units.sparkSession
+    units = written(units, "mix-units")  # the texts are read once
     per_source = (
         units.groupBy("source")
         .agg(F.sum("size").alias("size"), F.sum(F.ceil(F.col("size") / block_words)).alias("blocks"))
@@ -186,22 +187,20 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
 
     A document drawn whole keeps its text as it is; one without words is in no pass and goes.
     """
-    columns = documents.columns
     k1, k2 = row_keys(documents)
-    documents = documents.withColumns({"_k1": k1, "_k2": k2})
-    units = with_units(documents, ["_k1", "_k2"])
+    units = with_units(documents.select(k1.alias("k1"), k2.alias("k2"), "source", "text"), ["k1", "k2"])
     drawn, _ = mix(units)
     picked = drawn.groupBy("unit", "pass").agg(
-        F.sort_array(F.collect_list(F.struct("block", "words"))).alias("_picked"), F.sum("words").alias("_words")
+        F.sort_array(F.collect_list(F.struct("block", "words"))).alias("picked"), F.sum("words").alias("words")
     )
-    picked = picked.join(units.select("unit", "_k1", "_k2", F.col("size").alias("_size")), "unit").drop("unit", "pass")
-    rows = documents.dropDuplicates(["_k1", "_k2"]).join(picked, ["_k1", "_k2"])
-    pieces = F.regexp_extract_all("text", F.lit(rf"{PLAIN_WORD}[\x20\x09-\x0D]*"), F.lit(0))
-    parts = F.flatten(F.transform("_picked", lambda p: F.slice(F.col("_pieces"), p["block"] * BLOCK_WORDS + 1, p["words"].cast("int"))))
-    whole = F.col("_words") == F.col("_size")
-    text = F.when(whole, F.col("text")).otherwise(F.array_join(parts, ""))
-    rows = rows.withColumn("_pieces", F.when(~whole, pieces)).withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long"))
-    return rows.select(*columns)
+    picked = picked.join(units.select("unit", "k1", "k2", "size"), "unit").drop("unit", "pass")
+    rows = packed(documents, k1=k1, k2=k2).dropDuplicates(["k1", "k2"]).join(picked, ["k1", "k2"])
+    pieces = F.regexp_extract_all(F.col("row.text"), F.lit(rf"{PLAIN_WORD}[\x20\x09-\x0D]*"), F.lit(0))
+    whole = F.col("words") == F.col("size")
+    rows = rows.withColumn("pieces", F.when(~whole, pieces))
+    parts = F.flatten(F.transform("picked", lambda p: F.slice(F.col("pieces"), p["block"] * BLOCK_WORDS + 1, p["words"].cast("int"))))
+    rows = rows.withColumn("text", F.when(whole, F.col("row.text")).otherwise(F.array_join(parts, "")))
+    return unpacked(rows, documents.columns, text=F.col("text"), n_chars=F.char_length("text").cast("long"))
 
 
 #: The same in SQL: the blocks are ranked by the same digests, the sources' targets by the same formula.

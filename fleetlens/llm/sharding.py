@@ -6,7 +6,7 @@ in either direction, without moving data.
 
 Defined results: an empty table gives an empty one. Nulls, empty texts and extra columns take part like
 other values. Equal rows are told apart by a copy number, so that each copy gets a place of its own;
-which of them gets which makes no difference. Columns named like the results are refused.
+which of them gets which makes no difference. Columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import CHUNK_ROWS, COPY, all_columns, row_keys, running_offsets, tell_copies_apart
+from fleetlens.llm.common import CHUNK_ROWS, COPY, all_columns, packed, row_keys, running_offsets, tell_copies_apart
 
 ROUNDS = 8
 #: The domain is less than twice the row count, so a walk longer than this has a chance of 2^-128.
@@ -117,25 +117,23 @@ def global_numbers(keys: DataFrame, number: str = "row_number") -> DataFrame:
 def shard(df: DataFrame, shards: int, seed: int = 42) -> DataFrame:
     """Adds ``shard`` (0 .. shards-1) and ``slot`` (gapless from 0 in each shard).
 
-    Shard sizes differ by one row at most. Places are worked out on 128-bit keys of the rows; the rows
+    Shard sizes differ by one row at most; columns ``shard`` and ``slot`` of ``df`` are replaced. Places are worked out on 128-bit keys of the rows; the rows
     themselves are shuffled once, to meet their places. ``df`` is read twice and must give the same rows.
     """
-    clash = {"shard", "slot", "row_number", "_k1", "_k2", "_n", COPY} & set(df.columns)
-    if clash:
-        raise ValueError(f"columns in the way: {sorted(clash)}")
+    columns = [c for c in df.columns if c.lower() not in ("shard", "slot")]
     k1, k2 = row_keys(df)
-    keyed = df.withColumns({"_k1": k1, "_k2": k2})
+    keyed = packed(df, _k1=k1, _k2=k2)
     keys = keyed.select("_k1", "_k2")
     feistel = Feistel(keys.count(), seed)
     place = feistel.column(F.col("row_number"))
     places = global_numbers(keys).withColumn("_place", place).withColumn("_part", F.floor(F.col(COPY) / CHUNK_ROWS).cast("int"))
-    once = keyed.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*all_columns(df))).alias("_row"))
+    once = keyed.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("_n"), F.first("row").alias("row"))
     # a row with very many copies meets them in parts
     few = once.where(F.col("_n") <= CHUNK_ROWS).withColumn("_part", F.lit(0)).join(places, ["_k1", "_k2", "_part"])
     parts = F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / CHUNK_ROWS).cast("int")))
     many = once.where(F.col("_n") > CHUNK_ROWS).withColumn("_part", parts).join(places, ["_k1", "_k2", "_part"])
     return few.unionByName(many).select(
-        "_row.*",
+        *[F.col("row")[c].alias(c) for c in columns],
         F.pmod(F.col("_place"), F.lit(shards)).cast("int").alias("shard"),
         F.floor(F.col("_place") / F.lit(shards)).cast("long").alias("slot"),
     )
