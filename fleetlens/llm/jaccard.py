@@ -165,7 +165,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataF
     both = both.withColumns({"pa": _prefix("na").cast("int"), "pb": _prefix("nb").cast("int")})
     up = F.arrays_overlap(F.slice("ta", F.lit(1), F.col("pa")), F.slice("tb", F.lit(1), F.col("pb")))
     down = F.arrays_overlap(F.slice("ta", -F.col("pa"), F.col("pa")), F.slice("tb", -F.col("pb"), F.col("pb")))
-    both = both.where(_near_sizes("na", "nb") & up & down).withColumn("common", F.size(F.array_intersect("ta", "tb")))
+    both = both.where(_near_sizes("na", "nb") & up & down).withColumn("common", F.size(F.array_intersect("ta", "tb")).cast("long"))
     return both.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * PERCENT).select("a", "b").distinct()
 
 

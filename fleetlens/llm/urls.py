@@ -117,7 +117,7 @@ def judge(pages: DataFrame) -> DataFrame:
     if scores.count() <= BROADCAST_GRAMS:
         scores = F.broadcast(scores)
     scored = each.select("s", "gram").join(scores, "gram").groupBy("s").agg(F.sum("score").alias("sum"))
-    scored = scored.withColumn("score", F.col("sum") / (UNIT * (F.char_length("s") + 1)))
+    scored = scored.withColumn("score", F.col("sum") / (F.lit(float(UNIT)) * (F.char_length("s") + 1)))
     scored = written(scored.join(urls, "s").select("s", "score", "n", "ruled", "held"), "url-scores")
 
     step = F.greatest(F.lit(-RANGE), F.least(F.lit(RANGE), F.floor(F.col("score") * STEPS)))

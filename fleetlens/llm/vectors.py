@@ -61,6 +61,7 @@ def budgets(size: int) -> np.ndarray:
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
+    raw = raw / np.abs(raw).max(axis=1, keepdims=True)  # the squares of very small numbers are 0
     return raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
 
 

@@ -14,7 +14,7 @@ def sets_of(text):
 
 
 def brute(rows):
-    """(doc_id, n_shingles, component_id) per row."""
+    """(doc_id, n_shingles, component_id) per row, and the component ids of rows with words, one per component."""
     sets = [sets_of(r[1]) for r in rows]
     up = list(range(len(rows)))
 
@@ -31,7 +31,8 @@ def brute(rows):
     for i, r in enumerate(rows):
         if r[0] is not None:
             least[root(i)] = min(r[0], least.get(root(i), r[0]))
-    return sorted(((r[0], len(sets[i]), least.get(root(i))) for i, r in enumerate(rows)), key=str)
+    each = sorted(((r[0], len(sets[i]), least.get(root(i))) for i, r in enumerate(rows)), key=str)
+    return each, [least.get(i) for i in range(len(rows)) if sets[i] and root(i) == i]
 
 
 @pytest.fixture(scope="module")
@@ -63,19 +64,17 @@ def test_like_brute_force(docs, rows, monkeypatch, broadcast):
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", broadcast)
     df = docs(*[(*r, 1, "t") for r in rows], extra=", row int, token string").repartition(5)
     got = jaccard.linked(df).collect()
-    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)[0]
 
 
 def test_one_of_each_stays(docs, rows):
     df = docs(*[(*r, 1) for r in rows], extra=", _k int")
     kept = jaccard.deduplicated(df)
     assert kept.columns == df.columns
-    ids = [(c, bool(n)) for _, n, c in brute(rows)]
-    wordless = sum(not n for _, n in ids)
-    groups = {c for c, n in ids if n and c is not None}
+    each, groups = brute(rows)
     got = kept.collect()
-    assert len([r for r in got if not sets_of(r.text)]) == wordless
-    assert sorted(r.doc_id for r in got if sets_of(r.text) and r.doc_id is not None) == sorted(groups)
+    assert len([r for r in got if not sets_of(r.text)]) == sum(not n for _, n, _ in each)
+    assert sorted((r.doc_id for r in got if sets_of(r.text)), key=str) == sorted(groups, key=str)
 
 
 def test_hashes_find_what_tuples_find():
