@@ -3,19 +3,21 @@
 Documents are sets of word shingles. Two sets with Jaccard similarity t or more share a token among the
 first n - ceil(t n) + 1 tokens of each, under any total order of all tokens. Three orders are used here:
 
-1. Rare first. A quarter of all tokens (by hash) comes first, ordered by how many documents hold them, all
-   counted over the whole corpus; the others follow by hash. The counted quarter is larger than the prefix
-   in all but short documents, so only it (and what short documents need beyond) is shuffled. Tokens that
-   no other document has match nothing and are dropped; a document whose prefix is made of these alone
-   has no partner.
+1. Rare first: by how many documents hold a token. It is built in two steps. First a quarter of all tokens
+   (by hash) is counted over the whole corpus and put in front; it is larger than the prefix in all but short
+   documents, which send what they need beyond. Tokens that no other document has match nothing, and a
+   document whose prefix is made of these alone has no partner and leaves. For those that stay all tokens
+   are counted, among each other, so that the order is by rarity throughout. A token at position i of a
+   document, if it is the first that two share, leaves n - i for the overlap: this bounds the sizes of
+   partners, and places whose list holds no document of such a size are dropped before lists are joined.
 2. By hash, upwards. 3. By hash, downwards.
 
 Documents that share a prefix token under order 1 are candidates; they must share prefix tokens under
 orders 2 and 3 as well, and only then their whole sets are compared.
 
 Groups of copies are not expanded into pairs. Equal sets are one node. Candidates are found in two rounds:
-first each node is compared with one node of its posting lists (the smallest with which it shares most),
-which joins most groups as stars; then all pairs of a posting list that are still in different
+first each node is compared with one node (the lead of most of its posting lists), which joins most groups
+as stars; then all pairs of a posting list that are still in different
 components. No pair that could join two components is left out, so components are exact.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; a text of fewer words
@@ -120,7 +122,7 @@ def _token_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, partners, leads, tokens (by hash) of the documents whose set is the node's."""
+    """node, n, tokens (by hash) of the documents whose set is the node's."""
     hashes, met = WordHashes(), set()
     for batch in batches:
         keep, arrays = [], []
@@ -134,7 +136,7 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keep.append(i)
                 arrays.append(tokens)
         some = batch.take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([some.column(c) for c in ("node", "partners", "leads")] + [_lists(arrays)], ["node", "partners", "leads", "tokens"])
+        yield pa.RecordBatch.from_arrays([some.column("node"), some.column("n"), _lists(arrays)], ["node", "n", "tokens"])
 
 
 def _prefix(n: str) -> F.Column:
@@ -145,28 +147,22 @@ def _near_sizes(a: str, b: str) -> F.Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. ``nodes``: node, doc_id, d1, d2."""
-    asked = pairs.groupBy("b").agg(F.collect_list("a").alias("partners")).withColumnRenamed("b", "node").withColumn("leads", F.lit(False))
-    lead = pairs.select(F.col("a").alias("node")).distinct().select("node", F.array().cast("array<long>").alias("partners"), F.lit(True).alias("leads"))
-    wanted = asked.unionByName(lead).groupBy("node").agg(F.flatten(F.collect_list("partners")).alias("partners"), F.max("leads").alias("leads"))
-    wanted = written(wanted.join(nodes.select("node", "doc_id", "d1", "d2"), "node"), "jaccard-wanted")
-    small = wanted.agg(F.count(F.lit(1)), F.sum(F.size("partners"))).first()
-    wanted = wanted.withColumnRenamed("doc_id", "_id")
-    if small[0] + (small[1] or 0) <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    found = documents.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
-    sets = found.select("node", "d1", "d2", "partners", "leads", "text").mapInArrow(
-        _whole_sets, "node long, partners array<long>, leads boolean, tokens array<long>"
-    )
-    b = sets.where(F.size("partners") > 0).select(F.explode("partners").alias("a"), F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    a = sets.where("leads").select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-    both = b.join(a, "a").withColumns({"na": F.size("ta"), "nb": F.size("tb")})
+def _viable(postings: DataFrame) -> DataFrame:
+    """Places of tokens that can be the first one shared with some document of their list."""
+    lists = postings.groupBy("token").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    fits = (F.col("n") - F.col("pos")) * (100 + PERCENT) >= (F.col("n") + F.col("least")) * PERCENT
+    return postings.join(lists, "token").where(fits).drop("least", "k")
+
+
+def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough."""
+    a, b = (whole.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"t{c}")) for c in "ab")
+    both = pairs.join(b, "b").join(a, "a")
     both = both.withColumns({"pa": _prefix("na").cast("int"), "pb": _prefix("nb").cast("int")})
     up = F.arrays_overlap(F.slice("ta", F.lit(1), F.col("pa")), F.slice("tb", F.lit(1), F.col("pb")))
     down = F.arrays_overlap(F.slice("ta", -F.col("pa"), F.col("pa")), F.slice("tb", -F.col("pb"), F.col("pb")))
     both = both.where(_near_sizes("na", "nb") & up & down).withColumn("common", F.size(F.array_intersect("ta", "tb")).cast("long"))
-    return both.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * PERCENT).select("a", "b").distinct()
+    return both.where(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * PERCENT).select("a", "b")
 
 
 def linked(documents: DataFrame) -> DataFrame:
@@ -192,30 +188,49 @@ def linked(documents: DataFrame) -> DataFrame:
     shared = shared.join(sets.select("row", "doc_id", "n", "counted", "d1", "d2"), "row").join(nodes.select("d1", "d2", "node"), ["d1", "d2"])
     room = F.greatest(F.lit(0), _prefix("n") - (F.col("counted") - F.size("first"))).cast("int")
     shared = shared.withColumn("prefix", F.concat(F.transform(F.slice("first", F.lit(1), room), lambda x: x["token"]), F.col("rest")))
-    shared = shared.where(F.size("prefix") > 0).select("node", "doc_id", "row", "d1", "d2", "n", "prefix")
+    shared = shared.where(F.size("prefix") > 0).select("node", "doc_id", "row", "d1", "d2", "n")
     # tasks that met the same set each sent it; one of them speaks for it
     speakers = shared.groupBy("node").agg(F.min("row").alias("row"))
-    shared = written(shared.join(speakers, ["node", "row"], "left_semi"), "jaccard-prefixes")
-
-    postings = shared.select("node", "n", F.explode("prefix").alias("token"))
-    lists = postings.groupBy("token").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    postings = postings.join(lists, "token")
-    first = postings.select("node", "n", F.col("lead.node").alias("a"), F.col("lead.n").alias("na")).where("node <> a").where(_near_sizes("n", "na"))
+    stay = written(shared.join(speakers, ["node", "row"], "left_semi").select("node", "n", F.col("doc_id").alias("_id"), "d1", "d2"), "jaccard-stay")
+    few = stay.count() <= BROADCAST_ROWS
+    found = documents.select("doc_id", "text").join(F.broadcast(stay) if few else stay, F.col("doc_id").eqNullSafe(F.col("_id")))
+    whole = found.select("node", "n", "d1", "d2", "text").mapInArrow(_whole_sets, "node long, n long, tokens array<long>")
+    # a row of the same id and text in another task gives the same set again
+    whole = written(whole, "jaccard-whole")
+    if whole.count() > whole.select("node").distinct().count():
+        whole = written(whole.dropDuplicates(["node"]), "jaccard-whole")
+
+    # order 1 among those that stay, by all their tokens
+    tokens = whole.select("node", F.explode("tokens").alias("token"))
+    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    prefixes = tokens.join(held, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("shared"))
+    prefixes = prefixes.join(whole.select("node", "n"), "node").withColumn("alone", F.col("n") - F.size("shared"))
+    room = F.greatest(F.lit(0), _prefix("n") - F.col("alone")).cast("int")
+    postings = prefixes.select("node", "n", "alone", F.posexplode(F.slice("shared", F.lit(1), room)).alias("pos", "x"))
+    postings = postings.select("node", "n", "alone", (F.col("alone") + F.col("pos")).alias("pos"), F.col("x.token").alias("token"))
+    postings = written(_viable(_viable(postings)), "jaccard-postings")
+
+    # the lead of a list is the member with the fewest tokens of its own: copies lie around such a one
+    lists = postings.groupBy("token").agg(F.min(F.struct("alone", "node", "n")).alias("lead"))
+    first = postings.join(lists, "token").select("node", "n", F.col("lead.node").alias("a"), F.col("lead.n").alias("na"))
+    first = first.where("node <> a").where(_near_sizes("n", "na"))
     first = first.groupBy("node", "a").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max(F.struct("k", -F.col("a"))).alias("best"))
     first = written(first.select((-F.col("best.col2")).alias("a"), F.col("node").alias("b")), "jaccard-pairs")
-    stars = written(_verified(first, shared, documents), "jaccard-links")
+    stars = written(_verified(first, whole), "jaccard-links")
     joined = components(stars, "a", "b", "jaccard-components")
 
     # all pairs of a list that are not yet in one component
-    part = postings.join(joined, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("component"))
+    part = postings.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = part.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     part = part.join(mixed, "token", "left_semi")
-    a, b = (part.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "component")]) for side in "ab")
+    a, b = (part.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "pos", "component")]) for side in "ab")
+    left = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     pairs = a.join(b, "token").where("node_a < node_b and component_a <> component_b").where(_near_sizes("n_a", "n_b"))
+    pairs = pairs.where(left * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT)
     pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-    links = stars.unionByName(_verified(pairs, shared, documents))
+    links = stars.unionByName(_verified(pairs, whole))
     joined = components(links, "a", "b", "jaccard-components")
 
     sizes = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
