@@ -57,10 +57,10 @@ _last = ", ".join(
 @query(
     "rsh_points_per_timestamp",
     f"""
-    SELECT {TS}, {_last}, {r6("max(value) FILTER (metric_name = 'cpu_usage_real')")} AS cpu_usage_real
-    FROM (SELECT timestamp, metric_name, coalesce(value, 0) AS value FROM gaps
-          QUALIFY row_number() OVER (PARTITION BY timestamp, metric_name ORDER BY model_id DESC, instance DESC, event_id DESC) = 1)
-    GROUP BY timestamp""",
+    SELECT model_id, {TS}, {_last}, {r6("max(value) FILTER (metric_name = 'cpu_usage_real')")} AS cpu_usage_real
+    FROM (SELECT model_id, timestamp, metric_name, coalesce(value, 0) AS value FROM gaps
+          QUALIFY row_number() OVER (PARTITION BY model_id, timestamp, metric_name ORDER BY instance DESC, event_id DESC) = 1)
+    GROUP BY model_id, timestamp""",
 )
 def points_per_timestamp(t: Tables) -> DataFrame:
     rows = t.gaps.withColumnRenamed("event_id", "arrival")
@@ -75,11 +75,12 @@ def points_per_timestamp(t: Tables) -> DataFrame:
     FROM metrics GROUP BY ALL""",
 )
 def stack(t: Tables) -> DataFrame:
-    def frame(metric: str) -> DataFrame:
-        owner = "instance" if metric in HOST_METRICS else "model_id"
-        return clean.dedupe_mean(t.metrics.where(F.col("metric_name") == metric), ["timestamp", "metric_name", owner])
-
-    return stack_frames([frame(m) for m in [*BASIC_METRICS, "cpu_usage_real"]])
+    """Means per owner: hosts own their metrics, models the others; one scan."""
+    of_host = F.col("metric_name").isin(*HOST_METRICS)
+    owned = t.metrics.withColumns(
+        {"model_id": F.when(~of_host, F.col("model_id")), "instance": F.when(of_host, F.col("instance"))}
+    )
+    return clean.dedupe_mean(owned)
 
 
 def interpolated(metric: str, x: str) -> str:
@@ -155,21 +156,20 @@ def cap_outliers(t: Tables) -> DataFrame:
     return clean.cap_outliers(t.hourly)
 
 
-view("zeroed", "SELECT model_id, timestamp, coalesce(requests_total, 0) AS requests_total, coalesce(latency_avg, 0) AS latency_avg FROM wide")
-_lags = [f"lag({m}, {k}) OVER w AS {m}_lag_{k}" for m in ("requests_total", "latency_avg") for k in range(1, 13)]
-_lag_names = [f"{m}_lag_{k}" for m in ("requests_total", "latency_avg") for k in range(1, 13)]
+view("zeroed", f"SELECT model_id, timestamp, {', '.join(f'coalesce({m}, 0) AS {m}' for m in BASIC_METRICS)} FROM wide")
+_lags = [f"lag({m}, {k}) OVER w AS {m}_lag_{k}" for m in BASIC_METRICS for k in range(1, 13)]
+_lag_names = [f"{m}_lag_{k}" for m in BASIC_METRICS for k in range(1, 13)]
 
 
 @query(
     "win_lag_features",
     f"""
-    SELECT model_id, {TS}, {', '.join(f'{r6(c)} AS {c}' for c in ['requests_total', 'latency_avg', *_lag_names])}
+    SELECT model_id, {TS}, {', '.join(f'{r6(c)} AS {c}' for c in [*BASIC_METRICS, *_lag_names])}
     FROM (SELECT *, {', '.join(_lags)} FROM zeroed WINDOW w AS (PARTITION BY model_id ORDER BY timestamp))
     WHERE requests_total_lag_12 IS NOT NULL""",
 )
 def lag_features(t: Tables) -> DataFrame:
-    metrics = ["requests_total", "latency_avg"]
-    return clean.lag_features(clean.fill_zero(t.wide.select("model_id", "timestamp", *metrics), metrics), metrics)
+    return clean.lag_features(clean.fill_zero(t.wide, BASIC_METRICS), BASIC_METRICS)
 
 
 def _rolling(c: str, n: int) -> str:
@@ -180,44 +180,38 @@ def _rolling(c: str, n: int) -> str:
 @query(
     "win_rolling_mean",
     f"""
-    SELECT model_id, {TS}, {r6('requests_total')} AS requests_total, {r6('latency_avg')} AS latency_avg,
-           {r6(_rolling('requests_total', 12))} AS requests_total_lag_1h, {r6(_rolling('requests_total', 288))} AS requests_total_lag_24h,
-           {r6(_rolling('latency_avg', 12))} AS latency_avg_lag_1h, {r6(_rolling('latency_avg', 288))} AS latency_avg_lag_24h
-    FROM (SELECT model_id, timestamp, coalesce(requests_total, 0) AS requests_total, latency_avg FROM wide)""",
+    SELECT model_id, {TS}, {COLS},
+           {', '.join(f"{r6(_rolling(m, n))} AS {m}_lag_{s}" for m in BASIC_METRICS for s, n in (('1h', 12), ('24h', 288)))}
+    FROM (SELECT * REPLACE (coalesce(requests_total, 0) AS requests_total) FROM wide)""",
 )
 def rolling_means(t: Tables) -> DataFrame:
-    """One column without gaps and one whose gaps keep frames from filling."""
-    rows = clean.fill_zero(t.wide.select("model_id", "timestamp", "requests_total", "latency_avg"), ["requests_total"])
-    return clean.rolling_means(rows, ["requests_total", "latency_avg"])
+    """One column without gaps; the gaps of the others keep frames from filling."""
+    return clean.rolling_means(clean.fill_zero(t.wide, ["requests_total"]), BASIC_METRICS)
 
 
 _win = "OVER (PARTITION BY model_id)"
 
 
-@query(
-    "nrm_minmax",
-    f"""
-    SELECT model_id, {TS}, {r6('requests_total')} AS requests_total, {r6('latency_avg')} AS latency_avg,
-           {r6(f'CASE WHEN max(requests_total) {_win} > min(requests_total) {_win} THEN (requests_total - min(requests_total) {_win}) / (max(requests_total) {_win} - min(requests_total) {_win}) WHEN requests_total IS NOT NULL THEN 0 END')} AS requests_total_normalized,
-           {r6(f'CASE WHEN max(latency_avg) {_win} > min(latency_avg) {_win} THEN (latency_avg - min(latency_avg) {_win}) / (max(latency_avg) {_win} - min(latency_avg) {_win}) WHEN latency_avg IS NOT NULL THEN 0 END')} AS latency_avg_normalized
-    FROM wide""",
-)
+def _scaled(m: str) -> str:
+    spread = f"(max({m}) {_win} - min({m}) {_win})"
+    return r6(f"CASE WHEN {spread} > 0 THEN ({m} - min({m}) {_win}) / {spread} WHEN {m} IS NOT NULL THEN 0 END") + f" AS {m}_normalized"
+
+
+def _standard(m: str) -> str:
+    return r6(f"({m} - avg({m}) {_win}) / CASE WHEN stddev_pop({m}) {_win} > 0 THEN stddev_pop({m}) {_win} ELSE 1 END") + f" AS {m}_z"
+
+
+@query("nrm_minmax", f"SELECT model_id, {TS}, {COLS}, {', '.join(_scaled(m) for m in BASIC_METRICS)} FROM wide")
 def minmax(t: Tables) -> DataFrame:
-    return clean.minmax(t.wide.select("model_id", "timestamp", "requests_total", "latency_avg"), ["requests_total", "latency_avg"])
+    return clean.minmax(t.wide, BASIC_METRICS)
 
 
-@query(
-    "nrm_zscore",
-    f"""
-    SELECT model_id, {TS}, {r6('requests_total')} AS requests_total,
-           {r6(f'(requests_total - avg(requests_total) {_win}) / CASE WHEN stddev_pop(requests_total) {_win} > 0 THEN stddev_pop(requests_total) {_win} ELSE 1 END')} AS requests_total_z
-    FROM wide""",
-)
+@query("nrm_zscore", f"SELECT model_id, {TS}, {COLS}, {', '.join(_standard(m) for m in BASIC_METRICS)} FROM wide")
 def zscore(t: Tables) -> DataFrame:
-    return clean.zscore(t.wide.select("model_id", "timestamp", "requests_total"), ["requests_total"])
+    return clean.zscore(t.wide, BASIC_METRICS)
 
 
-PRE = ["requests_total", "latency_avg"]
+PRE = list(BASIC_METRICS)
 
 
 def _pre_views() -> None:

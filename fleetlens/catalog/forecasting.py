@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -203,7 +204,8 @@ def custom_model(t: Tables) -> DataFrame:
 
 
 def _norm(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"vec_id": pdf["vec_id"], "score": [float(sum(x * x for x in v)) for v in pdf["features"]]})
+    vectors = np.stack(pdf["features"].to_numpy()) if len(pdf) else np.empty((0, 0))
+    return pd.DataFrame({"vec_id": pdf["vec_id"], "score": (vectors * vectors).sum(axis=1)})
 
 
 @query(

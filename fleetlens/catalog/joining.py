@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.catalog.registry import query
-from fleetlens.catalog.sql import at, r6, rate, text
+from fleetlens.catalog.sql import at, r6, rate, seconds, text
 from fleetlens.catalog.tables import Tables
 from fleetlens.operators import joins, tsexpr
 from fleetlens.operators.alerts import system_alerts
@@ -37,11 +37,11 @@ def _one(t: Tables, metric: str) -> DataFrame:
 @query(
     "join_forecasts",
     f"""
-    SELECT model_id, {TS}, {r6('requests_total')} AS requests_total, {r6('latency_avg')} AS latency_avg
-    FROM wide WHERE requests_total IS NOT NULL AND latency_avg IS NOT NULL""",
+    SELECT model_id, {TS}, {', '.join(f'{r6(m)} AS {m}' for m in BASIC_METRICS)}
+    FROM wide WHERE {' AND '.join(f'{m} IS NOT NULL' for m in BASIC_METRICS)}""",
 )
 def join_forecasts(t: Tables) -> DataFrame:
-    return joins.join_forecasts([_one(t, "requests_total"), _one(t, "latency_avg")])
+    return joins.join_forecasts([_one(t, m) for m in BASIC_METRICS])
 
 
 @query(
@@ -80,7 +80,7 @@ def vector_sum(t: Tables) -> DataFrame:
            CASE WHEN r.model_id IS NULL THEN 0 ELSE 8 END::BIGINT AS feature_count,
            coalesce(r.prediction_count, 0) AS total_predictions,
            {r6('coalesce(round(r.avg_latency * 1000, 2), 0)')} AS avg_latency_ms,
-           CASE WHEN r.model_id IS NULL THEN 'Never' ELSE {text('r.last_prediction')} END AS last_prediction,
+           CASE WHEN r.model_id IS NULL THEN 'Never' ELSE {seconds('r.last_prediction')} END AS last_prediction,
            r.model_id IS NULL OR (r.number % 3 <> 2 AND r.number % 4 <> 3) AS deployed,
            CASE WHEN r.model_id IS NULL OR (r.number % 3 <> 2 AND r.number % 4 <> 3) THEN s.url END AS url
     FROM registry r FULL JOIN services s ON r.model_id = s.model_id""",

@@ -15,21 +15,20 @@ ORACLES: dict[str, str] = {}  # as written; their views are put in front once al
 
 
 def present(df: DataFrame) -> DataFrame:
-    """Times as text, doubles to six decimals.
+    """Times as text to the microsecond, doubles to six decimals; NaN and infinity stay what they are.
 
-    Sums taken in another order differ in the last bits. The cut between two rounded values is moved
-    off the exact halves, where averages of a few two-decimal numbers often lie, so that such a
-    difference does not show. The SQL twins use the same formula.
+    Halves at the seventh decimal, as averages of a few two-decimal numbers often are, are rounded away from
+    zero even where the last bits of a sum lie below. The twins do the same.
     """
     columns = []
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         elif isinstance(field.dataType, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
         elif isinstance(field.dataType, T.DoubleType):
-            c = F.floor(c * 1e6 + F.lit(0.4837)) / F.lit(1e6)
+            c = F.round(c + F.signum(c) * F.lit(1e-9), 6)
         columns.append(c.alias(field.name))
     return df.select(*columns)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.catalog.registry import query
 from fleetlens.catalog.sources import messages
-from fleetlens.catalog.sql import r6, text
+from fleetlens.catalog.sql import r6, seconds, text
 from fleetlens.catalog.tables import Tables
 from fleetlens.functions import scalars as fn
 from fleetlens.functions.scalars import moment
@@ -136,7 +136,7 @@ def constraints(t: Tables) -> DataFrame:
     SELECT CASE WHEN event_id % 3 = 0 THEN 'Unknown Alert' ELSE 'Latency' END AS name, 'latency' AS type,
            CASE WHEN value / 50.0 > 5 THEN 'CRITICAL' ELSE 'WARNING' END AS level, '' AS message,
            {r6('value / 50.0')} AS value, 0.0::DOUBLE AS threshold, event_id % 2 = 0 AS active, model_id,
-           {text('ts')} AS since
+           {seconds('ts')} AS since
     FROM ev WHERE value / 50.0 > 1""",
 )
 def alert_view(t: Tables) -> DataFrame:
@@ -193,7 +193,7 @@ def to_iso_utc(t: Tables) -> DataFrame:
     FROM ev""",
 )
 def to_utc(t: Tables) -> DataFrame:
-    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     kind = F.col("event_id") % 3
     zone = F.when(kind == 1, "+05:00").when(kind == 2, "-03:30").otherwise("")
     return t.events.select("event_id", fn.to_utc(F.concat(iso, zone)).alias("ts"))

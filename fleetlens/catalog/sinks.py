@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.catalog.registry import query
-from fleetlens.catalog.sql import r6, text, view
+from fleetlens.catalog.sql import r6, seconds, text, view
 from fleetlens.catalog.tables import Tables
 from fleetlens.functions.scalars import moment
 from fleetlens.operators.forecast import flat_from_latest
@@ -153,8 +153,8 @@ def _raw_documents(t: Tables) -> DataFrame:
 @query(
     "doc_format_for_export",
     f"""
-    SELECT model_id, d::VARCHAR AS d, {text('timestamp')} || CASE WHEN kind IN (1, 2) THEN '+00:00' ELSE '' END AS timestamp, pos,
-           {text('timestamp + to_minutes(5 * pos)')} AS point_time, {r6('n::DOUBLE')} AS requests,
+    SELECT model_id, d::VARCHAR AS d, {seconds('timestamp')} || CASE WHEN kind IN (1, 2) THEN '+00:00' ELSE '' END AS timestamp, pos,
+           {seconds('timestamp + to_minutes(5 * pos)')} AS point_time, {r6('n::DOUBLE')} AS requests,
            {r6('CASE WHEN kind = 3 THEN 0 ELSE memory_allocation END')} AS utilization_cpu, 0.0::DOUBLE AS utilization_network
     FROM raw_docs, (SELECT unnest(range(2))::INTEGER AS pos)""",
 )

@@ -146,16 +146,21 @@ def expand(sql: str) -> str:
 
 def r6(x: str) -> str:
     """Double to six decimals (see registry.present)."""
-    return f"floor(({x}) * 1e6 + 0.4837e0) / 1e6"
+    return f"round(({x})::DOUBLE + sign(({x})::DOUBLE) * 1e-9::DOUBLE, 6)"
 
 
 def text(ts: str) -> str:
+    return f"strftime({ts}, '%Y-%m-%d %H:%M:%S.%f')"
+
+
+def seconds(ts: str) -> str:
+    """Time as operators show it, without the fraction."""
     return f"strftime({ts}, '%Y-%m-%d %H:%M:%S')"
 
 
 def at(epoch: str) -> str:
     """Epoch seconds as text."""
-    return f"strftime(make_timestamp(({epoch})::BIGINT * 1000000), '%Y-%m-%d %H:%M:%S')"
+    return f"strftime(make_timestamp(({epoch})::BIGINT * 1000000), '%Y-%m-%d %H:%M:%S.%f')"
 
 
 def evaluations(step: int, range_seconds: int) -> str:

@@ -7,7 +7,8 @@ ones before it comes from a table with one row per chunk. Results equal those of
 A frame that already carries the ``_chunk`` column (see ``chunked``) keeps its partitioning from one
 helper to the next, so several of them cost one shuffle of the rows.
 
-Key columns must not be null: the chunk table is joined back by equality.
+Rows without a key belong to the series ``unknown``, rows without a time come first in theirs: the chunk
+table is joined back by equality, so ``chunked`` fills both.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A series with a third of 100 TB over a month has some 4 GB in five minutes: one task can sort that.
 CHUNK_SECONDS = 300
@@ -37,11 +39,29 @@ def place(ts: str, tie: str | None = None) -> Column:
     return micros.cast("decimal(17,0)") * F.lit(Decimal(10**19)) + F.col(tie).cast("decimal(20,0)")
 
 
-def chunked(df: DataFrame, ts: str, seconds: int = CHUNK_SECONDS) -> DataFrame:
-    """Adds the time chunk of each row, unless it is there."""
+UNKNOWN = "unknown"
+TIMELESS = -(2**60)
+
+
+def known_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Text keys that are null are called ``unknown``."""
+    texts = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.nullable}
+    return df.withColumns({k: F.coalesce(k, F.lit(UNKNOWN)) for k in keys if k in texts})
+
+
+def chunked(df: DataFrame, ts: str, seconds: int = CHUNK_SECONDS, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds the time chunk of each row, unless it is there; fills the keys."""
     if CHUNK in df.columns:
         return df
-    return df.withColumn(CHUNK, F.floor(F.unix_seconds(F.col(ts)) / F.lit(seconds)))
+    chunk = F.coalesce(F.floor(F.unix_seconds(F.col(ts)) / F.lit(seconds)), F.lit(TIMELESS))
+    return known_keys(df, keys).withColumn(CHUNK, chunk)
+
+
+def matched(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, null being equal to null."""
+    named = {k: f"_key_{k}" for k in keys}
+    on = [F.col(k).eqNullSafe(F.col(name)) for k, name in named.items()]
+    return left.join(right.withColumnsRenamed(named), on, how).drop(*named.values())
 
 
 def running(
@@ -57,7 +77,7 @@ def running(
     ``aggs`` maps an output name to ``(kind, column)``; kinds are sum, count, min and max.
     ``order`` starts with ``ts`` and ends with a tie-breaker.
     """
-    parts = chunked(df, ts, seconds)
+    parts = chunked(df, ts, seconds, keys)
     part = [*keys, CHUNK]
     inside = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     before = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
@@ -90,10 +110,12 @@ def previous(
     ``order`` is the time and, where times tie, a whole number such as a row id. The last row of each
     chunk comes from a hash aggregate, so the rows themselves are shuffled and sorted once.
     """
-    parts = chunked(df, ts, seconds)
+    parts = chunked(df, ts, seconds, keys)
     part = [*keys, CHUNK]
     row = F.struct(*[F.col(c) for c in cols])
-    final = F.struct(*[F.max_by(c, place(*order)).alias(c) for c in cols])
+    # the only chunk without times holds nothing else, and what is last in it is not defined
+    lowest = F.lit(TIMELESS) if len(order) == 1 else F.lit(Decimal(-(10**37))) + F.col(order[1]).cast("decimal(20,0)")
+    final = F.struct(*[F.max_by(c, F.coalesce(place(*order), lowest)).alias(c) for c in cols])
     before = W.partitionBy(*keys).orderBy(CHUNK)
     inherited = parts.groupBy(*part).agg(final.alias("_final")).select(*part, F.lag("_final").over(before).alias("_carry"))
     return (

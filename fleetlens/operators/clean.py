@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import clip, time_features
+from fleetlens.functions.timeline import matched
 from fleetlens.schemas import BASIC_METRICS, VALUE_RANGES
 
 SERIES = ["model_id", "metric_name"]
@@ -60,20 +61,18 @@ def pivot_metrics(
 
 
 def points_per_timestamp(df: DataFrame, metrics: Sequence[str], basic: Sequence[str] = BASIC_METRICS) -> DataFrame:
-    """One record per time with the value of each metric; of several models the last id wins.
+    """One record per model and time with the value of each metric; of several instances the last name wins.
 
     A null value counts as 0; basic metrics without a row are 0, others stay null.
     """
-    owner = ["model_id", F.coalesce("instance", F.lit("")).alias("instance")]
-    newest = df.groupBy("timestamp", "metric_name", *owner).agg(
+    newest = df.groupBy("timestamp", "metric_name", "model_id", F.coalesce("instance", F.lit("")).alias("instance")).agg(
         F.max_by(F.coalesce("value", F.lit(0.0)), "arrival").alias("value")
     )
     columns = []
     for m in metrics:
-        order = F.when(F.col("metric_name") == m, F.struct("model_id", "instance"))
-        last = F.max_by("value", order)
+        last = F.max_by("value", F.when(F.col("metric_name") == m, F.col("instance")))
         columns.append((F.coalesce(last, F.lit(0.0)) if m in basic else last).alias(m))
-    return newest.groupBy("timestamp").agg(*columns)
+    return newest.groupBy("model_id", "timestamp").agg(*columns)
 
 
 def interpolate(
@@ -134,7 +133,7 @@ def with_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column],
         series = W.partitionBy(*keys)
         return df.select("*", *[agg.over(series).alias(name) for name, agg in stats.items()])
     grouped = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in stats.items()])
-    return df.join(grouped, list(keys))
+    return matched(df, grouped, keys)
 
 
 def cap_outliers(

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import clip, literal_map, moment, time_features
-from fleetlens.functions.timeline import place
+from fleetlens.functions.timeline import matched, place
 from fleetlens.operators.clean import future_grid, resample, rolling_means
 from fleetlens.operators.filters import Moment
 from fleetlens.schemas import FORECAST_FLOORS, HOST_METRICS, LATENCY_METRICS, VALUE_RANGES
@@ -148,7 +148,7 @@ def seasonal_predict(
 def fitted_values(df: DataFrame, fits: DataFrame, slot: int = SLOT) -> DataFrame:
     """Rows of fitted series with the model's value ``yhat`` at their time, to judge a fit by."""
     models = fits.select(*SERIES, "coefficients", "center", "scale")
-    return df.join(models, SERIES).withColumn("yhat", _model_value("timestamp", slot)).drop("coefficients", "center", "scale")
+    return matched(df, models, SERIES).withColumn("yhat", _model_value("timestamp", slot)).drop("coefficients", "center", "scale")
 
 
 def postprocess(forecast: DataFrame, floors: Mapping[str, float] = FORECAST_FLOORS, latency_exp: bool = False) -> DataFrame:
@@ -183,7 +183,7 @@ def mean_forecast(df: DataFrame, horizon_minutes: int = 30, step_minutes: int =
     """The series mean at every future time, +-10 percent."""
     means = df.groupBy(*SERIES).agg(F.avg("value").alias("yhat"))
     grid = future_grid(df, SERIES, "timestamp", horizon_minutes, step_minutes, include_start)
-    return grid.join(means, SERIES).select(
+    return matched(grid, means, SERIES).select(
         *SERIES, "timestamp", "yhat", (F.col("yhat") * 0.9).alias("yhat_lower"), (F.col("yhat") * 1.1).alias("yhat_upper")
     )
 
@@ -195,7 +195,7 @@ def override_latest(forecast: DataFrame, observed: DataFrame, metrics: Sequence[
         .groupBy(*SERIES)
         .agg(F.max_by("value", place("timestamp", tie)).alias("_last"))
     )
-    joined = forecast.join(last, SERIES, "left")
+    joined = matched(forecast, last, SERIES, "left")
     return joined.withColumn("yhat", F.coalesce("_last", "yhat")).drop("_last")
 
 
@@ -260,7 +260,7 @@ def forest_forecast(
     rolled = rolling_means(df, ["value"], keys=SERIES).withColumnsRenamed({"value_lag_1h": "lag_1h", "value_lag_24h": "lag_24h"})
     rolled = rolled.fillna(0.0, ["lag_1h", "lag_24h"])
     stats = df.groupBy(*SERIES).agg(F.avg("value").alias("level"), F.count("value").alias("rows"))
-    train = rolled.where("value IS NOT NULL").join(stats, SERIES)
+    train = matched(rolled.where("value IS NOT NULL"), stats, SERIES)
 
     back = W.partitionBy(*SERIES).orderBy(F.col("timestamp").desc())
     recent = (
@@ -269,7 +269,7 @@ def forest_forecast(
         .groupBy(*SERIES)
         .agg(F.avg("lag_1h").alias("lag_1h"), F.avg("lag_24h").alias("lag_24h"))
     )
-    future = future_grid(df, SERIES, "timestamp", horizon_minutes, 1, False).join(recent, SERIES).join(stats, SERIES)
+    future = matched(matched(future_grid(df, SERIES, "timestamp", horizon_minutes, 1, False), recent, SERIES), stats, SERIES)
 
     calendar = [time_features(F.col("timestamp"))[c] for c in CALENDAR]
     x = _vector([*calendar, F.col("lag_1h"), F.col("lag_24h"), F.col("level")])
@@ -364,17 +364,18 @@ def load_fits(spark: SparkSession, path: str) -> DataFrame:
     return newest.select(*SERIES, "fit.*")
 
 
-def series_model(df: DataFrame, fit, predict, schema: str, step_seconds: int = 3600) -> DataFrame:  # noqa: ANN001
+def series_model(df: DataFrame, fit, predict, schema: str, step_seconds: int | None = None) -> DataFrame:  # noqa: ANN001
     """A user's ``fit(pdf) -> model`` and ``predict(model, pdf) -> pdf`` run on each series.
 
-    Each series is handed to Python whole, so it is averaged per time step first: a group has at most
-    (time span / step) rows, whatever the table holds.
+    Each series is handed to Python whole, as it is. A series too long for that can be averaged per time
+    step: it then has at most (time span / step) rows, whatever the table holds.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return predict(fit(pdf), pdf)
 
-    return resample(df, step_seconds).groupBy(*SERIES).applyInPandas(run, schema)
+    rows = df if step_seconds is None else resample(df, step_seconds)
+    return rows.groupBy(*SERIES).applyInPandas(run, schema)
 
 
 def score_rows(df: DataFrame, scorer, schema: str) -> DataFrame:  # noqa: ANN001

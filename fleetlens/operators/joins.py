@@ -12,13 +12,8 @@ from fleetlens.functions.timeline import place
 
 
 def metric_left(df: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("model_id", "timestamp")) -> DataFrame:
-    """Every time of a model, left-joined with the mean of each metric at that time."""
-    times = df.select(*keys).distinct()
-
-    def mean(m: str) -> DataFrame:
-        return df.where(F.col("metric_name") == m).groupBy(*keys).agg(F.avg("value").alias(m))
-
-    return reduce(lambda left, m: left.join(mean(m), list(keys), "left"), metrics, times)
+    """Every time of a model with the mean of each metric at that time, null where it has none: one aggregate."""
+    return df.groupBy(*keys).agg(*[F.avg(F.when(F.col("metric_name") == m, F.col("value"))).alias(m) for m in metrics])
 
 
 def join_forecasts(frames: Sequence[DataFrame], keys: Sequence[str] = ("model_id", "timestamp")) -> DataFrame:

@@ -32,7 +32,10 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder all executors see: ``spark.checkpoint.dir``, or a local one where it is unset (tests).
+
+    A cluster without the setting is refused: its executors would each write to their own disk.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if root:
@@ -40,6 +43,8 @@ def shared_folder(spark: SparkSession) -> str:
             context.setCheckpointDir(root)
         return root.rstrip("/")
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="fleetlens-"))
     return context.getCheckpointDir().rstrip("/")
 

@@ -125,9 +125,12 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 
 
+MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
 def log_payload(logs: DataFrame, key: str = "model_id") -> DataFrame:
     """Key and JSON value of each log, ready for a Kafka sink."""
-    return logs.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*logs.columns)).alias("value"))
+    return logs.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*logs.columns), MICROS).alias("value"))
 
 
 def write_logs_to_kafka(logs: DataFrame, servers: str, topic: str) -> None:
