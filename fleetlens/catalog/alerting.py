@@ -11,7 +11,8 @@ from fleetlens.catalog.sql import at, hold, instant, r6, ranges, rate, text, vie
 from fleetlens.catalog.tables import Tables
 from fleetlens.functions.scalars import moment
 from fleetlens.operators import alerts, tsexpr
-from fleetlens.schemas import RULE_ERROR_SPIKE, RULE_HIGH_LATENCY, RULES_HOST, RULES_MODEL
+from fleetlens.plans.active_alerts import active_alerts
+from fleetlens.schemas import DESCRIPTIONS, RULE_ERROR_SPIKE, RULE_HIGH_LATENCY, RULES_HOST, RULES_MODEL, SUMMARIES
 
 LOG_KEYS = ["event_id", "model_id", "timestamp"]
 
@@ -96,6 +97,33 @@ def expire(t: Tables) -> DataFrame:
     return alerts.young_alerts(found, moment("2024-01-30 12:00:00")).select(*LOG_KEYS, "level")
 
 
+def _active(columns: str, kind: str, name: str, head: str, value: str, limit: float, source: str) -> str:
+    return f"""SELECT '{name}' AS name, '{kind}' AS type, 'WARNING' AS level,
+        {head} || ' usage (' || printf('%.1f', {value}) || '%) exceeds threshold ({limit}%)' AS message,
+        {r6(value)} AS value, {limit}::DOUBLE AS threshold, true AS active, {columns}, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS since
+        FROM {source} WHERE {value} > {limit} AND ts > TIMESTAMP '2024-01-30 12:15:00' - INTERVAL 30 MINUTES"""
+
+
+_recent = "(SELECT DISTINCT model_id, instance FROM snapshots WHERE ts > TIMESTAMP '2024-01-30 12:15:00' - INTERVAL 30 MINUTES) m JOIN hosts USING (instance)"
+
+
+@query(
+    "active_alerts",
+    " UNION ALL ".join(
+        [
+            _active("model_id", "cpu_usage", "Cpu Usage", "'Model ' || model_id || ' CPU'", "cpu_percent", 80.0, "snapshots"),
+            _active("model_id", "memory_usage", "Memory Usage", "'Model ' || model_id || ' memory'", "memory_percent", 85.0, "snapshots"),
+            _active("model_id", "system_cpu_usage", "System CPU Usage", "'System CPU'", "cpu_percent", 80.0, _recent),
+            _active("model_id", "system_memory_usage", "System Memory Usage", "'System Memory'", "memory_percent", 85.0, _recent),
+            _active("model_id", "system_disk_usage", "System Disk Usage", "'System Disk'", "disk_percent", 90.0, _recent),
+        ]
+    ),
+)
+def active(t: Tables) -> DataFrame:
+    """What is active at a quarter past noon of the last day."""
+    return active_alerts(t.snapshots, t.hosts, "2024-01-30 12:15:00")
+
+
 @query("alr_level_counts", "SELECT level, count(*) AS n FROM slow GROUP BY level")
 def level_counts(t: Tables) -> DataFrame:
     return alerts.level_counts(alerts.latency_alerts(t.logs, LOG_KEYS))
@@ -195,31 +223,39 @@ def rule_model_resources(t: Tables) -> DataFrame:
 view(
     "host_values",
     f"""
-    SELECT 'HighCPUUsage' AS alertname, instance, e, 100 - avg(value) * 100 AS value, 80.0::DOUBLE AS lim
+    SELECT 'HighCPUUsage' AS alertname, instance, '' AS mountpoint, e, 100 - avg(value) * 100 AS value, 80.0::DOUBLE AS lim
     FROM {rate('idle', 'instance, cpu', LOOKBACK, STEP)} GROUP BY instance, e
     UNION ALL
-    SELECT 'HighMemoryUsage', instance, e, (1 - value / 1e10) * 100, 85.0 FROM {instant('available', 'instance', LOOKBACK, STEP)}
+    SELECT 'HighMemoryUsage', instance, '', e, (1 - value / 1e10) * 100, 85.0 FROM {instant('available', 'instance', LOOKBACK, STEP)}
     UNION ALL
-    SELECT 'HighDiskUsage', instance, e, (5e11 - value) * 100 / 5e11, 85.0 FROM {instant('disk_free', 'instance', LOOKBACK, STEP)}
+    SELECT 'HighDiskUsage', instance, mountpoint, e, (5e11 - value) * 100 / 5e11, 85.0 FROM {instant('disk_free', 'instance, mountpoint', LOOKBACK, STEP)}
     UNION ALL
-    SELECT 'HighNetworkTraffic', instance, e, sum(a.value + b.value) * 1e6, 1e8
+    SELECT 'HighNetworkTraffic', instance, '', e, sum(a.value + b.value) * 1e6, 1e8
     FROM {rate('received', 'instance, device', LOOKBACK, STEP)} a JOIN {rate('sent', 'instance, device', LOOKBACK, STEP)} b
     USING (instance, device, e) GROUP BY instance, e""",
 )
-view("disk_free", "SELECT instance, ts, 0 AS id, (100 - disk_percent) * 5e9 AS value FROM hosts")
-view("host_conditions", "SELECT alertname, instance, e FROM host_values WHERE value > lim")
+MOUNTS = {"/data": 1.0, "/var": 0.95}  # the share of the reading that each mount point shows
+view(
+    "disk_free",
+    " UNION ALL ".join(f"SELECT instance, '{m}' AS mountpoint, ts, 0 AS id, (100 - disk_percent * {x}::DOUBLE) * 5e9 AS value FROM hosts" for m, x in MOUNTS.items()),
+)
+view("host_conditions", "SELECT alertname, instance, mountpoint, e FROM host_values WHERE value > lim")
 
 
-@query("alr_rule_host_resources", _intervals("alertname, instance", "host_conditions", 300))
+@query("alr_rule_host_resources", _intervals("alertname, instance, mountpoint", "host_conditions", 300))
 def rule_host_resources(t: Tables) -> DataFrame:
-    mount = F.lit("/data").alias("mountpoint")
+    """Disks are judged per mount point; each host has two."""
 
     def gauge(value: Column, *labels: Column) -> DataFrame:
         keys = ["instance", *(["mountpoint"] if labels else [])]
         return tsexpr.instant(t.host_gauge(value, *labels), keys, LOOKBACK, STEP)
 
     memory = tsexpr.memory_percent(gauge((F.lit(100.0) - F.col("memory_percent")) * 1e8), gauge(F.lit(1e10)))
-    disk = tsexpr.disk_percent(gauge((F.lit(100.0) - F.col("disk_percent")) * 5e9, mount), gauge(F.lit(5e11), mount))
+    disk = None
+    for path, share in MOUNTS.items():
+        mount = F.lit(path).alias("mountpoint")
+        part = tsexpr.disk_percent(gauge((F.lit(100.0) - F.col("disk_percent") * share) * 5e9, mount), gauge(F.lit(5e11), mount))
+        disk = part if disk is None else disk.unionByName(part)
     network = tsexpr.network_bytes(t.network, ["instance"], LOOKBACK, STEP).withColumn("value", F.col("value") * 1e6)
     frames = {
         "cpu_percent": tsexpr.cpu_percent(t.idle, LOOKBACK, STEP),
@@ -229,9 +265,10 @@ def rule_host_resources(t: Tables) -> DataFrame:
     }
     rows = None
     for name, frame in frames.items():
-        part = frame.select(F.lit(name).alias("name"), "instance", "ts", "value")
+        mount = F.col("mountpoint") if "mountpoint" in frame.columns else F.lit("")
+        part = frame.select(F.lit(name).alias("name"), "instance", mount.alias("mountpoint"), "ts", "value")
         rows = part if rows is None else rows.unionByName(part)
-    keys = ["alertname", "instance"]
+    keys = ["alertname", "instance", "mountpoint"]
     return alerts.intervals(alerts.hold(alerts.gauge_conditions(rows, RULES_HOST), keys, F.col("hold"), step=STEP), keys)
 
 
@@ -263,13 +300,17 @@ def for_duration(t: Tables) -> DataFrame:
 @query(
     "alr_render_labels",
     f"""
-    SELECT model_id, instance, {text('ts')} AS ts,
-           'Model ' || model_id || ' (' || instance || ') CPU usage is above 75% for 5 minutes' AS description
-    FROM snapshots WHERE cpu_percent > 75""",
+    SELECT alertname, model_id, instance, {text('ts')} AS ts, summary,
+           replace(replace(replace(template, '{{model_id}}', model_id), '{{instance}}', instance), '{{mountpoint}}', '/data') AS description
+    FROM snapshots, (VALUES {', '.join(f"('{name}', '{SUMMARIES[name]}', '{template}')" for name, template in DESCRIPTIONS.items())}) AS r(alertname, summary, template)
+    WHERE cpu_percent > 75""",
 )
 def render_labels(t: Tables) -> DataFrame:
-    rows = t.snapshots.where("cpu_percent > 75").withColumn("alertname", F.lit("ModelHighCPUUsage"))
-    return alerts.render(rows).select("model_id", "instance", "ts", "description")
+    """Every rule's texts for the same readings."""
+    rows = t.snapshots.where("cpu_percent > 75").withColumns(
+        {"alertname": F.explode(F.array(*[F.lit(name) for name in DESCRIPTIONS])), "mountpoint": F.lit("/data")}
+    )
+    return alerts.render(rows).select("alertname", "model_id", "instance", "ts", "summary", "description")
 
 
 view(

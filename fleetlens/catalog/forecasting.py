@@ -124,6 +124,19 @@ def flat_from_latest(t: Tables) -> DataFrame:
     return now.unionByName(past)
 
 
+@query(
+    "fc_flat_allocation",
+    f"""
+    SELECT model_id, 100.0::DOUBLE AS cpu_allocation, 1024.0::DOUBLE AS memory_allocation, 1024.0::DOUBLE AS network_allocation,
+           {r6("coalesce(max(value) FILTER (metric_name = 'cpu_usage_real'), 0)")} AS utilization_cpu,
+           0.0::DOUBLE AS utilization_memory, 0.0::DOUBLE AS utilization_network
+    FROM (SELECT model_id, metric_name, arg_max(value, event_id) AS value FROM metrics GROUP BY ALL) GROUP BY model_id""",
+)
+def flat_allocation(t: Tables) -> DataFrame:
+    """The allocation shown beside a flat forecast."""
+    return forecast.flat_allocation(t.metrics, tie="event_id")
+
+
 @query("fc_model_store", MEAN_SQL)
 def model_store(t: Tables) -> DataFrame:
     """Two fits are stored; the newer one is loaded and used."""

@@ -51,9 +51,9 @@ _found = """level IS NOT NULL AND upper(level) = 'ERROR' AND timestamp BETWEEN T
 )
 def log_query(t: Tables) -> DataFrame:
     wanted = {"level": "Error", "start": "2024-01-03", "end": "2024-01-25", "query": "REQUEST of m3"}
-    total = logs.search(t.logs, **wanted).agg(F.count("*").alias("total"), F.lit(1).alias("one"))
-    page = logs.query(t.logs, limit=20, offset=5, **wanted).withColumn("one", F.lit(1))
-    return page.join(total, "one").select("event_id", "timestamp", "model_id", "level", "message", "total")
+    total = logs.search(t.logs, **wanted).agg(F.count("*")).scalar()
+    page = logs.query(t.logs, limit=20, offset=5, **wanted)
+    return page.select("event_id", "timestamp", "model_id", "level", "message", total.alias("total"))
 
 
 def _section(section: str, key: str, ratio: str) -> str:

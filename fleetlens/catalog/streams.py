@@ -40,21 +40,24 @@ def log_ingest(t: Tables) -> DataFrame:
     "str_sliding_metrics",
     f"""
     SELECT model_id, {at('e')} AS ts, count(*) AS n, {r6('avg(latency)')} AS mean
-    FROM (SELECT model_id, latency, {evaluations(15, 300)} AS e FROM (SELECT model_id, latency, timestamp AS ts FROM logs))
-    WHERE make_timestamp(e * 1000000) <= (SELECT max(timestamp) - INTERVAL 15 MINUTES FROM logs) GROUP BY model_id, e""",
+    FROM (SELECT model_id, latency, {evaluations(15, 300)} AS e FROM (SELECT model_id, latency, timestamp AS ts FROM logs)) GROUP BY model_id, e""",
 )
 def sliding_metrics(t: Tables) -> DataFrame:
-    """All ranges but those of the last 15 minutes, which the watermark may not have closed."""
+    """What the stream closed, and after its end a last pass over what the watermark kept open."""
     path = fresh_folder(t.spark, "sliding")
     stream = jobs.sliding_metrics(logs_of(_events(t)), ["model_id"])
     jobs.append_to(stream, path + "/table", path + "/checkpoint").awaitTermination()
-    closed = t.logs.agg(F.max("timestamp") - F.expr("INTERVAL 15 MINUTES")).scalar()
-    return t.spark.read.parquet(path + "/table").where(F.col("ts") <= closed)
+    closed = t.spark.read.parquet(path + "/table")
+    return closed.unionByName(jobs.open_ranges(t.logs, closed, ["model_id"]))
 
 
 @query(
     "str_alert_for_state",
-    f"SELECT model_id AS series, {at('e')} AS ts, {at('since')} AS since, state FROM {hold('lat_high', 'model_id', 1800, GRID)}",
+    f"""
+    SELECT model_id AS series, {at('e')} AS ts, {at('since')} AS since, state FROM {hold('lat_high', 'model_id', 1800, GRID)}
+    UNION ALL
+    SELECT model_id, {at(f'max(e) + {GRID}')}, {at('since')}, 'resolved' FROM {hold('lat_high', 'model_id', 1800, GRID)}
+    GROUP BY model_id, since HAVING max(e) - since >= 1800 AND max(e) + {GRID} <= (SELECT max(e) - {GRID} FROM lat_high)""",
 )
 def alert_for_state(t: Tables) -> DataFrame:
     """True evaluations are written to a table, streamed back and followed per model."""
@@ -70,7 +73,7 @@ def alert_for_state(t: Tables) -> DataFrame:
         jobs.append_to(stream, path + "/table", path + "/checkpoint").awaitTermination()
     finally:
         spark.conf.set(key, before)
-    return spark.read.parquet(path + "/table").where("state <> 'resolved'")
+    return spark.read.parquet(path + "/table")
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetlens.functions.scalars import fixed, moment
+from fleetlens.functions.scalars import fixed, literal_map, moment
 from fleetlens.functions.timeline import CHUNK, chunked, previous, rows_back, running
 from fleetlens.operators.filters import Moment
 from fleetlens.schemas import (
@@ -18,6 +18,7 @@ from fleetlens.schemas import (
     GROUP_WAIT,
     MAX_FAILED_CHECKS,
     REPEAT_INTERVAL,
+    SUMMARIES,
     THRESHOLDS,
 )
 
@@ -193,8 +194,8 @@ def hold(conditions: DataFrame, keys: Sequence[str], for_seconds: int | Column,
     """
     wait = for_seconds if isinstance(for_seconds, Column) else F.lit(for_seconds)
     series = W.partitionBy(*keys).orderBy(ts)
-    # Consecutive evaluations keep (time / step - row number) constant.
-    run = F.unix_seconds(ts) / F.lit(step) - F.row_number().over(series)
+    # Consecutive evaluations keep (time / step - number of the time) constant; rows of one time share it.
+    run = F.unix_seconds(ts) / F.lit(step) - F.dense_rank().over(series)
     runs = conditions.withColumn("_run", run)
     since = F.min(ts).over(W.partitionBy(*keys, "_run"))
     held = F.unix_seconds(ts) - F.unix_seconds("since")
@@ -213,13 +214,13 @@ def intervals(states: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFra
     )
 
 
-def render(alerts: DataFrame, templates: Mapping[str, str] = DESCRIPTIONS, labels: Sequence[str] = ("model_id", "instance")) -> DataFrame:
-    """Adds ``description``: the alert's template with ``{label}`` replaced by the row's label."""
-    pairs = [F.lit(x) for item in templates.items() for x in item]
-    text = F.element_at(F.create_map(*pairs), F.col("alertname"))
+def render(alerts: DataFrame, templates: Mapping[str, str] = DESCRIPTIONS, labels: Sequence[str] = ("model_id", "instance", "mountpoint")) -> DataFrame:
+    """Adds ``summary`` and ``description``: the alert's texts with ``{label}`` replaced by the row's label."""
+    text = F.element_at(literal_map(templates), F.col("alertname"))
     for label in labels:
-        text = F.replace(text, F.lit("{" + label + "}"), F.coalesce(F.col(label), F.lit("")))
-    return alerts.withColumn("description", text)
+        value = F.coalesce(F.col(label), F.lit("")) if label in alerts.columns else F.lit("")
+        text = F.replace(text, F.lit("{" + label + "}"), value)
+    return alerts.withColumns({"summary": F.element_at(literal_map(SUMMARIES), F.col("alertname")), "description": text})
 
 
 def group(firing: DataFrame, by: Sequence[str] = ("alertname",), ts: str = "ts") -> DataFrame:

@@ -145,12 +145,9 @@ def resource_report(resources: DataFrame) -> DataFrame:
 
 def fleet_health(registry: DataFrame, snapshots: DataFrame) -> DataFrame:
     """One row: registered and deployed models, mean CPU and memory percent."""
+    usage = [snapshots.agg(F.avg(c)).scalar().alias(c) for c in ("cpu_percent", "memory_percent")]
     models = registry.agg(
         F.count_distinct("model_id").alias("registered"),
         F.count_distinct(F.when(F.col("status") == "running", F.col("model_id"))).alias("deployed"),
-        F.lit(1).alias("one"),
     )
-    usage = snapshots.agg(
-        F.avg("cpu_percent").alias("cpu_percent"), F.avg("memory_percent").alias("memory_percent"), F.lit(1).alias("one")
-    )
-    return models.join(usage, "one").drop("one")
+    return models.select("registered", "deployed", *usage)

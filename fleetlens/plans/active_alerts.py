@@ -19,7 +19,7 @@ def active_alerts(snapshots: DataFrame, hosts: DataFrame, now: Moment, threshold
     keep = ["model_id", "instance", "ts"]
     recent = young_alerts(snapshots, now, "ts")
     own = resource_alerts(recent, keep, thresholds)
-    shared = system_alerts(snapshots, young_alerts(hosts, now, "ts"), thresholds=thresholds)
+    shared = system_alerts(recent, young_alerts(hosts, now, "ts"), thresholds=thresholds)
     name = F.initcap(F.replace("type", F.lit("_"), F.lit(" ")))
     rows = own.unionByName(shared).withColumns(
         {

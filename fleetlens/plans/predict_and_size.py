@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions.timeline import matched
 from fleetlens.operators import forecast, sizing
 from fleetlens.operators.clean import dedupe_mean
 from fleetlens.operators.filters import Moment, clip_to_range, time_range
@@ -28,7 +29,7 @@ def predict_and_size(
     names: Sequence[str] = (*BASIC_METRICS, *HOST_METRICS),
     fits: DataFrame | None = None,
 ) -> DataFrame:
-    """One sizing row per model from its long metric table.
+    """One sizing row per model from its long metric table; series too short for a fit keep their mean.
 
     Two shuffles carry the raw rows' weight: the mean per series and time, and the sums per slot of
     the week; everything after is one row per series and future step.
@@ -36,7 +37,14 @@ def predict_and_size(
     wanted = time_range(metrics.where(F.col("metric_name").isin(*names)), start, end)
     observed = clip_to_range(dedupe_mean(wanted, ["timestamp", "metric_name", "model_id"])).drop("clipped")
     fitted = forecast.seasonal_fit(observed) if fits is None else fits
-    predicted = forecast.postprocess(forecast.seasonal_predict(fitted, horizon_minutes))
+    if fits is None:
+        points = observed.groupBy(*forecast.SERIES).agg(F.count("value").alias("_points"))
+        short = matched(observed, points.where(F.col("_points") < forecast.MIN_POINTS), forecast.SERIES).drop("_points")
+    else:
+        short = matched(observed, fits.select(*forecast.SERIES), forecast.SERIES, "left_anti")
+    modelled = forecast.seasonal_predict(fitted, horizon_minutes)
+    meant = forecast.mean_forecast(short, horizon_minutes, step_minutes=5, include_start=True)
+    predicted = forecast.postprocess(modelled.unionByName(meant))
     overridden = forecast.override_latest(predicted, observed)
     wide = (
         overridden.groupBy("model_id", "timestamp")

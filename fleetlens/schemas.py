@@ -81,9 +81,26 @@ RULES_HOST = {
 
 # Alert descriptions; {name} stands for a label.
 DESCRIPTIONS = {
+    "HighLatency": "Model prediction latency has been over 1s for 2 minutes",
+    "PredictionErrorSpike": "More than 3 errors in last 5 minutes",
     "ModelHighCPUUsage": "Model {model_id} ({instance}) CPU usage is above 75% for 5 minutes",
     "ModelHighMemoryUsage": "Model {model_id} ({instance}) memory usage is above 1.5GB for 5 minutes",
     "ModelHighNetworkTraffic": "Model {model_id} ({instance}) network traffic is above 50MB/s for 5 minutes",
+    "HighCPUUsage": "CPU usage is above 80% for 5 minutes on {instance}",
+    "HighMemoryUsage": "Memory usage is above 85% for 5 minutes on {instance}",
+    "HighDiskUsage": "Disk usage is above 85% for 5 minutes on {instance} mount point {mountpoint}",
+    "HighNetworkTraffic": "Network traffic is above 100MB/s for 5 minutes on {instance}",
+}
+SUMMARIES = {
+    "HighLatency": "High model latency",
+    "PredictionErrorSpike": "Spike in prediction errors",
+    "ModelHighCPUUsage": "High model CPU usage",
+    "ModelHighMemoryUsage": "High model memory usage",
+    "ModelHighNetworkTraffic": "High model network traffic",
+    "HighCPUUsage": "High CPU usage detected",
+    "HighMemoryUsage": "High memory usage detected",
+    "HighDiskUsage": "High disk usage detected",
+    "HighNetworkTraffic": "High network traffic detected",
 }
 
 EVAL_STEP = 15  # seconds between rule evaluations and between range-query points

@@ -66,6 +66,25 @@ def sliding_metrics(
     return ranges.select(*keys, F.col("w.end").alias("ts"), "n", (F.col("total") / F.col("n")).alias("mean"))
 
 
+def open_ranges(
+    samples: DataFrame,
+    closed: DataFrame,
+    keys: Sequence[str],
+    ts: str = "timestamp",
+    value: str = "latency",
+    range_: str = "5 minutes",
+    step: str = "15 seconds",
+) -> DataFrame:
+    """The ranges a finished stream still held open, from the samples as a table.
+
+    The watermark closes ranges by their end, all series at once: what is left ends after the last one in
+    ``closed`` and needs only samples of its reach.
+    """
+    last = closed.agg(F.coalesce(F.max("ts"), F.to_timestamp(F.lit("1900-01-01")))).scalar()
+    recent = samples.where(F.col(ts) >= last - F.expr(f"INTERVAL {range_}"))
+    return sliding_metrics(recent, keys, ts, value, range_, step).where(F.col("ts") > last)
+
+
 def dedupe(logs: DataFrame, keys: Sequence[str], ts: str = "timestamp", watermark: str = WATERMARK) -> DataFrame:
     """One row per key within the watermark."""
     return logs.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(list(keys))

@@ -36,7 +36,7 @@ def test_query(spark, duck, name):
 
 def test_names():
     assert set(TWINS) <= set(QUERIES)
-    assert len(QUERIES) == 134
+    assert len(QUERIES) == 136
 
 
 def test_entry(spark):

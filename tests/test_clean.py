@@ -104,10 +104,10 @@ def test_dedupe(spark):
     assert rows(clean.dedupe_first(df, ["model_id", "metric_name", "timestamp"], "arrival"), "value", "arrival") == [(1.0, 2), (4.0, 3)]
 
 
-def test_points_per_timestamp_last_model_wins(spark):
-    df = long(spark, [("a", "x", 0, 1.0, "i", 9), ("b", "x", 0, None, "i", 1), ("a", "z", 60, 2.0, "i", 3)])
-    got = rows(clean.points_per_timestamp(df, ["x", "z"], basic=["x"]), "x", "z")
-    assert got == [(0.0, 2.0), (0.0, None)]
+def test_points_per_timestamp_of_each_model(spark):
+    df = long(spark, [("a", "x", 0, 1.0, "i", 9), ("a", "x", 0, 5.0, "j", 2), ("b", "x", 0, None, "i", 1), ("a", "z", 60, 2.0, "i", 3)])
+    got = rows(clean.points_per_timestamp(df, ["x", "z"], basic=["x"]), "model_id", "x", "z")
+    assert got == [("a", 0.0, 2.0), ("a", 5.0, None), ("b", 0.0, None)]
 
 
 def test_future_grid(spark):
