@@ -19,23 +19,39 @@ from fleetlens.session import fresh_folder, shared_folder
 TS = f"{text('timestamp')} AS timestamp"
 
 
-# The intercept of a fit is not penalised, so fitted values have the mean of the observed ones.
-MEAN_SQL = f"""
-    SELECT model_id, metric_name, count(value) AS points, {text('max(timestamp) FILTER (value IS NOT NULL)')} AS last_time,
-           {r6('avg(value)')} AS mean_fitted
-    FROM hourly GROUP BY model_id, metric_name HAVING count(value) >= 8"""
-
-
-def _mean_fitted(t: Tables, fits: DataFrame) -> DataFrame:
-    """Size and end of each fit with the mean of its values at the observed times."""
-    fitted = forecast.fitted_values(t.hourly.where("value IS NOT NULL"), fits)
-    means = fitted.groupBy("model_id", "metric_name").agg(F.avg("yhat").alias("mean_fitted"))
-    return fits.select("model_id", "metric_name", "points", "last_time").join(means, ["model_id", "metric_name"])
-
-
-@query("fc_seasonal_fit", MEAN_SQL)
+def _terms_sql() -> str:
+    waves = [f"{fn}(2 * pi() * {k} * sec / {period})" for period, order in ((86400, 4), (604800, 3)) for k in range(1, order + 1) for fn in ("sin", "cos")]
+    return f"[1, (t - center) / scale, {', '.join(waves)}]"
+
+
+# A ridge fit meets its normal equations: for each term x, sum(x * fitted) + penalty * coefficient = sum(x * observed).
+MOMENTS_SQL = f"""
+    SELECT model_id, metric_name, any_value(points) AS points, {text('any_value(last_time)')} AS last_time, (i - 1)::INTEGER AS term, {r6('avg(x * y)')} AS moment
+    FROM (SELECT model_id, metric_name, points, last_time, y, unnest(terms)::DOUBLE AS x, generate_subscripts(terms, 1) AS i
+          FROM (SELECT *, {_terms_sql()} AS terms
+                FROM (SELECT *, avg(t) OVER s AS center, CASE WHEN var_pop(t) OVER s > 0 THEN sqrt(var_pop(t) OVER s) ELSE 1 END AS scale,
+                             count(*) OVER s AS points, max(timestamp) OVER s AS last_time
+                      FROM (SELECT model_id, metric_name, timestamp, value AS y, epoch_us(timestamp) / 86400e6::DOUBLE AS t,
+                                   (epoch_us(timestamp) // 1000000) % 604800 // 300 * 300 AS sec
+                            FROM hourly WHERE value IS NOT NULL) WINDOW s AS (PARTITION BY model_id, metric_name)))
+          WHERE points >= 8)
+    GROUP BY model_id, metric_name, i"""
+
+
+def _moments(t: Tables, fits: DataFrame) -> DataFrame:
+    """Size and end of each fit with the left side of its normal equations over the observed times."""
+    rows = t.hourly.where("value IS NOT NULL").join(fits, ["model_id", "metric_name"])
+    terms = forecast.model_terms("timestamp")
+    fitted = F.aggregate(F.zip_with("coefficients", "x", lambda b, x: b * x), F.lit(0.0), lambda a, x: a + x)
+    rows = rows.withColumn("x", terms).select("model_id", "metric_name", "points", "last_time", fitted.alias("yhat"), F.posexplode(F.arrays_zip("x", "coefficients")).alias("term", "z"))
+    penalty = F.when(F.col("term") > 0, F.first("z.coefficients") * forecast.RIDGE / F.first("points")).otherwise(0.0)
+    keys = ["model_id", "metric_name", "points", "last_time", "term"]
+    return rows.groupBy(*keys).agg((F.avg(F.col("z.x") * F.col("yhat")) + penalty).alias("moment"))
+
+
+@query("fc_seasonal_fit", MOMENTS_SQL)
 def seasonal_fit(t: Tables) -> DataFrame:
-    return _mean_fitted(t, forecast.seasonal_fit(t.hourly))
+    return _moments(t, forecast.seasonal_fit(t.hourly))
 
 
 @query("fc_seasonal_predict")
@@ -137,14 +153,14 @@ def flat_allocation(t: Tables) -> DataFrame:
     return forecast.flat_allocation(t.metrics, tie="event_id")
 
 
-@query("fc_model_store", MEAN_SQL)
+@query("fc_model_store", MOMENTS_SQL)
 def model_store(t: Tables) -> DataFrame:
     """Two fits are stored; the newer one is loaded and used."""
     path = fresh_folder(t.spark, "fits")
     early = t.hourly.where(F.col("timestamp") < moment("2024-01-15"))
     forecast.save_fits(forecast.seasonal_fit(early), path, "2024-01-15")
     forecast.save_fits(forecast.seasonal_fit(t.hourly), path, "2024-01-31")
-    return _mean_fitted(t, forecast.load_fits(t.spark, path))
+    return _moments(t, forecast.load_fits(t.spark, path))
 
 
 @query(

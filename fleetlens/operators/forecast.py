@@ -114,15 +114,19 @@ def seasonal_fit(df: DataFrame, slot: int = SLOT, min_points: int = MIN_POINTS)
     return sums.groupBy(*SERIES).applyInPandas(fit, FIT_SCHEMA)
 
 
-def _model_value(ts: str, slot: int) -> Column:
-    """The fitted model at a time; the row carries the fit."""
+def model_terms(ts: str, slot: int = SLOT) -> Column:
+    """The terms of the model at a time, in the order of its coefficients; the row carries the fit."""
     seconds = _slot(ts, slot) * slot
     features = [F.lit(1.0), (F.unix_micros(ts) / F.lit(DAY * 1e6) - F.col("center")) / F.col("scale")]
     for period, order in ((DAY, DAILY_ORDER), (WEEK, WEEKLY_ORDER)):
         for k in range(1, order + 1):
             angle = F.lit(2 * math.pi * k / period) * seconds
             features += [F.sin(angle), F.cos(angle)]
-    products = F.zip_with("coefficients", F.array(*features), lambda b, x: b * x)
+    return F.array(*features)
+
+
+def _model_value(ts: str, slot: int) -> Column:
+    products = F.zip_with("coefficients", model_terms(ts, slot), lambda b, x: b * x)
     return F.aggregate(products, F.lit(0.0), lambda a, x: a + x)
 
 
