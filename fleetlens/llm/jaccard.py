@@ -230,8 +230,9 @@ def linked(documents: DataFrame) -> DataFrame:
     pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-    links = stars.unionByName(_verified(pairs, whole))
-    joined = components(links, "a", "b", "jaccard-components")
+    more = written(_verified(pairs, whole), "jaccard-links")
+    if not more.isEmpty():
+        joined = components(stars.unionByName(more), "a", "b", "jaccard-components")
 
     sizes = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = sizes.groupBy("component").agg(F.min("least").alias("component_id"))
