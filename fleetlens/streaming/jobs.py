@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fleetlens.functions.timeline import CHUNK, chunked, place, running
+from fleetlens.functions.timeline import CHUNK, chunked, matched, place, running
 from fleetlens.operators.alerts import resource_alerts
 from fleetlens.operators.logs import normalize
 from fleetlens.operators.tsexpr import counter_delta
 from fleetlens.schemas import MAX_FAILED_CHECKS
+from fleetlens.session import remove_folder
 from fleetlens.sources.documents import store_documents
 
 WATERMARK = "5 minutes"
@@ -143,12 +144,15 @@ def _with_state(
     step: Callable[[DataFrame, DataFrame], DataFrame],
     advance: Callable[[DataFrame, DataFrame], DataFrame],
 ) -> StreamingQuery:
-    """Micro-batches computed from their rows and a small state table, one row per key.
+    """Micro-batches computed from their rows and a small table with the last row of each model.
 
     ``step(batch, state)`` gives the output; ``advance(written output, state)`` the next state, so the
-    batch is computed once. Both are written per batch id: a batch that runs twice after a failure
-    gives the same tables. Rows of one key are spread over tasks inside ``step``, which a stateful
-    operator keyed by it could not do.
+    batch is computed once. Rows of one model are spread over tasks inside ``step``, which a stateful
+    operator keyed by it could not do. A batch that runs twice after a failure gives the same tables:
+    the state it started from is kept until the next batch is done, older ones are removed.
+
+    Rows that come late, at or before the last row of their model in earlier batches, are left out of
+    results and state and written to ``late``.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -158,10 +162,14 @@ def _with_state(
         else:
             state = spark.read.schema(state_schema).parquet(f"{path}/state/batch={batch_id - 1}")
         written = f"{path}/out/batch={batch_id}"
-        out = step(batch, state)
+        last = state.select("model_id", F.struct("ts", "id").alias("_last"))
+        placed = matched(batch, last, ["model_id"], "left").withColumn("_late", F.coalesce(F.struct("ts", "id") <= F.col("_last"), F.lit(False)))
+        placed.where("_late").drop("_late", "_last").write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+        out = step(placed.where("NOT _late").drop("_late", "_last"), state)
         out.write.mode("overwrite").parquet(written)
         done = spark.read.schema(out.schema).parquet(written)
         advance(done, state).write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
+        remove_folder(spark, f"{path}/state/batch={batch_id - 2}")
 
     return (
         stream.writeStream.option("checkpointLocation", checkpoint)
@@ -178,16 +186,16 @@ def health_stream(checks: DataFrame, path: str, checkpoint: str, limit: int = MA
     def step(batch: DataFrame, state: DataFrame) -> DataFrame:
         numbered = running(chunked(batch, "ts"), ["model_id"], "ts", order, {"_n": ("count", F.lit(1))})
         marked = running(numbered, ["model_id"], "ts", order, {"_ok": ("max", F.when(F.col("ok"), F.col("_n")))})
-        carried = marked.join(state.select("model_id", F.col("failures").alias("_carry")), "model_id", "left")
+        carried = matched(marked, state.select("model_id", F.col("failures").alias("_carry")), ["model_id"], "left")
         failures = F.col("_n") - F.coalesce("_ok", -F.coalesce("_carry", F.lit(0)))
         status = F.when(F.col("failures") >= limit, "unavailable").otherwise("available")
         return carried.withColumn("failures", failures).withColumn("status", status).drop("_n", "_ok", "_carry", CHUNK)
 
     def advance(out: DataFrame, state: DataFrame) -> DataFrame:
-        last = out.groupBy("model_id").agg(F.max_by("failures", place(*order)).alias("failures"))
-        return state.join(last, "model_id", "left_anti").unionByName(last)
+        last = out.groupBy("model_id").agg(*[F.max_by(c, place(*order)).alias(c) for c in ("ts", "id", "failures")])
+        return matched(state, last.select("model_id"), ["model_id"], "left_anti").unionByName(last)
 
-    return _with_state(checks, path, checkpoint, "model_id STRING, failures BIGINT", step, advance)
+    return _with_state(checks, path, checkpoint, "model_id STRING, ts TIMESTAMP, id BIGINT, failures BIGINT", step, advance)
 
 
 def counter_stream(samples: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

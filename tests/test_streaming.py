@@ -55,6 +55,16 @@ def test_counter_rate_equals_batch(spark):
     assert got.where("rate IS NULL").count() == 2
 
 
+def test_late_rows_are_set_aside(spark):
+    data = [("a", 0, 1, 5.0), ("a", 60, 2, 8.0), ("a", 30, 3, 1.0), ("a", 90, 4, 9.0), ("b", 1, 5, 2.0), ("a", 120, 6, 9.5)]
+    df = spark.createDataFrame(data, "model_id STRING, s BIGINT, id BIGINT, value DOUBLE").withColumn("ts", F.timestamp_seconds("s"))
+    stream, path = sliced(spark, df, "id", 3)
+    jobs.counter_stream(stream, path + "-out", path + "-ck").awaitTermination()
+    assert rows(spark.read.parquet(path + "-out/late"), "id") == [(3,)]
+    assert rows(spark.read.parquet(path + "-out/out"), "id", "delta") == [(1, None), (2, 3.0), (4, 1.0), (5, None), (6, 0.5)]
+    assert rows(spark.read.parquet(path + "-out/state").select("batch").distinct(), "batch") == [(1,), (2,)]
+
+
 def test_alert_state_equals_batch(spark):
     rng = random.Random(5)
     true_at = [(k, 900 + 15 * i) for k in "ab" for i in range(80) if rng.random() < 0.85]
