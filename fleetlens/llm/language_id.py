@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import free_name
+from fleetlens.llm.common import free_name, written
 
 FIT_DOCUMENTS = 400
 MAX_WORDS = 100_000
@@ -55,9 +55,9 @@ def fit(documents: DataFrame) -> dict:
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, FIT_DOCUMENTS / n))).otherwise(share)
     chance = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # equal texts say nothing more than one of them, and there may be many
-    sample = labelled.where(chance < share).distinct()
+    sample = written(labelled.where(chance < share).distinct(), "language-sample")
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("gram"))
-    words = words.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
+    words = written(words.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")), "language-words")
     marked = words.select("lang", "n", F.concat(F.lit("^"), "gram", F.lit("$")).alias("w"))
     pieces = [
         marked.select(
