@@ -3,7 +3,7 @@
 A known word counts by its log frequency in each language. An unknown word is read from left to right by
 the longest known n-gram at each place, from four characters down to one; what even these don't know
 counts nothing. The language with the largest sum wins; ties go to the smaller name. ``score`` is the share
-of the letters, by words, that speak for it.
+of the letters, by words, that speak for it; an even share where no word tells the languages apart.
 
 The model is fitted in Spark on a bounded sample: about ``FIT_DOCUMENTS`` documents of each language,
 chosen by a hash of their text, all of them where there are fewer. From these it keeps at most ``MAX_WORDS``
@@ -134,7 +134,7 @@ class Speaker:
         letters = np.fromiter((len(w) for w in counted), dtype=np.float64, count=len(counted)) * times
         lang = int((self.table[at] * times[:, None]).sum(axis=0).argmax())
         speaking = letters[self.best[at] >= 0].sum()
-        score = letters[self.best[at] == lang].sum() / speaking if speaking else 0.0
+        score = letters[self.best[at] == lang].sum() / speaking if speaking else 1.0 / len(self.langs)
         return self.langs[lang], float(min(1.0, max(0.0, score)))
 
 

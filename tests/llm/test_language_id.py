@@ -45,6 +45,12 @@ def test_stage(corpus):
     assert {r.doc_id for r in corpus.collect()} - {r.doc_id for r in kept.collect()} == {200, 201, 202}
 
 
+def test_one_language(docs):
+    df = docs(*[(i, "w1 w2 and so on", "en", "s") for i in range(20)])
+    assert {(r.lang_pred, r.score) for r in L.identify(df).collect()} == {("en", 1.0)}
+    assert L.understood(df).count() == 20
+
+
 def test_backs_off():
     s = L.Speaker({"langs": ["a", "b"], "words": {}, "grams": {"x": [0.0, 1.0], "^": [0.0, 0.0], "yz": [3.0, 0.0]}})
     assert s.backoff("xq").tolist() == [0.0, 1.0] and s.backoff("yz").tolist() == [3.0, 0.0]

@@ -30,7 +30,7 @@ def test_large_totals_are_split():
 
 @pytest.fixture
 def rows():
-    out = [(i, " ".join(["w"] * (i % 40 * 60)), "en", "abc"[i % 3]) for i in range(120)]
+    out = [(i, " ".join(["w"] * (i % 40 * 60 + i % 3)), "en", "abc"[i % 3]) for i in range(120)]
     return [*out, (None, "one two", None, None), (500, None, "en", "a"), (501, "", "en", "z"), *[(7, "x y z", "en", "a")] * 20]
 
 
