@@ -82,7 +82,7 @@ def fit(documents: DataFrame) -> dict:
         seen = top[[f"n{i}" for i in range(len(langs))]].to_numpy(dtype=float)
         logs = np.log(seen + SMOOTHING) - np.log(seen.sum(axis=0) + SMOOTHING * (len(seen) + 1))
         target = model["words"] if k == 0 else model["grams"]
-        target.update(zip(top["gram"], logs.astype(np.float64), strict=True))
+        target.update(zip(top["gram"], logs.tolist(), strict=True))
     return model
 
 
@@ -98,12 +98,12 @@ class Speaker:
         self.table = np.zeros((1024, len(self.langs)))
         self.best = np.zeros(1024, dtype=np.int64)
 
-    def backoff(self, word: str) -> np.ndarray:
-        out, marked, i = np.zeros(len(self.langs)), f"^{word}$", 0
+    def backoff(self, word: str) -> list[float]:
+        out, marked, i = [0.0] * len(self.langs), f"^{word}$", 0
         while i < len(marked):
             for k in range(min(LONGEST, len(marked) - i), 0, -1):
                 if (seen := self.grams.get(marked[i : i + k])) is not None:
-                    out += seen
+                    out = [a + b for a, b in zip(out, seen, strict=True)]
                     break
             i += k
         return out
@@ -116,8 +116,9 @@ class Speaker:
         seen = self.known.get(word)
         seen = self.backoff(word) if seen is None else seen
         # differences between languages only, so that long words and rare ones don't drown the others
-        self.table[at] = seen - seen.max()
-        self.best[at] = int(seen.argmax()) if np.ptp(seen) > 0 else -1
+        top = max(seen)
+        self.table[at] = [x - top for x in seen]
+        self.best[at] = seen.index(top) if min(seen) < top else -1
         self.rows[word] = at
         return at
 
