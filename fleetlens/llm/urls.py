@@ -65,11 +65,12 @@ def gram_scores(counts: DataFrame) -> DataFrame:
     chance = None
     for k in range(ORDER + 1):
         level = counts.groupBy(F.substring("gram", -(k + 1), k + 1).alias("g")).agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
-        level = level.withColumn("ctx", F.substring("g", 1, k) if k else F.lit(""))
-        context = level.groupBy("ctx").agg(
-            F.sum("a").alias("na"), F.count_if(F.col("a") > 0).alias("ta"), F.sum("r").alias("nr"), F.count_if(F.col("r") > 0).alias("tr")
-        )
-        level = level.join(context, "ctx")
+        sums = {"na": F.sum("a"), "ta": F.count_if(F.col("a") > 0), "nr": F.sum("r"), "tr": F.count_if(F.col("r") > 0)}
+        if k:
+            level = level.withColumn("ctx", F.substring("g", 1, k))
+            level = level.join(level.groupBy("ctx").agg(*[c.alias(name) for name, c in sums.items()]), "ctx")
+        else:  # the empty context is that of all
+            level = level.withColumns({name: level.agg(c).scalar() for name, c in sums.items()})
         if chance is None:
             level = level.withColumns({"qa": F.lit(1.0 / UNIFORM), "qr": F.lit(1.0 / UNIFORM)})
         else:
