@@ -10,8 +10,9 @@ stands between blanks; in scripts without blanks it is a character, and a word o
 characters is read as several, cut the same way by its characters.
 
 From every such part on, the shortest run of at least ``SENTENCES`` consecutive parts with ``WORDS`` words or
-more is hashed, and one more run that ends with the last part. Runs are joined over all documents by a
-128-bit hash of their words. The first place of a run (smallest id, then place) stays; every part that
+more is hashed, and for every part the shortest such run that ends with it: together they cover every longer
+run, so that hashing all runs would remove no more. Runs are joined over all documents by a 128-bit hash of
+their words. The first place of a run (smallest id, then place) stays; every part that
 another place of a repeated run covers is removed. Runs shorter than that, single repeated lines for
 instance, are left alone.
 
@@ -131,18 +132,20 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
 
 
 def runs(lengths: list[int]) -> list[tuple[int, int]]:
-    """The runs of sentences, as (first, last + 1), from the numbers of their words."""
+    """The shortest runs from each part and up to each part, as (first, last + 1), from the numbers of their words.
+
+    They cover every run of ``SENTENCES`` parts and ``WORDS`` words or more with runs inside it.
+    """
     total = np.concatenate([[0], np.cumsum(lengths)])
     n = len(lengths)
     if n < SENTENCES or total[n] < WORDS:
         return []
-    starts = np.arange(n)
-    ends = np.maximum(np.searchsorted(total, total[:n] + WORDS), starts + SENTENCES)
-    out = [(int(a), int(b)) for a, b in zip(starts, ends, strict=True) if b <= n]
-    last = min(int(np.searchsorted(total, total[n] - WORDS, side="right")) - 1, n - SENTENCES)
-    if not out or (last, n) != out[-1]:
-        out.append((last, n))
-    return out
+    edges = np.arange(n + 1)
+    ends = np.maximum(np.searchsorted(total, total[:n] + WORDS), edges[:n] + SENTENCES)
+    starts = np.minimum(np.searchsorted(total, total - WORDS, side="right") - 1, edges - SENTENCES)
+    out = {(a, b) for a, b in zip(edges[:n].tolist(), ends.tolist(), strict=True) if b <= n}
+    out.update((a, b) for a, b in zip(starts.tolist(), edges.tolist(), strict=True) if a >= 0)
+    return sorted(out)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
