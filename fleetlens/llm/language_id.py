@@ -5,8 +5,9 @@ the longest known n-gram at each place, from four characters down to one; what e
 counts nothing. The language with the largest sum wins; ties go to the smaller name. ``score`` is the share
 of the letters, by words, that speak for it; an even share where no word tells the languages apart.
 
-The model is fitted in Spark on a bounded sample: about ``FIT_DOCUMENTS`` documents of each language,
-chosen by a hash of their text, all of them where there are fewer. From these it keeps at most ``MAX_WORDS``
+The model is fitted in Spark on a bounded sample: about ``FIT_DOCUMENTS`` different texts of each language,
+chosen by a hash of the text, all of them where there are fewer. Copies count once; texts without letters
+don't count, and a language that has no others is not learned. From these it keeps at most ``MAX_WORDS``
 words and ``MAX_GRAMS`` n-grams per length, the most frequent first, so its size does not grow with the
 corpus. Prediction reads every whole text and nothing but the text.
 
@@ -48,14 +49,17 @@ def held_out(doc_id: Column) -> Column:
 def fit(documents: DataFrame) -> dict:
     """The model: languages, and per word and n-gram the log frequencies by language."""
     labelled = documents.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    digest = F.xxhash64("text")
+    # equal texts say nothing more than one of them, and there may be many
+    spoken = F.col("text").rlike(r"\p{L}")
+    different = labelled.where(spoken).select("lang", digest.alias("h")).distinct()
+    sizes = {r["lang"]: r["n"] for r in different.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, FIT_DOCUMENTS / n))).otherwise(share)
-    chance = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # equal texts say nothing more than one of them, and there may be many
-    sample = written(labelled.where(chance < share).distinct(), "language-sample")
+    chance = F.pmod(digest, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = written(labelled.where((chance < share) & spoken).distinct(), "language-sample")
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("gram"))
     words = written(words.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")), "language-words")
     marked = words.select("lang", "n", F.concat(F.lit("^"), "gram", F.lit("$")).alias("w"))
