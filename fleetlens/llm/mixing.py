@@ -5,7 +5,8 @@ the mix a number of words: passes over all its blocks and, in a last pass, as ma
 permutation as make up the rest (the last of them cut to fit). The numbers of blocks that the sources owe
 are split exactly among the output shards: a tree halves the shards, and each half gets a multivariate
 hypergeometric share. A shard draws its blocks as disjoint ranges of the permuted blocks of each source and
-orders them by a hash of its own, the local shuffle.
+orders them by a hash of its own, the local shuffle. ``mixed_blocks`` gives the shards and their order;
+``mixed_sizes`` and ``mixed_documents`` sum the same draws up by document, whatever their shard.
 
 Only totals per source pass through the driver. Sources are configuration-like (the weights name them), and
 more than ``MAX_SOURCES`` of them are refused; everything that grows with the rows stays distributed: ranks
@@ -182,6 +183,22 @@ def mixed_sizes(documents: DataFrame) -> DataFrame:
     )
 
 
+def mixed_blocks(documents: DataFrame) -> DataFrame:
+    """The mix shard by shard, without its texts: a row per drawn block, ``slot`` its place in the shard's order, from 0.
+
+    ``words`` are taken of the block from its start; ``copy`` tells rows with equal doc_id, source and size apart.
+    """
+    units = with_units(documents, ["doc_id"])
+    drawn, _ = mix(units)
+    drawn = written(drawn.withColumn("bucket", F.shiftright("place", 52)), "mix-blocks")
+    offsets = running_offsets(drawn.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n")), ["shard"], "bucket", ["n"])
+    inside = W.partitionBy("shard", "bucket").orderBy("place", "unit", "pass", "block")
+    placed = drawn.withColumn("_inside", F.row_number().over(inside) - 1).join(offsets, ["shard", "bucket"])
+    return placed.join(units.drop("source"), "unit").select(
+        "shard", (F.col("n_before") + F.col("_inside")).alias("slot"), "doc_id", "source", "size", F.col(COPY).alias("copy"), "pass", "block", "words"
+    )
+
+
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """The mix as documents: a row per document and pass, its text the drawn blocks in their order.
 

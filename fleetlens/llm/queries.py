@@ -22,6 +22,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_blocks(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("t")
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_substrings": op2_substrings,
     "op3_mixing": op3_mixing,
+    "op3_mixing_shards": op3_mixing_shards,
     "op4_decontamination": op4_decontamination,
     "op5_jaccard": op5_jaccard,
     "op6_urls": op6_urls,
