@@ -6,7 +6,8 @@ of the text is looked at, so clean text costs one pass of the automaton.
 
 Base kinds, leftmost and non-overlapping per kind: ``email``, ``ip`` (four parts up to 255), ``card`` (16 to
 19 digits, Luhn), ``phone`` (8 to 15 digits after a plus). Added kinds: ``iban`` (country code, check digits
-by ISO 7064) and ``login`` (user and password in front of the host of a URL). Base spans are always kept.
+by ISO 7064; after a cue the length of the country or else the longest that ends with a word and holds, without
+a cue the length of the country only) and ``login`` (user and password in front of the host of a URL). Base spans are always kept.
 Positions count code points, the end is exclusive.
 
 Defined results: null and empty texts hold nothing; whole texts are read, whatever their length; every row
@@ -35,7 +36,16 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _RUN = re.compile(r"[0-9]+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_COUNTRY = re.compile(r"[A-Z]{2}")
+_ACCOUNT = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+_LENGTHS = (
+    "AL28 AD24 AT20 AZ28 BH22 BY28 BE16 BA20 BR29 BG22 BI27 CR22 HR21 CY28 CZ24 DK18 DJ27 DO28 EG29 SV28 EE20 FK18 FO18 FI18 FR27 GE22 DE22 GI23 "
+    "GR27 GL18 GT28 HN28 VA22 HU28 IS26 IQ23 IE22 IL23 IT27 JO30 KZ20 XK20 KW30 LV21 LB28 LY25 LI21 LT20 LU20 MT31 MR27 MU30 MD24 MC27 MN20 ME22 "
+    "NL18 NI28 MK19 NO15 OM23 PK24 PS29 PL28 PT25 QA29 RO24 RU33 LC32 SM27 ST25 SA24 RS22 SC31 SK24 SI19 SO23 ES24 SD18 SE24 CH21 TL23 TN24 TR26 "
+    "UA29 AE23 GB22 VG24 YE30"
+)
+#: Characters of an account number by country.
+ACCOUNTS = {entry[:2]: int(entry[2:]) for entry in _LENGTHS.split()}
 _LOGIN = re.compile(r"[^\s/?#@:]+:[^\s/?#@]+(?=@[A-Za-z0-9])")
 
 AT, PLUS, DIGIT, SCHEME, CUE = "at", "plus", "digit", "scheme", "cue"
@@ -64,6 +74,23 @@ def _mod97(iban: str) -> bool:
     return 15 <= len(compact) <= 34 and int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
 
 
+def _account(text: str, start: int, cued: bool) -> int | None:
+    """Where the account number from ``start`` on ends."""
+    if not (m := _ACCOUNT.match(text, start)):
+        return None
+    by_length, n = {}, 0
+    for end in range(start + 1, m.end() + 1):
+        if text[end - 1] != " ":
+            n += 1
+            if end == len(text) or not (text[end].isascii() and text[end].isalnum()):
+                by_length[n] = end
+    of_country = ACCOUNTS.get(text[start : start + 2])
+    for n in [of_country, *(sorted(by_length, reverse=True) if cued else ())]:
+        if n in by_length and _mod97(text[start : by_length[n]]):
+            return by_length[n]
+    return None
+
+
 def find(text: str | None, anchors: ahocorasick.Automaton) -> list[Span]:
     """All spans of a text, by kind and start."""
     if not text:
@@ -82,6 +109,9 @@ def find(text: str | None, anchors: ahocorasick.Automaton) -> list[Span]:
         if kind == DIGIT:
             if at > checked_ip:  # the first digit of a run
                 checked_ip = _RUN.match(text, at).end()
+                start = at - 2
+                if start >= ends["iban"] and _COUNTRY.match(text, start) and not (start and text[start - 1].isalnum()) and (end := _account(text, start, False)):
+                    keep("iban", start, end, True)
                 if at >= ends["ip"] and (m := _IP.match(text, at)):
                     keep("ip", at, m.end(), all(part.lstrip("0") == "" or len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in m[0].split(".")))
             if at > checked_card:
@@ -103,8 +133,8 @@ def find(text: str | None, anchors: ahocorasick.Automaton) -> list[Span]:
             if m := _LOGIN.match(text, last + 1):
                 keep("login", m.start(), m.end(), True)
         elif m := re.compile(r"[\s:#.-]{0,3}").match(text, last + 1):
-            if m.end() >= ends["iban"] and (value := _IBAN.match(text, m.end())):
-                keep("iban", value.start(), value.end(), _mod97(value[0]))
+            if m.end() >= ends["iban"] and (end := _account(text, m.end(), True)):
+                keep("iban", m.end(), end, True)
     return [span for kind in ends for span in spans[kind]]
 
 
