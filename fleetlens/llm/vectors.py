@@ -16,18 +16,23 @@ Cost: the filter keeps few pairs (one in some hundred thousand of unrelated ones
 radius of 0.22 spans most of a slab if the vectors have no direction of their own, and then tasks compare
 most vectors with most others, four times in 16 dimensions. See the README for figures.
 
-Defined results: null vectors, zero vectors and those with null or non-finite components, or of another
-length than most, link with nothing and are components of their own; equal ids with equal vectors are two
+Vectors of each length are joined among themselves, with a rotation, blocks and parts of their own; vectors of
+different lengths never link.
+
+Defined results: null vectors, zero vectors and those with null or non-finite components link with nothing
+and are components of their own; equal ids with equal vectors are two
 vectors; a null id is a component's id only where no member has another.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +50,7 @@ SEED = 42
 MARGIN = 1e-4
 
 
+@lru_cache(maxsize=16)
 def rotation(size: int) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((size, size)))
     return q * np.sign(np.diag(r))
@@ -172,17 +178,14 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     good = F.coalesce(F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
     rows = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).withColumn("good", good)
-    common = rows.where("good").groupBy(F.size("embedding").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "size").first()
-    size = common["size"] if common else 0
-    rows = rows.withColumn("good", F.col("good") & (F.size("embedding") == size))
     # -0.0 and 0.0 are one value to the digest, and the row number stands for the vector from here on
     plain = F.transform("embedding", lambda v: v + F.lit(0.0))
     rows = rows.withColumn("embedding", F.when(F.col("good"), plain)).withColumn("row", F.monotonically_increasing_id())
     rows = rows.withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(1), "embedding")})
     rows = written(rows, "vectors")
     points = rows.where("good").groupBy("h1", "h2").agg(F.min("row").alias("node"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    if size:
-        links = written(_links(rows.join(points.select("node", "n"), F.col("row") == F.col("node")), size, kind), "vector-links")
+    if not rows.where("good").isEmpty():
+        links = written(_links(rows.join(points.select("node", "n"), F.col("row") == F.col("node")), kind), "vector-links")
         joined = components(links.where("b >= 0"), "a", "b", "vector-components")
         counts = links.where("b < 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     else:
@@ -198,28 +201,32 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _links(points: DataFrame, size: int, kind: str) -> DataFrame:
+def _links(points: DataFrame, kind: str) -> DataFrame:
     """(a, b, links): links between nodes; rows with b = -1 count a's links in one task."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, size)
-            vecs = pa.array([v.tobytes() for v in np.ascontiguousarray(flat, dtype=kind)], pa.binary())
-            yield from _points(iter([pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), vecs], ["node", "n", "vec"])]), size, kind)
-
-    laid = points.select("node", "n", "embedding").mapInArrow(pack, "node long, n long, vec binary, block int, slab int, own boolean")
+        for mixed in batches:
+            sizes = pc.list_value_length(mixed.column("embedding"))
+            for size in pc.unique(sizes).to_pylist():
+                batch = mixed.filter(pc.equal(sizes, size))
+                flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, size)
+                vecs = pa.array([v.tobytes() for v in np.ascontiguousarray(flat, dtype=kind)], pa.binary())
+                for laid in _points(iter([pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), vecs], ["node", "n", "vec"])]), size, kind):
+                    yield pa.RecordBatch.from_arrays([*laid.columns, pa.array(np.full(laid.num_rows, size, dtype=np.int32))], [*laid.schema.names, "size"])
+
+    laid = points.select("node", "n", "embedding").mapInArrow(pack, "node long, n long, vec binary, block int, slab int, own boolean, size int")
     groups = max(1, -(-points.count() // GROUP_ROWS))
     laid = laid.withColumn("g", F.pmod(F.xxhash64("node"), F.lit(groups)).cast("int"))
     # every pair of groups of a slab: as the left side with all groups from its own on, as the right one with those before
     paired = laid.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     left = F.col("g") <= F.col("with")
     paired = paired.select(
-        "node", "n", "vec", "block", "slab", "own", left.alias("left"),
+        "node", "n", "vec", "size", "block", "slab", "own", left.alias("left"),
         F.least("g", "with").alias("i"), F.greatest("g", "with").alias("j"),
     )
 
     def tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        block, _, i, j = (int(k) for k in key)
+        size, block, _, i, j = (int(k) for k in key)
         return _tile_links(pdf, size, block, i == j, kind)
 
-    return paired.groupBy("block", "slab", "i", "j").applyInPandas(tile, "a long, b long, links long")
+    return paired.groupBy("size", "block", "slab", "i", "j").applyInPandas(tile, "a long, b long, links long")
