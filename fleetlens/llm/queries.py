@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import decontaminate, jaccard, language_id, licenses, mixing, pii, sharding, substrings, urls, vectors
+from fleetlens.llm import decontaminate, fill_in_middle, jaccard, language_id, licenses, mixing, pii, sharding, substrings, urls, vectors
 from fleetlens.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_substrings": op2_substrings,
@@ -66,9 +70,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_vectors": op9_vectors,
     "op10_sharding": op10_sharding,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.ORACLE,
     "op4_decontamination": decontaminate.ORACLE,
+    "op11_fill_in_middle": fill_in_middle.ORACLE,
 }
