@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -15,6 +17,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PLAIN_WORD = r"[^\x20\x09-\x0D]+"
 COPY = "_copy"
 CHUNK_ROWS = 10_000
+SALTS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,3 +90,19 @@ def running_offsets(totals: DataFrame, keys: Sequence[str], bucket: str, sums: S
     return totals.select(
         *keys, bucket, *[F.coalesce(F.sum(s).over(before), F.lit(0).cast("long")).alias(f"{s}_before") for s in sums]
     )
+
+
+def looked_up(rows: DataFrame, found: DataFrame, keys: Sequence[str], salts: int = SALTS) -> DataFrame:
+    """The rows with the columns of ``found``, which has one row per key; null keys are keys, rows without a match go.
+
+    A key may own any share of the rows: rows are salted by their values, and ``found`` is copied to the salts that a key
+    has rows for. Only narrow rows should come here. ``rows`` are read twice.
+    """
+    names = [*keys, free_name(rows, "_salt")]
+    more = [c for c in found.columns if c not in keys]
+    salted = rows.withColumn(names[-1], F.pmod(F.xxhash64(*all_columns(rows)), F.lit(salts)))
+    used = salted.select(*[F.col(k).alias(f"_used{i}") for i, k in enumerate(names)]).distinct()
+    found = found.select(*[F.col(k).alias(f"_found{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"_more{i}") for i, c in enumerate(more)])
+    copies = used.join(found, reduce(and_, [F.col(f"_used{i}").eqNullSafe(F.col(f"_found{i}")) for i in range(len(keys))]))
+    joined = salted.join(copies, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_used{i}")) for i, k in enumerate(names)]))
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col(f"_more{i}").alias(c) for i, c in enumerate(more)])
