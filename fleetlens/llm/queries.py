@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import codes, decontaminate, fill_in_middle, jaccard, language_id, licenses, mixing, pii, sharding, substrings, urls, vectors
+from fleetlens.llm import archives, codes, decontaminate, fill_in_middle, jaccard, language_id, licenses, mixing, pii, sharding, substrings, urls, vectors
 from fleetlens.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.archived(table(spark, sf_dir, "pages"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compressed(table(spark, sf_dir, "embeddings"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_vectors": op9_vectors,
     "op10_sharding": op10_sharding,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_warc": op12_warc,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -82,5 +87,6 @@ ORACLES: dict[str, str] = {
     "op3_mixing": mixing.ORACLE,
     "op4_decontamination": decontaminate.ORACLE,
     "op11_fill_in_middle": fill_in_middle.ORACLE,
+    "op12_warc": archives.ORACLE,
     "op13_vector_codes": codes.ORACLE,
 }
