@@ -10,7 +10,7 @@ from fleetlens.catalog.registry import query
 from fleetlens.catalog.sql import at, hold, instant, r6, ranges, rate, text, view
 from fleetlens.catalog.tables import Tables
 from fleetlens.functions.scalars import moment
-from fleetlens.operators import alerts, tsexpr
+from fleetlens.operators import alerts, notify, tsexpr
 from fleetlens.plans.active_alerts import active_alerts
 from fleetlens.schemas import DESCRIPTIONS, RULE_ERROR_SPIKE, RULE_HIGH_LATENCY, RULES_HOST, RULES_MODEL, SUMMARIES
 
@@ -329,14 +329,18 @@ view(
 )
 
 
-def _groups(t: Tables) -> DataFrame:
+def _firing(t: Tables) -> DataFrame:
     grown = tsexpr.agg_by_label(tsexpr.increase(t.errors, ["model_id", "instance"], WIDE, GRID), ["model_id"], "sum")
     spikes = alerts.hold(grown.where("value > 3"), ["model_id"], 900, step=GRID)
     firing = None
     for name, states in (("HighLatency", _held(t)), ("PredictionErrorSpike", spikes)):
         part = states.where("state = 'firing'").select(F.lit(name).alias("alertname"), "model_id", "ts")
         firing = part if firing is None else firing.unionByName(part)
-    return alerts.group(alerts.mark_new(firing, ["alertname", "model_id"], step=GRID))
+    return firing
+
+
+def _groups(t: Tables) -> DataFrame:
+    return alerts.group(alerts.mark_new(_firing(t), ["alertname", "model_id"], step=GRID))
 
 
 @query("alr_group", f"SELECT alertname, {at('e')} AS ts, alerts, new_alerts FROM firing_groups")
@@ -344,19 +348,52 @@ def group(t: Tables) -> DataFrame:
     return _groups(t)
 
 
+#: Evaluations end with the first one after the last event.
+STOPPED = f"(SELECT (max(epoch_us(ts)) // 1000000 // {GRID} + 1) * {GRID} FROM ev)"
+view(
+    "alert_spans",
+    f"""
+    SELECT alertname, model_id, min(e) AS starts, CASE WHEN max(e) + {GRID} > {STOPPED} THEN max(e) + 300 ELSE max(e) + {GRID} END AS ends
+    FROM (SELECT *, sum(fresh) OVER (PARTITION BY alertname, model_id ORDER BY e) AS run
+          FROM (SELECT *, CASE WHEN e - lag(e) OVER (PARTITION BY alertname, model_id ORDER BY e) = {GRID} THEN 0 ELSE 1 END AS fresh
+                FROM firing WHERE e <= {STOPPED}))
+    GROUP BY alertname, model_id, run""",
+)
+# Changes lie 300 seconds apart at least, so a group is gone whenever nothing fires, and each change has a flush of its own.
+view(
+    "group_changes",
+    """
+    SELECT *, sum(CASE WHEN alerts - started + ended = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY alertname ORDER BY at_) AS life
+    FROM (SELECT *, sum(started - ended) OVER (PARTITION BY alertname ORDER BY at_)::BIGINT AS alerts
+          FROM (SELECT alertname, at_, count(*) FILTER (d = 1) AS started, count(*) FILTER (d = -1) AS ended
+                FROM (SELECT alertname, starts AS at_, 1 AS d FROM alert_spans UNION ALL SELECT alertname, ends, -1 FROM alert_spans) GROUP BY ALL))
+    WHERE started + ended > 0""",
+)
+view(
+    "group_flushes",
+    """
+    SELECT *, CASE WHEN at_ = began THEN began + 10 ELSE began + 10 + ((at_ - began - 10) // 10 + 1) * 10 END AS flush
+    FROM (SELECT *, min(at_) OVER (PARTITION BY alertname, life) AS began FROM group_changes)""",
+)
+
+
+def _spans(t: Tables) -> DataFrame:
+    last = t.events.agg(F.timestamp_seconds((F.floor(F.unix_seconds(F.max("ts")) / GRID) + 1) * GRID)).scalar()
+    return notify.alert_spans(_firing(t).where(F.col("ts") <= last), ["alertname", "model_id"], step=GRID, stopped=last)
+
+
 @query(
     "alr_repeat_suppress",
     f"""
-    SELECT alertname, {at('start')} AS since, alerts, ((sent - start - 10) // 3600)::INTEGER AS repeat, {at('sent')} AS sent_at
-    FROM (SELECT alertname, start, alerts, unnest(range(start + 10, greatest(stop - 1, start + 10) + 1, 3600)) AS sent
-          FROM (SELECT alertname, stretch, min(e) AS start, max(e) + {GRID} AS stop, max(alerts) AS alerts
-                FROM (SELECT *, sum(CASE WHEN new_alerts > 0 OR gap IS DISTINCT FROM {GRID} THEN 1 ELSE 0 END)
-                             OVER (PARTITION BY alertname ORDER BY e) AS stretch
-                      FROM (SELECT *, e - lag(e) OVER (PARTITION BY alertname ORDER BY e) AS gap FROM firing_groups))
-                GROUP BY alertname, stretch))""",
+    SELECT alertname, {at('began')} AS since, {at('sent')} AS sent_at, CASE WHEN alerts > 0 THEN 'firing' ELSE 'resolved' END AS status, alerts,
+           CASE WHEN sent = flush THEN started ELSE 0 END AS new_alerts, CASE WHEN sent = flush THEN ended ELSE 0 END AS resolved_alerts,
+           ((sent - flush) // 3600)::INTEGER AS repeat
+    FROM (SELECT *, unnest(range(flush, CASE WHEN alerts > 0 THEN next ELSE flush + 1 END, 3600)) AS sent
+          FROM (SELECT *, lead(flush) OVER (PARTITION BY alertname, life ORDER BY at_) AS next FROM group_flushes))""",
 )
 def repeat_suppress(t: Tables) -> DataFrame:
-    return alerts.notifications(_groups(t), step=GRID)
+    """Every notification of both alerts, resolved ones included."""
+    return notify.notifications(_spans(t), ["alertname", "model_id"])
 
 
 @query(

@@ -1,4 +1,4 @@
-"""Threshold alerts, held conditions, grouping, repetition and inhibition."""
+"""Threshold alerts, held conditions, grouping and inhibition; ``notify`` has what becomes of groups."""
 
 from __future__ import annotations
 
@@ -15,9 +15,7 @@ from fleetlens.schemas import (
     ALERT_LIFETIME,
     DESCRIPTIONS,
     EVAL_STEP,
-    GROUP_WAIT,
     MAX_FAILED_CHECKS,
-    REPEAT_INTERVAL,
     SUMMARIES,
     THRESHOLDS,
 )
@@ -239,31 +237,6 @@ def mark_new(firing: DataFrame, keys: Sequence[str], ts: str = "ts", step: int =
     return firing.withColumn("newly_firing", before.isNull() | (gap != step))
 
 
-def notifications(
-    groups: DataFrame,
-    by: Sequence[str] = ("alertname",),
-    ts: str = "ts",
-    step: int = EVAL_STEP,
-    wait: int = GROUP_WAIT,
-    repeat: int = REPEAT_INTERVAL,
-) -> DataFrame:
-    """When each group is sent: ``wait`` seconds after it changes, then every ``repeat`` seconds
-    while it fires unchanged. Changes are new members; each change starts a new stretch."""
-    series = W.partitionBy(*by).orderBy(ts)
-    epoch = F.unix_seconds(ts)
-    starts = F.coalesce(epoch - F.lag(epoch).over(series) != step, F.lit(True)) | (F.col("new_alerts") > 0)
-    stretch = F.sum(starts.cast("int")).over(series.rowsBetween(W.unboundedPreceding, W.currentRow))
-    spans = (
-        groups.withColumn("_stretch", stretch)
-        .groupBy(*by, "_stretch")
-        .agg(F.min(epoch).alias("start"), (F.max(epoch) + step).alias("stop"), F.max("alerts").alias("alerts"))
-    )
-    sends = F.sequence(F.col("start") + wait, F.greatest(F.col("stop") - 1, F.col("start") + wait), F.lit(repeat))
-    return spans.select(*by, F.timestamp_seconds("start").alias("since"), "alerts", F.posexplode(sends).alias("repeat", "_at")).select(
-        *by, "since", "alerts", "repeat", F.timestamp_seconds("_at").alias("sent_at")
-    )
-
-
 def inhibit(firing: DataFrame, equal: Sequence[str] = ("alertname",), ts: str = "ts") -> DataFrame:
     """Warnings are dropped at evaluations where a critical alert with equal labels fires."""
     critical = firing.where("severity = 'critical'").select(*equal, ts).distinct()

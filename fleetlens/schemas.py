@@ -106,6 +106,8 @@ SUMMARIES = {
 EVAL_STEP = 15  # seconds between rule evaluations and between range-query points
 RATE_RANGE = 300  # seconds a rate looks back
 GROUP_WAIT = 10  # seconds before a group of alerts is first sent
+GROUP_INTERVAL = 10  # seconds between looks at a group for changes
+RESOLVE_TIMEOUT = 300  # seconds after which an alert that isn't reported any more is resolved
 REPEAT_INTERVAL = 3600  # seconds before an unchanged group is sent again
 ALERT_LIFETIME = 1800  # seconds an alert stays active
 MAX_FAILED_CHECKS = 3

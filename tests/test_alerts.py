@@ -80,21 +80,12 @@ def test_render(spark):
     assert got == ["Model m1 (i2) CPU usage is above 75% for 5 minutes", None]
 
 
-def test_group_and_notifications(spark):
-    """Series x fires from 0 to 7200, y joins at 30: two sends for the changes, then one an hour."""
+def test_groups_are_counted(spark):
     firing = [("A", "x", s) for s in range(0, 7215, 15)] + [("A", "y", s) for s in range(30, 7215, 15)]
     df = at(spark, firing, "alertname STRING, k STRING, s BIGINT")
     groups = alerts.group(alerts.mark_new(df, ["alertname", "k"]))
     counts = {r["s"]: (r["alerts"], r["new_alerts"]) for r in groups.withColumn("s", F.unix_seconds("ts")).collect()}
     assert counts[0] == (1, 1) and counts[15] == (1, 0) and counts[30] == (2, 1) and counts[45] == (2, 0)
-    sent = alerts.notifications(groups).select(F.unix_seconds("sent_at").alias("t"), "alerts", "repeat")
-    assert sorted(tuple(r) for r in sent.collect()) == [(10, 1, 0), (40, 2, 0), (3640, 2, 1)]
-
-
-def test_notifications_restart_after_a_gap(spark):
-    df = at(spark, [("A", "x", 0), ("A", "x", 15), ("A", "x", 600)], "alertname STRING, k STRING, s BIGINT")
-    sent = alerts.notifications(alerts.group(alerts.mark_new(df, ["alertname", "k"])))
-    assert rows(sent.select(F.unix_seconds("sent_at").alias("t"))) == [(10,), (610,)]
 
 
 def test_inhibit_only_equal_labels_and_time(spark):
