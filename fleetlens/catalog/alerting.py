@@ -377,23 +377,23 @@ view(
 )
 
 
-def _spans(t: Tables) -> DataFrame:
+def alert_spans(t: Tables) -> DataFrame:
     last = t.events.agg(F.timestamp_seconds((F.floor(F.unix_seconds(F.max("ts")) / GRID) + 1) * GRID)).scalar()
     return notify.alert_spans(_firing(t).where(F.col("ts") <= last), ["alertname", "model_id"], step=GRID, stopped=last)
 
 
-@query(
-    "alr_repeat_suppress",
-    f"""
+NOTIFICATIONS_SQL = f"""
     SELECT alertname, {at('began')} AS since, {at('sent')} AS sent_at, CASE WHEN alerts > 0 THEN 'firing' ELSE 'resolved' END AS status, alerts,
            CASE WHEN sent = flush THEN started ELSE 0 END AS new_alerts, CASE WHEN sent = flush THEN ended ELSE 0 END AS resolved_alerts,
            ((sent - flush) // 3600)::INTEGER AS repeat
     FROM (SELECT *, unnest(range(flush, CASE WHEN alerts > 0 THEN next ELSE flush + 1 END, 3600)) AS sent
-          FROM (SELECT *, lead(flush) OVER (PARTITION BY alertname, life ORDER BY at_) AS next FROM group_flushes))""",
-)
+          FROM (SELECT *, lead(flush) OVER (PARTITION BY alertname, life ORDER BY at_) AS next FROM group_flushes))"""
+
+
+@query("alr_repeat_suppress", NOTIFICATIONS_SQL)
 def repeat_suppress(t: Tables) -> DataFrame:
     """Every notification of both alerts, resolved ones included."""
-    return notify.notifications(_spans(t), ["alertname", "model_id"])
+    return notify.notifications(alert_spans(t), ["alertname", "model_id"])
 
 
 @query(

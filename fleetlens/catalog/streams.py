@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.catalog.alerting import GRID, WIDE
+from fleetlens.catalog.alerting import GRID, NOTIFICATIONS_SQL, WIDE, alert_spans
 from fleetlens.catalog.cleaning import twice
 from fleetlens.catalog.registry import query
 from fleetlens.catalog.sql import at, evaluations, hold, r6, text
 from fleetlens.catalog.tables import Tables, events_of, logs_of
 from fleetlens.operators import tsexpr
 from fleetlens.operators.alerts import resource_alerts
-from fleetlens.session import ROCKSDB, fresh_folder
+from fleetlens.session import fresh_folder
 from fleetlens.streaming import jobs
 from fleetlens.streaming.alert_state import hold_stream
+from fleetlens.streaming.notify_state import notification_stream
 
 
 def _events(t: Tables) -> DataFrame:
@@ -65,17 +66,26 @@ def alert_for_state(t: Tables) -> DataFrame:
     path = fresh_folder(spark, "hold")
     above = tsexpr.latency_avg(t.latency, ["model_id"], WIDE, GRID).where("value > 1.0")
     above.select(F.col("model_id").alias("series"), F.unix_seconds("ts").alias("epoch")).write.parquet(path + "/in")
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, ROCKSDB)
-    try:
-        stream = hold_stream(spark.readStream.schema("series STRING, epoch BIGINT").parquet(path + "/in"), 1800, GRID)
-        jobs.append_to(stream, path + "/table", path + "/checkpoint").awaitTermination()
-    finally:
-        spark.conf.set(key, before)
+    stream = hold_stream(spark.readStream.schema("series STRING, epoch BIGINT").parquet(path + "/in"), 1800, GRID)
+    jobs.append_to(stream, path + "/table", path + "/checkpoint").awaitTermination()
     return spark.read.parquet(path + "/table")
 
 
+LATE = 3600
+
+
+@query("str_notifications", f"SELECT * FROM ({NOTIFICATIONS_SQL}) WHERE sent_at <= (SELECT {at(f'max(at_) - {LATE}')} FROM group_changes)")
+def notifications(t: Tables) -> DataFrame:
+    """Starts and ends of alerts are written to a table, streamed back and followed per group up to the watermark."""
+    path = fresh_folder(t.spark, "notify")
+    ends = F.array(F.struct(F.col("starts").alias("epoch"), F.lit(True).alias("fires")), F.struct(F.col("ends").alias("epoch"), F.lit(False).alias("fires")))
+    changes = alert_spans(t).select("alertname", F.col("model_id").alias("alert"), F.inline(ends))
+    changes.write.parquet(path + "/in")
+    stream = notification_stream(t.spark.readStream.schema("alertname STRING, alert STRING, epoch BIGINT, fires BOOLEAN").parquet(path + "/in"), LATE)
+    jobs.append_to(stream, path + "/table", path + "/checkpoint").awaitTermination()
+    return t.spark.read.parquet(path + "/table")
+
+
 @query(
     "str_health_state",
     """

@@ -82,3 +82,35 @@ def test_like_brute_force(spark, wait, interval, repeat):
 
 def test_empty(spark):
     assert found(spark, []) == []
+
+
+def test_stream_like_batch(spark, tmp_path):
+    """Changes come in three files, out of order; what the watermark has passed is what the batch form says."""
+    from fleetlens.session import prepare
+    from fleetlens.streaming import jobs
+    from fleetlens.streaming.notify_state import notification_stream
+
+    prepare(spark)
+    draw = random.Random(9)
+    spans = []
+    for group in "AB":
+        for k in "wxyz":
+            at = draw.randrange(200)
+            while at < 1500:
+                end = at + 5 * draw.randrange(1, 40)
+                spans.append((group, k, at, end))
+                at = end + 5 * draw.randrange(1, 20)
+    changes = sorted(c for g, k, s, e in spans for c in ((s, g, k, True), (e, g, k, False)))
+    late, settings = 100, {"wait": 20, "interval": 30, "repeat": 60}
+    schema = "epoch BIGINT, alertname STRING, alert STRING, fires BOOLEAN"
+    for i, (low, high) in enumerate(((0, 600), (600, 1000), (1000, 9999))):
+        part = [c for c in changes if low <= c[0] < high]
+        draw.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    stream = notification_stream(source, late, **settings)
+    jobs.append_to(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out")
+    got = rows(got.select("alertname", F.unix_seconds("since").alias("b"), F.unix_seconds("sent_at").alias("s"), "alerts", "new_alerts", "resolved_alerts", "repeat"))
+    passed = max(c[0] for c in changes) - late
+    assert got == [r for r in brute(spans, **settings) if r[2] <= passed] and len(got) > 40
