@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from fleetlens.catalog.registry import query
 from fleetlens.catalog.sql import r6, text, view
 from fleetlens.catalog.tables import Tables
-from fleetlens.functions.scalars import moment
+from fleetlens.functions.scalars import literal_map, moment
+from fleetlens.functions.timeline import matched
 from fleetlens.operators import forecast, scoring
 from fleetlens.operators.clean import fill_gaps
-from fleetlens.schemas import FORECAST_FLOORS
+from fleetlens.schemas import BASIC_METRICS, FORECAST_FLOORS, VALUE_RANGES
 from fleetlens.session import fresh_folder, shared_folder
 
 TS = f"{text('timestamp')} AS timestamp"
@@ -82,15 +83,69 @@ def postprocess(t: Tables) -> DataFrame:
     return forecast.postprocess(rows)
 
 
-@query("fc_forest_fit_predict")
+# A forest is no SQL. Its twins have what is exact: the grid, the series with a forecast, means where rows are few, zeros where
+# a metric is absent, and that a forecast stays inside what its series' mean and deviation make of the values it was trained on.
+FORESTED = (*BASIC_METRICS, "cpu_usage_real", "memory_usage_real")
+MANY = 100
+view(
+    "forested",
+    f"""
+    SELECT *, count(*) OVER s AS n, avg(value) OVER s AS level, CASE WHEN stddev_pop(value) OVER s > 0 THEN stddev_pop(value) OVER s ELSE 1 END AS spread
+    FROM filled WHERE metric_name IN ({', '.join(f"'{m}'" for m in FORESTED)}) WINDOW s AS (PARTITION BY model_id, metric_name)""",
+)
+view("forest_rows", "SELECT *, (value - level) / spread AS z, row_number() OVER (PARTITION BY model_id, metric_name ORDER BY timestamp) AS nth FROM forested")
+_wanted = "(SELECT unnest([" + ", ".join(f"'{m}'" for m in FORESTED) + "]) AS metric_name)"
+
+
+def _within(df: DataFrame, rows: DataFrame, ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """For forecasts of trained series, whether they lie inside what they can be; ``rows`` are the rows trained on."""
+    scale = rows.groupBy(*forecast.SERIES).agg(F.first("level").alias("level"), F.first("spread").alias("spread"))
+    low, high = (rows.agg(f("z")).scalar() for f in (F.min, F.max))
+    low, high = (F.col("level") + F.col("spread") * z for z in (low, high))
+    if ranges:
+        floor, top = (F.element_at(literal_map({m: r[i] for m, r in ranges.items()}), F.col("metric_name")) for i in (0, 1))
+        low, high = F.greatest(low, floor), F.least(high, top)
+    joined = matched(df, scale, forecast.SERIES, "left")
+    return joined.withColumn("within", F.col("yhat").between(low - 1e-6, high + 1e-6)).drop("level", "spread")
+
+
+def _long(wide: DataFrame) -> DataFrame:
+    return wide.unpivot(["model_id", "timestamp"], list(FORESTED), "metric_name", "yhat")
+
+
+def _trained(t: Tables) -> DataFrame:
+    scale = forecast.series_scale(fill_gaps(t.hourly), FORESTED)
+    return matched(fill_gaps(t.hourly), scale, forecast.SERIES).withColumn("z", (F.col("value") - F.col("level")) / F.col("spread"))
+
+
+@query(
+    "fc_forest_fit_predict",
+    f"""
+    SELECT g.model_id, {text('g.last + to_minutes(p)')} AS timestamp, w.metric_name,
+           CASE WHEN n >= {MANY} THEN NULL ELSE {r6('coalesce(level, 0)')} END AS level,
+           CASE WHEN n >= {MANY} THEN true END AS within
+    FROM (SELECT model_id, max(timestamp) AS last FROM forested GROUP BY model_id) g, (SELECT unnest(range(1, 31))::INTEGER AS p), {_wanted} w
+    LEFT JOIN (SELECT model_id, metric_name, any_value(n) AS n, any_value(level) AS level FROM forested GROUP BY ALL) s
+      ON s.model_id = g.model_id AND s.metric_name = w.metric_name""",
+)
 def forest_forecast(t: Tables) -> DataFrame:
-    return forecast.forest_forecast(fill_gaps(t.hourly), ["requests_total"])
+    """Grid, means of series with few rows, zeros of absent metrics; whether forecasts are possible values."""
+    shown = _long(forecast.to_wide(forecast.forest_forecast(fill_gaps(t.hourly), FORESTED, min_rows=MANY), FORESTED))
+    judged = _within(shown, _trained(t).where(F.col("rows") >= MANY))
+    return judged.select("model_id", "timestamp", "metric_name", F.when(F.col("within").isNull(), F.col("yhat")).alias("level"), "within")
 
 
-@query("fc_forest_lag_recursive")
+@query(
+    "fc_forest_lag_recursive",
+    f"""
+    SELECT model_id, {text('last + to_minutes(5 * p)')} AS timestamp, metric_name, true AS within
+    FROM (SELECT model_id, metric_name, max(timestamp) AS last FROM forest_rows WHERE nth > 12 GROUP BY ALL), (SELECT unnest(range(1, 31))::INTEGER AS p)""",
+)
 def forest_recursive(t: Tables) -> DataFrame:
+    """Thirty steps of every metric; whether each is a possible value."""
     shared_folder(t.spark)
-    return forecast.forest_recursive(fill_gaps(t.hourly), "requests_total", horizon=6)
+    steps = forecast.forest_recursive(fill_gaps(t.hourly), FORESTED)
+    return _within(steps, _trained(t), VALUE_RANGES).drop("yhat")
 
 
 view(

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetlens.functions.scalars import clip, literal_map, moment, time_features
+from fleetlens.functions.scalars import literal_map, moment, time_features
 from fleetlens.functions.timeline import matched, place
 from fleetlens.operators.clean import future_grid, resample, rolling_means
 from fleetlens.operators.filters import Moment
@@ -172,15 +172,13 @@ def postprocess(forecast: DataFrame, floors: Mapping[str, float] = FORECAST_FLOO
 
 
 def to_wide(forecast: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """One row per model and time with m, m_lower and m_upper for each metric; missing values are 0."""
+    """One row per model and time with m and, where the forecast has bounds, m_lower and m_upper for each metric; missing values are 0."""
+    names = {c: c.replace("yhat", "") for c in ("yhat", "yhat_lower", "yhat_upper") if c in forecast.columns}
 
     def pick(m: str, c: str) -> Column:
         return F.coalesce(F.max(F.when(F.col("metric_name") == m, F.col(c))), F.lit(0.0))
 
-    columns = []
-    for m in metrics:
-        columns += [pick(m, "yhat").alias(m), pick(m, "yhat_lower").alias(f"{m}_lower"), pick(m, "yhat_upper").alias(f"{m}_upper")]
-    return forecast.groupBy("model_id", "timestamp").agg(*columns)
+    return forecast.groupBy("model_id", "timestamp").agg(*[pick(m, c).alias(m + end) for m in metrics for c, end in names.items()])
 
 
 def mean_forecast(df: DataFrame, horizon_minutes: int = 30, step_minutes: int = 1, include_start: bool = False) -> DataFrame:
@@ -243,54 +241,67 @@ TREES = 100
 DEPTH = 10
 SEED = 42
 CALENDAR = ["hour", "day_of_week", "is_weekend", "month", "day"]
+ROLLED = ["lag_1h", "lag_24h"]
+#: With fewer features than three these are used.
+FEW = ["hour", "day_of_week", "month"]
 
 
 def _forest() -> RandomForestRegressor:
-    return RandomForestRegressor(featuresCol="x", labelCol="value", predictionCol="yhat", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
+    return RandomForestRegressor(featuresCol="x", labelCol="z", predictionCol="zhat", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
 
 
-def _vector(columns: Sequence[Column]) -> Column:
-    return array_to_vector(F.array(*[c.cast("double") for c in columns]))
+def _features(ts: Column, calendar: Sequence[str], values: Column, n_values: int, metrics: Sequence[str]) -> Column:
+    """Calendar, values and, as a category, the metric: one vector ``x``."""
+    times = [time_features(ts)[c].cast("double") for c in calendar]
+    number = F.element_at(F.create_map(*[F.lit(v) for i, m in enumerate(metrics) for v in (m, float(i))]), F.col("metric_name"))
+    numeric = [{"idx": i, "name": f"x{i}"} for i in range(len(times) + n_values)]
+    nominal = [{"idx": len(numeric), "name": "metric", "vals": [*metrics, "none"]}]
+    described = {"ml_attr": {"attrs": {"numeric": numeric, "nominal": nominal}, "num_attrs": len(numeric) + 1}}
+    return array_to_vector(F.concat(F.array(*times), values, F.array(number))).alias("x", metadata=described)
+
+
+def series_scale(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """Number of values, mean (``level``) and deviation (``spread``, 1 if there is none) of each series of these metrics."""
+    spread = F.stddev_pop("value")
+    return (
+        df.where(F.col("metric_name").isin(*metrics))
+        .groupBy(*SERIES)
+        .agg(F.count("value").alias("rows"), F.avg("value").alias("level"), F.when(spread > 0, spread).otherwise(1.0).alias("spread"))
+    )
 
 
 def forest_forecast(
-    df: DataFrame, metrics: Sequence[str], horizon_minutes: int = 30, min_rows: int = 10
+    df: DataFrame, metrics: Sequence[str], horizon_minutes: int = 30, min_rows: int = 10, features: Sequence[str] = (*CALENDAR, *ROLLED)
 ) -> DataFrame:
-    """Random forest per metric over the rows of all models, one-minute grid, +-10 percent.
+    """One random forest for the series of all models and metrics, one-minute grid, +-10 percent.
 
-    Features are the calendar, the 1 h and 24 h rolling means and the mean of the series, which
-    stands for the model whatever their number. Series with few rows get their mean.
+    Values are taken relative to mean and deviation of their series, so series of any size share the forest; the
+    metric is a category. Features are the calendar and the 1 h and 24 h rolling means, or those of them that are
+    asked for. The grid begins after the last time of the model. Series with few rows get their mean, and a series
+    without values has none.
     """
-    rolled = rolling_means(df, ["value"], keys=SERIES).withColumnsRenamed({"value_lag_1h": "lag_1h", "value_lag_24h": "lag_24h"})
-    rolled = rolled.fillna(0.0, ["lag_1h", "lag_24h"])
-    stats = df.groupBy(*SERIES).agg(F.avg("value").alias("level"), F.count("value").alias("rows"))
-    train = matched(rolled.where("value IS NOT NULL"), stats, SERIES)
+    features = list(features) if len(features) >= len(FEW) else FEW
+    calendar, rolls = [f for f in features if f in (*CALENDAR, *FEW)], [f for f in features if f in ROLLED]
+    wanted = df.where(F.col("metric_name").isin(*metrics))
+    scale = series_scale(df, metrics)
+    rolled = rolling_means(wanted, ["value"], keys=SERIES).withColumnsRenamed({f"value_{r}": r for r in ROLLED})
 
     back = W.partitionBy(*SERIES).orderBy(F.col("timestamp").desc())
-    recent = (
-        rolled.withColumn("_age", F.row_number().over(back))
-        .where("_age <= 24")
-        .groupBy(*SERIES)
-        .agg(F.avg("lag_1h").alias("lag_1h"), F.avg("lag_24h").alias("lag_24h"))
-    )
-    future = matched(matched(future_grid(df, SERIES, "timestamp", horizon_minutes, 1, False), recent, SERIES), stats, SERIES)
-
-    calendar = [time_features(F.col("timestamp"))[c] for c in CALENDAR]
-    x = _vector([*calendar, F.col("lag_1h"), F.col("lag_24h"), F.col("level")])
-    train, future = train.withColumn("x", x), future.withColumn("x", x)
-
-    parts = []
-    for metric in metrics:
-        rows = train.where((F.col("metric_name") == metric) & (F.col("rows") >= min_rows)).select("x", "value")
-        wanted = future.where(F.col("metric_name") == metric)
-        if rows.isEmpty():
-            parts.append(wanted.withColumn("yhat", F.col("level")))
-        else:
-            parts.append(_forest().fit(rows).transform(wanted))
-    shown = parts[0]
-    for part in parts[1:]:
-        shown = shown.unionByName(part)
-    yhat = F.when(F.col("rows") >= min_rows, F.col("yhat")).otherwise(F.col("level"))
+    recent = rolled.withColumn("_age", F.row_number().over(back)).where("_age <= 24").groupBy(*SERIES).agg(*[F.avg(r).alias(r) for r in ROLLED])
+    grid = future_grid(wanted, ["model_id"], "timestamp", horizon_minutes, 1, False)
+    series = matched(scale, recent, SERIES)
+    future = matched(grid, series, ["model_id"])
+
+    relative = F.array(*[F.coalesce((F.col(r) - F.col("level")) / F.col("spread"), F.lit(0.0)) for r in rolls]).cast("array<double>")
+    x = _features(F.col("timestamp"), calendar, relative, len(rolls), metrics)
+    train = matched(rolled.where("value IS NOT NULL"), scale.where(F.col("rows") >= min_rows), SERIES)
+    train = train.select(x, ((F.col("value") - F.col("level")) / F.col("spread")).alias("z"))
+    future = future.select("*", x)
+    if train.isEmpty():
+        shown = future.withColumn("zhat", F.lit(0.0))
+    else:
+        shown = _forest().fit(train).transform(future)
+    yhat = F.when(F.col("rows") >= min_rows, F.col("level") + F.col("spread") * F.col("zhat")).otherwise(F.col("level"))
     return shown.withColumn("yhat", yhat).select(
         *SERIES, "timestamp", "yhat", (F.col("yhat") * 0.9).alias("yhat_lower"), (F.col("yhat") * 1.1).alias("yhat_upper")
     )
@@ -302,55 +313,50 @@ STEP_CALENDAR = ["hour", "day_of_week", "month", "day", "week_of_year"]
 
 def forest_recursive(
     df: DataFrame,
-    metric: str,
-    horizon: int = 6,
+    metrics: Sequence[str],
+    horizon: int = 30,
     step_minutes: int = 5,
     ranges: Mapping[str, tuple[float, float]] = VALUE_RANGES,
-    checkpoint_every: int = 10,
+    checkpoint_every: int = 4,
 ) -> DataFrame:
-    """Forest on calendar and the last 12 values, fed its own forecasts step by step.
+    """One forest for all models and metrics on the calendar and the last 12 values, fed its own forecasts step by step.
 
-    Each step is one transform over all series; long horizons cut the lineage with a checkpoint,
-    so the session needs its checkpoint folder set (``session.shared_folder``).
+    The state is one row per series with its last values as a vector, relative to the series as in
+    ``forest_forecast``; each step is one transform over all of them, held in the metric's range before it is fed back.
+    Long horizons cut the lineage with checkpoints, so the session needs its checkpoint folder set
+    (``session.shared_folder``). Series of up to 12 values have no forecast.
     """
-    rows = df.where((F.col("metric_name") == metric) & F.col("value").isNotNull()).select("model_id", "timestamp", "value")
-    series = W.partitionBy("model_id").orderBy("timestamp")
-    lags = F.array(*[F.lag("value", k).over(series) for k in range(1, LAGS + 1)])
-    lagged = rows.withColumn("lags", lags).where(F.col("lags")[LAGS - 1].isNotNull())
+    rows = df.where(F.col("metric_name").isin(*metrics) & F.col("value").isNotNull()).select(*SERIES, "timestamp", "value")
+    series = W.partitionBy(*SERIES).orderBy("timestamp")
+    rows = matched(rows, series_scale(rows, metrics).drop("rows"), SERIES)
+    rows = rows.withColumn("z", (F.col("value") - F.col("level")) / F.col("spread"))
+    lagged = rows.withColumn("lags", F.array(*[F.lag("z", k).over(series) for k in range(1, LAGS + 1)])).where(F.col("lags")[LAGS - 1].isNotNull())
 
     def x(ts: Column) -> Column:
-        calendar = F.array(*[time_features(ts)[c].cast("double") for c in STEP_CALENDAR])
-        return array_to_vector(F.concat(calendar, F.col("lags")))
-
-    model = _forest().fit(lagged.withColumn("x", x(F.col("timestamp"))).select("x", "value"))
-
-    state = (
-        lagged.groupBy("model_id")
-        .agg(
-            F.max("timestamp").alias("origin"),
-            F.max_by(F.concat(F.array("value"), F.slice("lags", 1, LAGS - 1)), F.col("timestamp")).alias("lags"),
-        )
-        .withColumn("path", F.array().cast("array<double>"))
-    )
-    for i in range(1, horizon + 1):
-        at = F.timestamp_seconds(F.unix_seconds("origin") + i * step_minutes * 60)
-        stepped = model.transform(state.withColumn("x", x(at)))
-        value = clip(F.col("yhat"), *ranges[metric]) if metric in ranges else F.col("yhat")
-        state = stepped.withColumn("_v", value).select(
-            "model_id",
-            "origin",
-            F.concat(F.array("_v"), F.slice("lags", 1, LAGS - 1)).alias("lags"),
-            F.concat("path", F.array("_v")).alias("path"),
-        )
-        if i % checkpoint_every == 0 and i < horizon:
-            state = state.checkpoint()
-    steps = state.select("model_id", "origin", F.posexplode("path").alias("i", "yhat"))
-    return steps.select(
-        "model_id",
-        F.lit(metric).alias("metric_name"),
-        F.timestamp_seconds(F.unix_seconds("origin") + (F.col("i") + 1) * step_minutes * 60).alias("timestamp"),
-        "yhat",
-    )
+        return _features(ts, STEP_CALENDAR, F.col("lags"), LAGS, metrics)
+
+    train = lagged.select(x(F.col("timestamp")), "z")
+    low, high = (F.element_at(literal_map({m: float(r[i]) for m, r in ranges.items()}), F.col("metric_name")) for i in (0, 1))
+    state = lagged.groupBy(*SERIES, "level", "spread").agg(
+        F.max("timestamp").alias("origin"), F.max_by(F.concat(F.array("z"), F.slice("lags", 1, LAGS - 1)), place("timestamp")).alias("lags")
+    ).withColumn("path", F.array().cast("array<double>"))
+    if not train.isEmpty():
+        model = _forest().fit(train)
+        for i in range(1, horizon + 1):
+            at = F.timestamp_seconds(F.unix_seconds("origin") + i * step_minutes * 60)
+            value = F.col("level") + F.col("spread") * F.col("zhat")
+            value = F.greatest(F.least(value, high), low)  # nulls, metrics without a range, are passed over
+            stepped = model.transform(state.select("*", x(at))).withColumn("_v", value)
+            state = stepped.select(
+                *SERIES, "level", "spread", "origin",
+                F.concat(F.array((F.col("_v") - F.col("level")) / F.col("spread")), F.slice("lags", 1, LAGS - 1)).alias("lags"),
+                F.concat("path", F.array("_v")).alias("path"),
+            )
+            if i % checkpoint_every == 0 and i < horizon:
+                state = state.checkpoint()
+    steps = state.select(*SERIES, "origin", F.posexplode("path").alias("i", "yhat"))
+    at = F.timestamp_seconds(F.unix_seconds("origin") + (F.col("i") + 1) * step_minutes * 60)
+    return steps.select(*SERIES, at.alias("timestamp"), "yhat")
 
 
 # --- stored models -------------------------------------------------------------------------

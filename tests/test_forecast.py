@@ -114,11 +114,36 @@ def test_forest_learns_hours_and_falls_back(spark):
 def test_forest_recursive_follows_a_level(spark):
     shared_folder(spark)
     df = series(spark, lambda d: 40.0, days=2, step=3600).unionByName(series(spark, lambda d: 8.0, days=2, step=3600, key="b"))
-    got = forecast.forest_recursive(df, "requests_total", horizon=4, checkpoint_every=2)
+    got = forecast.forest_recursive(df, ["requests_total"], horizon=4, checkpoint_every=2)
     found = got.groupBy("model_id").agg(F.count("*").alias("n"), F.avg("yhat").alias("y")).orderBy("model_id").collect()
     assert [(r["n"], round(r["y"])) for r in found] == [(4, 40), (4, 8)]
 
 
+def test_forests_of_several_metrics(spark):
+    """Metrics of different sizes and opposite shapes in one forest; wide, with a metric that isn't there."""
+    shared_folder(spark)
+    day = series(spark, lambda d: 1e6 if (d % 1) < 0.5 else 0.0, days=10, step=3600, metric="requests_total")
+    night = series(spark, lambda d: 0.0 if (d % 1) < 0.5 else 2.0, days=10, step=3600, metric="latency_avg")
+    both = day.unionByName(night)
+    metrics = ["requests_total", "latency_avg", "latency_p95"]
+    wide = forecast.to_wide(forecast.forest_forecast(both, metrics, 5), metrics).toPandas()
+    assert len(wide) == 5 and (wide["requests_total"] < 4e5).all() and (wide["latency_avg"] > 1.2).all() and (wide["latency_p95_upper"] == 0).all()
+    steps = forecast.to_wide(forecast.forest_recursive(both, metrics, 30, 60), metrics).orderBy("timestamp").toPandas()
+    assert len(steps) == 30 and list(steps.columns) == ["model_id", "timestamp", *metrics]
+    morning = steps["timestamp"].dt.hour.between(3, 9)
+    assert (steps[morning]["requests_total"] > 7e5).all() and (steps[morning]["latency_avg"] < 0.6).all()
+    assert steps["requests_total"].between(0, 1e6).all()
+
+
+def test_forest_with_few_features_or_rows(spark):
+    df = series(spark, lambda d: 100.0 if (d % 1) < 0.5 else 0.0, days=10, step=3600)
+    got = forecast.forest_forecast(df, ["requests_total"], 5, features=["day"]).toPandas()
+    assert (got["yhat"] < 30).all()
+    few = df.limit(9)
+    assert {r["yhat"] for r in forecast.forest_forecast(few, ["requests_total"], 2).collect()} == {few.agg(F.avg("value")).first()[0]}
+    assert forecast.forest_recursive(few, ["requests_total"], 2).count() == 0
+
+
 def test_store_loads_the_newest_fit(spark):
     path = fresh_folder(spark, "test-fits")
     forecast.save_fits(forecast.seasonal_fit(series(spark, lambda d: 1.0, days=3)), path, "2024-01-01")
