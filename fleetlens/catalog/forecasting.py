@@ -20,29 +20,37 @@ from fleetlens.session import fresh_folder, shared_folder
 TS = f"{text('timestamp')} AS timestamp"
 
 
-def _terms_sql() -> str:
-    waves = [f"{fn}(2 * pi() * {k} * sec / {period})" for period, order in ((86400, 4), (604800, 3)) for k in range(1, order + 1) for fn in ("sin", "cos")]
-    return f"[1, (t - center) / scale, {', '.join(waves)}]"
+BASE = forecast.SEASONS[:2]
+
+
+def _terms_sql(seasons: forecast.Seasons, sec: str = "sec", t: str = "t") -> str:
+    waves = [f"{fn}(2 * pi() * {k} * ({sec} % {period}) / {period})" for period, order in seasons for k in range(1, order + 1) for fn in ("sin", "cos")]
+    return f"[1, ({t} - center) / scale, {', '.join(waves)}]"
+
+
+view(
+    "timed",
+    """
+    SELECT *, avg(t) OVER s AS center, CASE WHEN var_pop(t) OVER s > 0 THEN sqrt(var_pop(t) OVER s) ELSE 1 END AS scale,
+           count(*) OVER s AS points, max(timestamp) OVER s AS last_time
+    FROM (SELECT model_id, metric_name, timestamp, value AS y, epoch_us(timestamp) / 86400e6::DOUBLE AS t, epoch_us(timestamp) // 1000000 // 300 * 300 AS sec
+          FROM hourly WHERE value IS NOT NULL) WINDOW s AS (PARTITION BY model_id, metric_name)""",
+)
 
 
 # A ridge fit meets its normal equations: for each term x, sum(x * fitted) + penalty * coefficient = sum(x * observed).
-MOMENTS_SQL = f"""
+def moments_sql(seasons: forecast.Seasons) -> str:
+    return f"""
     SELECT model_id, metric_name, any_value(points) AS points, {text('any_value(last_time)')} AS last_time, (i - 1)::INTEGER AS term, {r6('avg(x * y)')} AS moment
     FROM (SELECT model_id, metric_name, points, last_time, y, unnest(terms)::DOUBLE AS x, generate_subscripts(terms, 1) AS i
-          FROM (SELECT *, {_terms_sql()} AS terms
-                FROM (SELECT *, avg(t) OVER s AS center, CASE WHEN var_pop(t) OVER s > 0 THEN sqrt(var_pop(t) OVER s) ELSE 1 END AS scale,
-                             count(*) OVER s AS points, max(timestamp) OVER s AS last_time
-                      FROM (SELECT model_id, metric_name, timestamp, value AS y, epoch_us(timestamp) / 86400e6::DOUBLE AS t,
-                                   (epoch_us(timestamp) // 1000000) % 604800 // 300 * 300 AS sec
-                            FROM hourly WHERE value IS NOT NULL) WINDOW s AS (PARTITION BY model_id, metric_name)))
-          WHERE points >= 8)
+          FROM (SELECT *, {_terms_sql(seasons)} AS terms FROM timed WHERE points >= 8))
     GROUP BY model_id, metric_name, i"""
 
 
-def _moments(t: Tables, fits: DataFrame) -> DataFrame:
+def _moments(t: Tables, fits: DataFrame, seasons: forecast.Seasons) -> DataFrame:
     """Size and end of each fit with the left side of its normal equations over the observed times."""
     rows = t.hourly.where("value IS NOT NULL").join(fits, ["model_id", "metric_name"])
-    terms = forecast.model_terms("timestamp")
+    terms = forecast.model_terms("timestamp", seasons=seasons)
     fitted = F.aggregate(F.zip_with("coefficients", "x", lambda b, x: b * x), F.lit(0.0), lambda a, x: a + x)
     rows = rows.withColumn("x", terms).select("model_id", "metric_name", "points", "last_time", fitted.alias("yhat"), F.posexplode(F.arrays_zip("x", "coefficients")).alias("term", "z"))
     penalty = F.when(F.col("term") > 0, F.first("z.coefficients") * forecast.RIDGE / F.first("points")).otherwise(0.0)
@@ -50,24 +58,74 @@ def _moments(t: Tables, fits: DataFrame) -> DataFrame:
     return rows.groupBy(*keys).agg((F.avg(F.col("z.x") * F.col("yhat")) + penalty).alias("moment"))
 
 
-@query("fc_seasonal_fit", MOMENTS_SQL)
+@query("fc_seasonal_fit", moments_sql(forecast.SEASONS_24_DAYS))
 def seasonal_fit(t: Tables) -> DataFrame:
-    return _moments(t, forecast.seasonal_fit(t.hourly))
+    """Day, week, year and 24 days, whatever the series span."""
+    seasons = forecast.SEASONS_24_DAYS
+    return _moments(t, forecast.seasonal_fit(t.hourly, seasons=seasons, whole_cycles=False), seasons)
+
+
+def solved_sql(source: str, seasons: forecast.Seasons) -> tuple[str, str]:
+    """Steps of a ridge fit of ``source`` (as ``timed``) by elimination, as views for a WITH, and the name of the last: its column v at
+    j = number of terms are the coefficients."""
+    n = 2 + 2 * sum(order for _, order in seasons)
+    steps = [
+        f"""terms AS MATERIALIZED (
+        SELECT model_id, metric_name, y, {_terms_sql(seasons)} AS x FROM {source} WHERE points >= 8
+    ), sums_0 AS MATERIALIZED (
+        SELECT model_id, metric_name, i, j, sum(CASE WHEN j = {n} THEN y ELSE x[j + 1] END * x[i + 1]::DOUBLE) + CASE WHEN i = j AND i > 0 THEN {forecast.RIDGE}::DOUBLE ELSE 0 END AS v
+        FROM terms, (SELECT unnest(range({n})) AS i), (SELECT unnest(range({n + 1})) AS j) GROUP BY model_id, metric_name, i, j)"""
+    ]
+    for p in range(n):
+        steps.append(
+            f"""sums_{p + 1} AS MATERIALIZED (
+        SELECT r.model_id, r.metric_name, r.i, r.j, CASE WHEN r.i = {p} THEN r.v / d.v ELSE r.v - c.v * q.v / d.v END AS v
+        FROM sums_{p} r JOIN sums_{p} d ON (r.model_id, r.metric_name, {p}, {p}) = (d.model_id, d.metric_name, d.i, d.j)
+        JOIN sums_{p} c ON (r.model_id, r.metric_name, r.i, {p}) = (c.model_id, c.metric_name, c.i, c.j)
+        JOIN sums_{p} q ON (r.model_id, r.metric_name, {p}, r.j) = (q.model_id, q.metric_name, q.i, q.j))"""
+        )
+    steps.append(
+        f"""fitted AS MATERIALIZED (
+        SELECT model_id, metric_name, list(v ORDER BY i) AS b FROM sums_{n} WHERE j = {n} GROUP BY model_id, metric_name)"""
+    )
+    return ",\n".join(steps), "fitted"
 
 
-@query("fc_seasonal_predict")
-def seasonal_predict(t: Tables) -> DataFrame:
-    return forecast.postprocess(forecast.seasonal_predict(forecast.seasonal_fit(t.hourly)))
+def forecast_sql(source: str, seasons: forecast.Seasons, points: int = 6) -> str:
+    """Forecasts of the next half hour (yhat, sigma, not rounded) from a fit made in SQL."""
+    views, fitted = solved_sql(source, seasons)
+    dot = "list_dot_product(b, {}::DOUBLE[])"
+    return f"""
+    WITH {views}, noise AS (
+        SELECT model_id, metric_name, sqrt(avg((y - {dot.format('x')}) ** 2)) AS sigma FROM terms JOIN {fitted} USING (model_id, metric_name) GROUP BY model_id, metric_name
+    )
+    SELECT model_id, metric_name, ahead AS timestamp, {dot.format(_terms_sql(seasons, 'epoch_us(ahead) // 1000000 // 300 * 300', '(epoch_us(ahead) / 86400e6::DOUBLE)'))} AS yhat, sigma
+    FROM (SELECT *, last_time + to_minutes(5 * p) AS ahead
+          FROM (SELECT DISTINCT model_id, metric_name, center, scale, last_time FROM {source} WHERE points >= 8), (SELECT unnest(range({points}))::INTEGER AS p))
+    JOIN {fitted} USING (model_id, metric_name) JOIN noise USING (model_id, metric_name)"""
+
+
+FLOOR_SQL = "CASE metric_name " + " ".join(f"WHEN '{m}' THEN {v}::DOUBLE" for m, v in FORECAST_FLOORS.items()) + " ELSE 0 END"
 
 
-_floor = "CASE metric_name " + " ".join(f"WHEN '{m}' THEN {v}::DOUBLE" for m, v in FORECAST_FLOORS.items()) + " ELSE 0 END"
+@query(
+    "fc_seasonal_predict",
+    f"""
+    SELECT model_id, metric_name, {TS}, round(y, 4) AS yhat, round(least(lo, y), 4) AS yhat_lower, round(greatest(hi, y, lo), 4) AS yhat_upper
+    FROM (SELECT *, greatest(yhat, {FLOOR_SQL}) AS y, greatest(yhat - 1.96 * sigma, {FLOOR_SQL}) AS lo, greatest(yhat + 1.96 * sigma, {FLOOR_SQL}) AS hi
+          FROM ({forecast_sql('timed', BASE)}))""",
+)
+def seasonal_predict(t: Tables) -> DataFrame:
+    """Forecasts to four decimals, as its twin solves the same equations in another order."""
+    shown = forecast.postprocess(forecast.seasonal_predict(forecast.seasonal_fit(t.hourly)))
+    return shown.withColumns({c: F.round(c, 4) for c in ("yhat", "yhat_lower", "yhat_upper")})
 
 
 @query(
     "fc_postprocess",
     f"""
     SELECT model_id, metric_name, {TS}, {r6('y')} AS yhat, {r6('least(lo, y)')} AS yhat_lower, {r6('greatest(hi, y, lo)')} AS yhat_upper
-    FROM (SELECT *, greatest(value - 20, {_floor}) AS y, greatest(value - 10, {_floor}) AS lo, greatest(value - 30, {_floor}) AS hi
+    FROM (SELECT *, greatest(value - 20, {FLOOR_SQL}) AS y, greatest(value - 10, {FLOOR_SQL}) AS lo, greatest(value - 30, {FLOOR_SQL}) AS hi
           FROM hourly WHERE value IS NOT NULL)""",
 )
 def postprocess(t: Tables) -> DataFrame:
@@ -208,14 +266,14 @@ def flat_allocation(t: Tables) -> DataFrame:
     return forecast.flat_allocation(t.metrics, tie="event_id")
 
 
-@query("fc_model_store", MOMENTS_SQL)
+@query("fc_model_store", moments_sql(BASE))
 def model_store(t: Tables) -> DataFrame:
     """Two fits are stored; the newer one is loaded and used."""
     path = fresh_folder(t.spark, "fits")
     early = t.hourly.where(F.col("timestamp") < moment("2024-01-15"))
     forecast.save_fits(forecast.seasonal_fit(early), path, "2024-01-15")
     forecast.save_fits(forecast.seasonal_fit(t.hourly), path, "2024-01-31")
-    return _moments(t, forecast.load_fits(t.spark, path))
+    return _moments(t, forecast.load_fits(t.spark, path), BASE)
 
 
 @query(

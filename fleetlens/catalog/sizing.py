@@ -7,12 +7,13 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.catalog.forecasting import BASE, FLOOR_SQL, forecast_sql
 from fleetlens.catalog.registry import query
-from fleetlens.catalog.sql import r6, view
+from fleetlens.catalog.sql import VIEWS, r6, view
 from fleetlens.catalog.tables import Tables
 from fleetlens.operators import sizing
 from fleetlens.plans.predict_and_size import predict_and_size as plan
-from fleetlens.schemas import BASIC_METRICS
+from fleetlens.schemas import BASIC_METRICS, HOST_METRICS, VALUE_RANGES
 
 RESOURCES = ("cpu", "memory", "network")
 OUT = ["model_id", *[f"{r}_allocation" for r in RESOURCES], "status", "solver_status", "objective_value", *[f"utilization_{r}" for r in RESOURCES]]
@@ -166,8 +167,65 @@ def validate(t: Tables) -> DataFrame:
     return checked.select("model_id", "valid", *[f"short_{r}" for r in RESOURCES], *[f"band_{r}" for r in RESOURCES])
 
 
-@query("predict_and_size")
+NAMES = (*BASIC_METRICS, *HOST_METRICS)
+LIMITS = {"max_cpu": 400.0, "max_memory": 100.0, "max_network": 100.0, "max_latency": 100.0}
+_held = "CASE metric_name " + " ".join(f"WHEN '{m}' THEN least(greatest(v, {lo}::DOUBLE), {hi}::DOUBLE)" for m, (lo, hi) in VALUE_RANGES.items()) + " ELSE v END"
+view(
+    "sized_rows",
+    f"""
+    SELECT model_id, metric_name, timestamp, {_held} AS value
+    FROM (SELECT model_id, metric_name, timestamp, avg(value) AS v FROM metrics WHERE metric_name IN ({', '.join(f"'{m}'" for m in NAMES)}) GROUP BY ALL)""",
+)
+view("sized_timed", VIEWS["timed"].replace("hourly", "sized_rows"))
+view(
+    "sized_ahead",
+    f"""
+    SELECT model_id, metric_name, timestamp, yhat FROM ({forecast_sql('sized_timed', BASE)})
+    UNION ALL
+    SELECT model_id, metric_name, last_time + to_minutes(5 * p), mean
+    FROM (SELECT model_id, metric_name, max(timestamp) AS last_time, avg(value) AS mean FROM sized_rows GROUP BY ALL HAVING count(value) < 8),
+         (SELECT unnest(range(6))::INTEGER AS p)""",
+)
+view(
+    "sized_wide",
+    f"""
+    SELECT model_id, timestamp, {', '.join(f"max(y) FILTER (metric_name = '{m}') AS {m}" for m in NAMES)}
+    FROM (SELECT a.model_id, a.metric_name, timestamp, coalesce(newest, greatest(yhat, {FLOOR_SQL.replace('CASE ', 'CASE a.', 1)})) AS y
+          FROM (SELECT * FROM sized_ahead) a LEFT JOIN (
+              SELECT model_id, metric_name, arg_max(value, timestamp) AS newest FROM sized_rows
+              WHERE metric_name IN ({', '.join(f"'{m}'" for m in HOST_METRICS)}) AND value IS NOT NULL GROUP BY ALL) n
+          ON a.model_id = n.model_id AND a.metric_name = n.metric_name)
+    GROUP BY model_id, timestamp""",
+)
+
+
+def _used(host: str, derived: str) -> str:
+    return f"CASE WHEN count({host}) OVER m > 0 THEN {host} ELSE {derived} END"
+
+
+view(
+    "sized_demand",
+    f"""
+    SELECT model_id, coalesce(max(cpu), 50) AS demand_cpu, coalesce(max(memory), 50) AS demand_memory, coalesce(max(network), 50) AS demand_network,
+           coalesce(max(latency_p99), 1) AS demand_latency, {', '.join(f'{v}::DOUBLE AS {k}' for k, v in LIMITS.items())}
+    FROM (SELECT model_id, latency_p99,
+                 {_used('cpu_usage_real', 'CASE WHEN max(requests_total) OVER m > 0 THEN least(greatest(requests_total / max(requests_total) OVER m * 80, 0), 100) ELSE 10 END')} AS cpu,
+                 {_used('memory_usage_real', 'least(greatest(latency_avg * 10, 0.1), 100)')} AS memory,
+                 {_used('network_io_real', 'least(greatest(latency_p95 * 10, 0.1), 100)')} AS network
+          FROM sized_wide WINDOW m AS (PARTITION BY model_id))
+    GROUP BY model_id""",
+)
+view("sized_bounds", VIEWS["bounds_cost"].replace("FROM demand", "FROM sized_demand"))
+_rounded = [c for c in OUT if c not in ("model_id", "status", "solver_status")]
+
+
+@query(
+    "predict_and_size",
+    f"""
+    SELECT model_id, status, solver_status, {', '.join(f'round({c}, 4) AS {c}' for c in _rounded)}
+    FROM ({COST_SQL.replace('bounds_cost', 'sized_bounds')})""",
+)
 def predict_and_size(t: Tables) -> DataFrame:
-    """Fit, forecast, override with host readings, size; one row per model."""
-    limits = {"max_cpu": 400.0, "max_memory": 100.0, "max_network": 100.0, "max_latency": 100.0}
-    return plan(t.metrics, names=[*BASIC_METRICS, "cpu_usage_real", "memory_usage_real", "network_io_real"], limits=limits).select(*OUT)
+    """Fit, forecast, override with host readings, size; one row per model. To four decimals, as the twin solves in another order."""
+    sized = plan(t.metrics, names=NAMES, limits=LIMITS).select(*OUT)
+    return sized.withColumns({c: F.round(c, 4) for c in _rounded})

@@ -1,8 +1,9 @@
 """Per-series forecasting.
 
 A series is ``(model_id, metric_name)`` with columns ``timestamp`` and ``value``. The seasonal model
-is a linear trend plus Fourier terms of the day and the week, solved from sums per slot of the week:
-however long a series is, its fit sees at most one row per slot.
+is a linear trend plus Fourier terms of the day, the week and, for series that span one, the year, solved from
+sums per slot: however dense a series is, its fit sees at most one row per five minutes, and without seasons
+longer than a week at most one per slot of the week.
 """
 
 from __future__ import annotations
@@ -28,24 +29,49 @@ SERIES = ["model_id", "metric_name"]
 DAY = 86400
 WEEK = 7 * DAY
 SLOT = 300
-DAILY_ORDER = 4
-WEEKLY_ORDER = 3
+YEAR = 31_557_600
+#: Periods in seconds with their number of Fourier terms.
+SEASONS = ((DAY, 4), (WEEK, 3), (YEAR, 10))
+#: The variant with a season of 24 days besides.
+SEASONS_24_DAYS = (*SEASONS, (24 * DAY, 8))
 MIN_POINTS = 8
 Z95 = 1.96
 RIDGE = 1e-3
 
 FIT_SCHEMA = (
     "model_id STRING, metric_name STRING, coefficients ARRAY<DOUBLE>, center DOUBLE, scale DOUBLE, "
-    "sigma DOUBLE, points BIGINT, last_time TIMESTAMP"
+    "sigma DOUBLE, points BIGINT, last_time TIMESTAMP, multiplicative BOOLEAN"
 )
 
 
-def _slot(ts: str, slot: int) -> Column:
-    """Slot of the week a time falls into; 1970-01-01 counts as its origin."""
-    return F.floor(F.pmod(F.unix_seconds(ts), F.lit(WEEK)) / F.lit(slot))
+Seasons = Sequence[tuple[int, int]]
 
 
-def _solve(sums: pd.DataFrame, slot: int) -> pd.DataFrame:
+def _slot(ts: str, slot: int, seasons: Seasons) -> Column:
+    """Slot of the week a time falls into, or of all time where a season is longer; 1970-01-01 is the origin."""
+    seconds = F.unix_seconds(ts)
+    if all(WEEK % period == 0 for period, _ in seasons):
+        seconds = F.pmod(seconds, F.lit(WEEK))
+    return F.floor(seconds / F.lit(slot))
+
+
+def _waves(seconds: np.ndarray, seasons: Seasons) -> np.ndarray:
+    columns = [np.empty((len(seconds), 0))]
+    for period, order in seasons:
+        for k in range(1, order + 1):
+            angle = 2 * math.pi * k * (seconds % period) / period
+            columns.append(np.column_stack([np.sin(angle), np.cos(angle)]))
+    return np.hstack(columns)
+
+
+def _ridge(gram: np.ndarray, moment: np.ndarray, free: int = 0) -> np.ndarray:
+    """Coefficients under the ridge, which leaves the first ones free."""
+    penalty = np.eye(len(gram)) * RIDGE
+    penalty[:free, :free] = 0.0
+    return np.linalg.solve(gram + penalty, moment)
+
+
+def _solve(sums: pd.DataFrame, slot: int, seasons: Seasons = SEASONS, whole_cycles: bool = True, multiplicative: bool = False) -> pd.DataFrame:
     """Coefficients of one series from its sums per slot."""
     n = sums["n"].to_numpy(float)
     total = n.sum()
@@ -56,44 +82,69 @@ def _solve(sums: pd.DataFrame, slot: int) -> pd.DataFrame:
     u, var_u, cov_uy = u / scale, sums["vt"].to_numpy(float) / scale**2, sums["cty"].to_numpy(float) / scale
     y, var_y = sums["my"].to_numpy(float), sums["vy"].to_numpy(float)
 
-    seconds = sums["slot"].to_numpy(float) * slot
-    columns = [np.ones_like(n)]
-    for period, order in ((DAY, DAILY_ORDER), (WEEK, WEEKLY_ORDER)):
-        for k in range(1, order + 1):
-            angle = 2 * math.pi * k * seconds / period
-            columns += [np.sin(angle), np.cos(angle)]
-    fixed = np.column_stack([columns[0], u, *columns[1:]])
+    # a season longer than a week needs one whole cycle; those after one that is left out are zeros in between
+    span = (sums["last_time"].max() - sums["first_time"].min()).total_seconds()
+    used = [(p, order) for p, order in seasons if p <= WEEK or not whole_cycles or span >= p]
+    last = max((i for i, season in enumerate(seasons) if season in used), default=-1)
+    kept = np.array([season in used for season in seasons[: last + 1] for _ in range(2 * season[1])], dtype=bool)
+    waves = _waves(sums["slot"].to_numpy(float) * slot, seasons[: last + 1])[:, kept]
+    squares = (n * (var_y + y**2)).sum()
+    inside = (n * var_u).sum()  # spread of time inside the slots
 
+    line = np.column_stack([np.ones_like(n), u])
+    fixed = line if multiplicative else np.hstack([line, waves])
     gram = fixed.T @ (fixed * n[:, None])
-    gram[1, 1] += (n * var_u).sum()  # spread of time inside the slots
+    gram[1, 1] += inside
     moment = fixed.T @ (n * y)
     moment[1] += (n * cov_uy).sum()
-    penalty = np.eye(len(gram)) * RIDGE
-    penalty[0, 0] = 0.0
-    beta = np.linalg.solve(gram + penalty, moment)
-    squares = (n * (var_y + y**2)).sum()
-    residual = max(squares - 2 * beta @ moment + beta @ gram @ beta, 0.0)
+    beta = _ridge(gram, moment, free=1)
+    if multiplicative:
+        # the trend stays, and the seasons are fitted to what it is to be multiplied with: y ~ g + g * s
+        g = line @ beta
+        gg, gy = n * (g**2 + beta[1] ** 2 * var_u), n * (g * y + beta[1] * cov_uy)
+        season_gram, season_moment = waves.T @ (waves * gg[:, None]), waves.T @ (gy - gg)
+        seasonal = _ridge(season_gram, season_moment)
+        residual = squares - 2 * (gy.sum() + seasonal @ (waves.T @ gy)) + gg.sum() + 2 * seasonal @ (waves.T @ gg) + seasonal @ season_gram @ seasonal
+        beta = np.concatenate([beta, seasonal])
+    else:
+        residual = squares - 2 * beta @ moment + beta @ gram @ beta
+    full = np.zeros(2 + len(kept))
+    full[:2], full[2:][kept] = beta[:2], beta[2:]
     first = sums.iloc[0]
     return pd.DataFrame(
         {
             "model_id": [first["model_id"]],
             "metric_name": [first["metric_name"]],
-            "coefficients": [beta.tolist()],
+            "coefficients": [full.tolist()],
             "center": [center],
             "scale": [scale],
-            "sigma": [math.sqrt(residual / total)],
+            "sigma": [math.sqrt(max(residual, 0.0) / total)],
             "points": [int(total)],
             "last_time": [sums["last_time"].max()],
+            "multiplicative": [multiplicative],
         }
     )
 
 
-def seasonal_fit(df: DataFrame, slot: int = SLOT, min_points: int = MIN_POINTS) -> DataFrame:
-    """One fitted row per series; series with fewer points than the minimum are skipped."""
+def seasonal_fit(
+    df: DataFrame,
+    slot: int = SLOT,
+    min_points: int = MIN_POINTS,
+    seasons: Seasons = SEASONS,
+    whole_cycles: bool = True,
+    multiplicative: bool = False,
+    short_means: bool = False,
+) -> DataFrame:
+    """One fitted row per series; series with fewer points than the minimum are skipped, or with ``short_means`` fitted by
+    their mean alone, +-10 percent.
+
+    Seasons are added to the trend or, ``multiplicative``, scale it. One longer than a week is used where a series
+    spans it, or everywhere without ``whole_cycles``.
+    """
     days = F.unix_micros("timestamp") / F.lit(DAY * 1e6)
     sums = (
         df.where("value IS NOT NULL")
-        .select(*SERIES, _slot("timestamp", slot).alias("slot"), days.alias("t"), F.col("value").alias("y"), "timestamp")
+        .select(*SERIES, _slot("timestamp", slot, seasons).alias("slot"), days.alias("t"), F.col("value").alias("y"), "timestamp")
         .groupBy(*SERIES, "slot")
         .agg(
             F.count("*").alias("n"),
@@ -102,36 +153,47 @@ def seasonal_fit(df: DataFrame, slot: int = SLOT, min_points: int = MIN_POINTS)
             F.covar_pop("t", "y").alias("cty"),
             F.avg("y").alias("my"),
             F.var_pop("y").alias("vy"),
+            F.min("timestamp").alias("first_time"),
             F.max("timestamp").alias("last_time"),
         )
     )
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["n"].sum() < min_points:
-            return _solve(pdf, slot).iloc[:0]
-        return _solve(pdf, slot)
+        solved = _solve(pdf, slot, seasons, whole_cycles, multiplicative)
+        if solved["points"].iloc[0] >= min_points:
+            return solved
+        mean = float((pdf["n"] * pdf["my"]).sum() / pdf["n"].sum())
+        return solved.assign(coefficients=[[mean]], sigma=abs(mean) * 0.1 / Z95, multiplicative=False).iloc[: int(short_means)]
 
     return sums.groupBy(*SERIES).applyInPandas(fit, FIT_SCHEMA)
 
 
-def model_terms(ts: str, slot: int = SLOT) -> Column:
+def model_terms(ts: str, slot: int = SLOT, seasons: Seasons = SEASONS) -> Column:
     """The terms of the model at a time, in the order of its coefficients; the row carries the fit."""
-    seconds = _slot(ts, slot) * slot
+    seconds = F.floor(F.unix_seconds(ts) / F.lit(slot)) * slot
     features = [F.lit(1.0), (F.unix_micros(ts) / F.lit(DAY * 1e6) - F.col("center")) / F.col("scale")]
-    for period, order in ((DAY, DAILY_ORDER), (WEEK, WEEKLY_ORDER)):
+    for period, order in seasons:
         for k in range(1, order + 1):
-            angle = F.lit(2 * math.pi * k / period) * seconds
+            angle = F.lit(2 * math.pi * k / period) * F.pmod(seconds, F.lit(period))
             features += [F.sin(angle), F.cos(angle)]
     return F.array(*features)
 
 
-def _model_value(ts: str, slot: int) -> Column:
-    products = F.zip_with("coefficients", model_terms(ts, slot), lambda b, x: b * x)
-    return F.aggregate(products, F.lit(0.0), lambda a, x: a + x)
+def _model_value(fits: DataFrame, ts: str, slot: int, seasons: Seasons) -> Column:
+    """Trend and seasons; a fit with fewer coefficients than terms leaves the last seasons out."""
+    products = F.zip_with("coefficients", model_terms(ts, slot, seasons), lambda b, x: F.coalesce(b * x, F.lit(0.0)))
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0.0), lambda a, x: a + x)
+
+    if "multiplicative" not in fits.columns:
+        return total(products)
+    trend, season = total(F.slice(products, 1, 2)), total(F.slice(products, 3, 2 * sum(order for _, order in seasons) + 1))
+    return F.when(F.col("multiplicative"), trend * (1 + season)).otherwise(trend + season)
 
 
 def seasonal_predict(
-    fits: DataFrame, horizon_minutes: int = 30, step_minutes: int = 5, include_start: bool = True, slot: int = SLOT
+    fits: DataFrame, horizon_minutes: int = 30, step_minutes: int = 5, include_start: bool = True, slot: int = SLOT, seasons: Seasons = SEASONS
 ) -> DataFrame:
     """Forecast with a 95 percent interval on the future grid of each fitted series; no join."""
     points = max(1, horizon_minutes // step_minutes)
@@ -140,7 +202,7 @@ def seasonal_predict(
     grid = fits.withColumn("step", steps).withColumn(
         "timestamp", F.timestamp_seconds(F.unix_seconds("last_time") + F.col("step") * step_minutes * 60)
     )
-    return grid.withColumn("yhat", _model_value("timestamp", slot)).select(
+    return grid.withColumn("yhat", _model_value(fits, "timestamp", slot, seasons)).select(
         *SERIES,
         "timestamp",
         "yhat",
@@ -149,10 +211,11 @@ def seasonal_predict(
     )
 
 
-def fitted_values(df: DataFrame, fits: DataFrame, slot: int = SLOT) -> DataFrame:
+def fitted_values(df: DataFrame, fits: DataFrame, slot: int = SLOT, seasons: Seasons = SEASONS) -> DataFrame:
     """Rows of fitted series with the model's value ``yhat`` at their time, to judge a fit by."""
-    models = fits.select(*SERIES, "coefficients", "center", "scale")
-    return matched(df, models, SERIES).withColumn("yhat", _model_value("timestamp", slot)).drop("coefficients", "center", "scale")
+    model = [c for c in ("coefficients", "center", "scale", "multiplicative") if c in fits.columns]
+    joined = matched(df, fits.select(*SERIES, *model), SERIES)
+    return joined.withColumn("yhat", _model_value(fits, "timestamp", slot, seasons)).drop(*model)
 
 
 def postprocess(forecast: DataFrame, floors: Mapping[str, float] = FORECAST_FLOORS, latency_exp: bool = False) -> DataFrame:

@@ -36,15 +36,13 @@ def predict_and_size(
     """
     wanted = time_range(metrics.where(F.col("metric_name").isin(*names)), start, end)
     observed = clip_to_range(dedupe_mean(wanted, ["timestamp", "metric_name", "model_id"])).drop("clipped")
-    fitted = forecast.seasonal_fit(observed) if fits is None else fits
     if fits is None:
-        points = observed.groupBy(*forecast.SERIES).agg(F.count("value").alias("_points"))
-        short = matched(observed, points.where(F.col("_points") < forecast.MIN_POINTS), forecast.SERIES).drop("_points")
+        predicted = forecast.seasonal_predict(forecast.seasonal_fit(observed, short_means=True), horizon_minutes)
     else:
-        short = matched(observed, fits.select(*forecast.SERIES), forecast.SERIES, "left_anti")
-    modelled = forecast.seasonal_predict(fitted, horizon_minutes)
-    meant = forecast.mean_forecast(short, horizon_minutes, step_minutes=5, include_start=True)
-    predicted = forecast.postprocess(modelled.unionByName(meant))
+        rest = matched(observed, fits.select(*forecast.SERIES), forecast.SERIES, "left_anti")
+        meant = forecast.mean_forecast(rest, horizon_minutes, step_minutes=5, include_start=True)
+        predicted = forecast.seasonal_predict(fits, horizon_minutes).unionByName(meant)
+    predicted = forecast.postprocess(predicted)
     overridden = forecast.override_latest(predicted, observed)
     wide = (
         overridden.groupBy("model_id", "timestamp")

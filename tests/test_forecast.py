@@ -177,3 +177,58 @@ def test_predict_and_size(spark):
     assert row["cpu_allocation"] == pytest.approx(36.0)
     assert row["memory_allocation"] == pytest.approx(6.0, rel=1e-3)
     assert row["network_allocation"] == pytest.approx(7.2, rel=1e-3)
+
+
+def hours_of(pdf):
+    return pdf["timestamp"].astype("int64") // (10**9 if pdf["timestamp"].dt.unit == "ns" else 10**6)
+
+
+def test_yearly_terms_equal_least_squares_on_rows(spark):
+    """A series of more than a year; its fit are the normal equations of its rows, with forty-two terms."""
+    df = series(spark, lambda d: 50 + d / 40 + 8 * math.sin(2 * math.pi * d / 365.25) + 3 * math.cos(2 * math.pi * d / 24), days=420, step=10_000, noise=0.1)
+    for seasons in (forecast.SEASONS, forecast.SEASONS_24_DAYS):
+        fit = forecast.seasonal_fit(df, seasons=seasons).first()
+        pdf = df.toPandas()
+        sec = hours_of(pdf)
+        columns = [np.ones(len(sec)), (sec / 86400 - fit["center"]) / fit["scale"]]
+        for period, order in seasons:
+            for k in range(1, order + 1):
+                angle = 2 * math.pi * k * (sec // 300 * 300) / period
+                columns += [np.sin(angle), np.cos(angle)]
+        x = np.column_stack(columns)
+        penalty = np.eye(x.shape[1]) * 1e-3
+        penalty[0, 0] = 0
+        want = np.linalg.solve(x.T @ x + penalty, x.T @ pdf["value"])
+        assert len(want) == len(fit["coefficients"]) and np.allclose(fit["coefficients"], want, atol=1e-5)
+    assert fit["sigma"] == pytest.approx(0.1, rel=0.1)
+    ahead = forecast.seasonal_predict(forecast.seasonal_fit(df, seasons=forecast.SEASONS_24_DAYS), 600, 60, seasons=forecast.SEASONS_24_DAYS).toPandas()
+    day = (hours_of(ahead) - START) / 86400
+    assert np.allclose(ahead["yhat"], 50 + day / 40 + 8 * np.sin(2 * np.pi * day / 365.25) + 3 * np.cos(2 * np.pi * day / 24), atol=0.3)
+
+
+def test_yearly_terms_need_a_year(spark):
+    df = series(spark, shape, days=20, step=3600)
+    assert len(forecast.seasonal_fit(df).first()["coefficients"]) == 16
+    assert len(forecast.seasonal_fit(df, whole_cycles=False).first()["coefficients"]) == 36
+    gap = forecast.seasonal_fit(series(spark, shape, days=30, step=3600), seasons=forecast.SEASONS_24_DAYS).first()["coefficients"]
+    assert len(gap) == 52 and gap[16:36] == [0.0] * 20 and any(gap[36:])
+
+
+def test_multiplicative_seasons(spark):
+    """Swings grow with the level; the fit is the two least squares problems over the rows."""
+    df = series(spark, lambda d: (20 + 5 * d) * (1 + 0.5 * math.sin(2 * math.pi * d)), days=28, step=3600)
+    fits = forecast.seasonal_fit(df, multiplicative=True)
+    fit, pdf = fits.first(), df.toPandas()
+    sec = hours_of(pdf)
+    u, y = (sec / 86400 - fit["center"]) / fit["scale"], pdf["value"].to_numpy()
+    line = np.column_stack([np.ones(len(u)), u])
+    trend = np.linalg.solve(line.T @ line + np.diag([0, 1e-3]), line.T @ y)
+    g = line @ trend
+    waves = np.column_stack([f(2 * math.pi * k * sec / p) for p, order in ((86400, 4), (604800, 3)) for k in range(1, order + 1) for f in (np.sin, np.cos)])
+    x = waves * g[:, None]
+    seasonal = np.linalg.solve(x.T @ x + 1e-3 * np.eye(14), x.T @ (y - g))
+    assert np.allclose(fit["coefficients"], np.concatenate([trend, seasonal]), atol=1e-6)
+    back = forecast.fitted_values(df, fits).toPandas()
+    assert fit["sigma"] == pytest.approx(math.sqrt(((back["value"] - back["yhat"]) ** 2).mean()), rel=1e-6)
+    plain = forecast.seasonal_fit(df).first()
+    assert fit["sigma"] < 0.2 * plain["sigma"]
