@@ -12,6 +12,7 @@ from fleetlens.functions.scalars import moment
 from fleetlens.operators import tsexpr
 from fleetlens.operators.filters import time_range
 from fleetlens.operators.logs import latest
+from fleetlens.plans import collect
 from fleetlens.session import fresh_folder
 from fleetlens.sources import metrics as src
 from fleetlens.sources import registry as reg
@@ -89,37 +90,16 @@ view("available", "SELECT instance, ts, 0 AS id, (100 - memory_percent) * 1e8 AS
         USING (instance, device, e) GROUP BY e""",
 )
 def collect_all_metrics(t: Tables) -> DataFrame:
-    """Every metric expression on one grid, stacked."""
-    bucket_rates = tsexpr.rate(t.buckets, ["model_id", "le"], RANGE, STEP)
-    available = t.host_gauge((F.lit(100.0) - F.col("memory_percent")) * 1e8)
-    total = t.host_gauge(F.lit(1e10))
-    memory = tsexpr.memory_percent(
-        tsexpr.instant(available, ["instance"], RANGE, STEP), tsexpr.instant(total, ["instance"], RANGE, STEP)
-    )
-    frames = {
-        "requests_total": tsexpr.instant(t.counts, ["model_id"], RANGE, STEP),
-        "latency_avg": tsexpr.latency_avg(t.latency, ["model_id"], RANGE, STEP),
-        "latency_p95 or p99": tsexpr.histogram_quantiles(bucket_rates, [0.95, 0.99], ["model_id", "ts"]),
-        "cpu_usage_real": tsexpr.cpu_percent(t.idle, RANGE, STEP),
-        "memory_usage_real": memory,
-        "network_io_real": tsexpr.network_bytes(t.network, (), RANGE, STEP),
-    }
-    shaped = []
-    for name, frame in frames.items():
-        host = name.endswith("_real")
-        model = F.lit("system") if host else F.col("model_id")
-        instance = F.col("instance") if "instance" in frame.columns else F.lit("unknown" if host else None)
-        metric = F.when(F.col("q") == 0.95, "latency_p95").otherwise("latency_p99") if "q" in frame.columns else F.lit(name)
-        shaped.append(
-            frame.where("value IS NOT NULL").select(
-                metric.alias("metric_name"),
-                model.alias("model_id"),
-                instance.cast("string").alias("instance"),
-                "ts",
-                "value",
-            )
-        )
-    return src.stack_frames(shaped)
+    """Every metric expression on one grid, from one stacked table of samples."""
+    cpu, cents = F.col("kind") == collect.CPU, F.col("t")
+    used = (F.lit(1.0) - (F.lit(100.0) - F.col("memory_percent")) * 1e8 / F.lit(1e10)) * 100
+    samples = [
+        collect.samples_of(t.latency, collect.REQUESTS, "model_id", None, "total", "count"),
+        collect.samples_of(t.buckets, collect.BUCKET, "model_id", "le", "value"),
+        collect.samples_of(t.host_counters, F.col("kind"), "instance", "part", F.when(cpu, cents / F.lit(10000.0)).otherwise(cents * 100), F.when(~cpu, cents * 50)),
+        collect.samples_of(t.host_gauge(used), collect.MEMORY, "instance", None, "value"),
+    ]
+    return collect.collect_metrics(src.stack_frames(samples), RANGE, STEP)
 
 
 @query(

@@ -135,6 +135,14 @@ class Tables:
             CHUNK,
         )
 
+    @cached_property
+    def host_counters(self) -> DataFrame:
+        """Both of the above in one table: ``kind`` cpu or network, ``part`` the CPU or device, running cents ``t``."""
+        parts = F.array(F.struct(F.lit("cpu").alias("kind"), F.col("cpu").alias("part")), F.struct(F.lit("network").alias("kind"), F.col("device").alias("part")))
+        rows = chunked(self.events.select("instance", "ts", "event_id", "cents", F.inline(parts)), "ts")
+        total = running(rows, ["kind", "instance", "part"], "ts", ["ts", "event_id"], {"t": ("sum", F.col("cents"))})
+        return total.select("kind", "instance", "part", "ts", F.col("event_id").alias("id"), "t")
+
     @cached_property
     def buckets(self) -> DataFrame:
         """Latency bucket counters per model and bound, read once an hour."""

@@ -59,10 +59,17 @@ def counter_delta(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def growth(
-    df: DataFrame, keys: Sequence[str], values: Sequence[str] = ("value",), range_seconds: int = RATE_RANGE, step: int = EVAL_STEP
+    df: DataFrame,
+    keys: Sequence[str],
+    values: Sequence[str] = ("value",),
+    range_seconds: int = RATE_RANGE,
+    step: int = EVAL_STEP,
+    latest: bool = False,
 ) -> DataFrame:
     """Per series and evaluation: growth of each counter column inside the range, samples, elapsed seconds.
 
+    With ``latest`` also the last value of each column in the range (``last_<c>``), as ``instant`` gives.
+
     Growth counts differences between two samples that both lie in the range. Samples are summed per
     step first; the step rows, bounded by time span / step per series, are then brought together by
     series and summed per evaluation in place, without another shuffle.
@@ -79,8 +86,10 @@ def growth(
         delta = F.coalesce(_delta(v), F.lit(0.0))
         sums.append(F.sum(F.when(~enters, delta).otherwise(0.0)).alias(f"_in_{v}"))
         sums.append(F.sum(F.when(enters, delta).otherwise(0.0)).alias(f"_enter_{v}"))
+    newest = [F.max_by(v, place("ts", "id")).alias(f"_last_{v}") for v in values if latest]
     steps = samples.groupBy(*keys, "e").agg(
         *sums,
+        *newest,
         F.max(F.when(enters, F.unix_micros("prev_ts"))).alias("_before"),
         F.count("*").alias("n"),
         F.min(F.unix_micros("ts")).alias("t0"),
@@ -93,6 +102,7 @@ def growth(
     grown = [
         F.sum(F.col(f"_in_{v}") + F.when(in_range, F.col(f"_enter_{v}")).otherwise(0.0)).alias(v) for v in values
     ]
+    grown += [F.max_by(f"_last_{v}", "e").alias(f"last_{v}") for v in values if latest]
     return evals.groupBy(*keys, "eval").agg(
         *grown, F.sum("n").alias("n"), ((F.max("t1") - F.min("t0")) / F.lit(1e6)).alias("elapsed")
     )
@@ -147,6 +157,22 @@ def histogram_build(
     return grouped.select(*keys, "sum", "count", F.explode(buckets).alias("b")).select(*keys, "b.le", "b.n", "sum", "count")
 
 
+def bucket_columns(keys: Sequence[str], le: Column, count: Column) -> dict[str, Column]:
+    """For each bucket its bound ``le`` and count ``c``, those of the bucket below and the ``total``."""
+    by_bound = W.partitionBy(*keys).orderBy(le)
+    total = F.max(count).over(W.partitionBy(*keys))
+    return {"le": le, "c": count, "le0": F.lag(le, 1, 0.0).over(by_bound), "c0": F.lag(count, 1, 0.0).over(by_bound), "total": total}
+
+
+def bucket_quantile(q: float) -> Column:
+    """Aggregate over ``bucket_columns``: the quantile, linear inside the first bucket that reaches its rank."""
+    rank = F.lit(q) * F.col("total")
+    inside = F.col("le0") + (F.col("le") - F.col("le0")) * F.try_divide(rank - F.col("c0"), F.col("c") - F.col("c0"))
+    quantile = F.when(F.col("le") == float("inf"), F.col("le0")).otherwise(inside)
+    hit = (F.col("total") > 0) & (F.col("c") >= rank)
+    return F.min_by(quantile, F.when(hit, F.col("le")))
+
+
 def histogram_quantiles(
     df: DataFrame, qs: Sequence[float], keys: Sequence[str], le: str = "le", value: str = "value"
 ) -> DataFrame:
@@ -154,24 +180,8 @@ def histogram_quantiles(
 
     A quantile in the +Inf bucket gives the bound below it; no observations give null.
     """
-    by_bound = W.partitionBy(*keys).orderBy(le)
-    below = df.select(
-        *keys,
-        F.col(le).alias("le"),
-        F.col(value).alias("c"),
-        F.lag(le, 1, 0.0).over(by_bound).alias("le0"),
-        F.lag(value, 1, 0.0).over(by_bound).alias("c0"),
-        F.max(value).over(W.partitionBy(*keys)).alias("total"),
-    )
-
-    def first_hit(q: float) -> Column:
-        rank = F.lit(q) * F.col("total")
-        inside = F.col("le0") + (F.col("le") - F.col("le0")) * F.try_divide(rank - F.col("c0"), F.col("c") - F.col("c0"))
-        quantile = F.when(F.col("le") == float("inf"), F.col("le0")).otherwise(inside)
-        hit = (F.col("total") > 0) & (F.col("c") >= rank)
-        return F.min_by(quantile, F.when(hit, F.col("le")))
-
-    found = below.groupBy(*keys).agg(*[first_hit(q).alias(f"_q{i}") for i, q in enumerate(qs)])
+    below = df.select(*keys, *[c.alias(name) for name, c in bucket_columns(keys, F.col(le), F.col(value)).items()])
+    found = below.groupBy(*keys).agg(*[bucket_quantile(q).alias(f"_q{i}") for i, q in enumerate(qs)])
     each = F.array(*[F.struct(F.lit(float(q)).alias("q"), F.col(f"_q{i}").alias("value")) for i, q in enumerate(qs)])
     return found.select(*keys, F.explode(each).alias("x")).select(*keys, "x.q", "x.value")
 
