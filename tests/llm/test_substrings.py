@@ -25,9 +25,10 @@ def brute(rows):
             j = next((j for j in range(i + S.SENTENCES, n + 1) if sum(len(x[2]) for x in p[i:j]) >= S.WORDS), None)
             if j:
                 spans.add((i, j))
-        i = next((i for i in range(n - S.SENTENCES, -1, -1) if sum(len(x[2]) for x in p[i:]) >= S.WORDS), None)
-        if i is not None:
-            spans.add((i, n))
+        for j in range(S.SENTENCES, n + 1):  # and the shortest up to each: together they cover what all runs do (test_substring_runs)
+            i = next((i for i in range(j - S.SENTENCES, -1, -1) if sum(len(x[2]) for x in p[i:j]) >= S.WORDS), None)
+            if i is not None:
+                spans.add((i, j))
         for a, b in spans:
             places[tuple(w for x in p[a:b] for w in (*x[2], "|"))].add(((doc_id is not None, doc_id or 0), text, a, b))
     gone = defaultdict(set)
