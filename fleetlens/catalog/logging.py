@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,10 @@ from fleetlens.catalog.registry import query
 from fleetlens.catalog.sql import r6, text, view
 from fleetlens.catalog.tables import Tables
 from fleetlens.functions.scalars import moment
+from fleetlens.functions.timeline import place
 from fleetlens.operators import logs
 from fleetlens.session import fresh_folder
+from fleetlens.sources.days import write_days
 
 TS = f"{text('timestamp')} AS timestamp"
 
@@ -81,11 +85,10 @@ def summary(t: Tables) -> DataFrame:
     f"SELECT event_id, {TS} FROM logs WHERE timestamp >= TIMESTAMP '2024-01-31' - INTERVAL 7 DAYS",
 )
 def retention(t: Tables) -> DataFrame:
-    """The kept logs are rewritten with a folder per day."""
+    """Logs lie in a folder per day; those of the days that are too old are removed."""
     path = fresh_folder(t.spark, "retained")
-    kept = logs.retain(t.logs, moment("2024-01-31"), 7)
-    kept.withColumn("day", F.to_date("timestamp")).write.partitionBy("day").parquet(path)
-    return t.spark.read.parquet(path).select("event_id", "timestamp")
+    write_days(t.logs.select("event_id", "timestamp"), path)
+    return logs.expire(t.spark, path, datetime(2024, 1, 31), 7).select("event_id", "timestamp")
 
 
 @query(
@@ -131,9 +134,9 @@ def _if_running(x: str) -> str:
     SELECT 'system', 'RUNNING', printf('%.2f', avg(cpu_percent)) || '%', 'N/A', printf('%.2f', max(memory_percent)) || '%', 'N/A', 'N/A' FROM hosts""",
 )
 def resource_report(t: Tables) -> DataFrame:
-    place = F.struct("ts", "instance")
     columns = ["cpu_percent", "memory_percent", "memory_bytes", "read_bytes", "write_bytes"]
-    newest = t.snapshots.groupBy("model_id").agg(*[F.max_by(c, place).alias(c) for c in columns])
+    numbered = t.snapshots.withColumn("_host", F.substring("instance", 2, 9).cast("long"))
+    newest = numbered.groupBy("model_id").agg(*[F.max_by(c, place("ts", "_host")).alias(c) for c in columns])
     number = F.col("number")
     rows = t.registry.join(newest, "model_id").select(
         "model_id",

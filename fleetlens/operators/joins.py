@@ -44,6 +44,13 @@ def unregistered(rows: DataFrame, registry: DataFrame, on: str = "model_id") ->
     return rows.join(registry.select(on).distinct(), on, "left_anti").withColumn("error", F.lit("Model not registered"))
 
 
+def answered(rows: DataFrame, registry: DataFrame, on: str = "model_id") -> DataFrame:
+    """All rows, with ``error`` for those of models the registry does not know: one scan, one left join."""
+    known = registry.select(on).distinct().withColumn("_known", F.lit(True))
+    error = F.when(F.col("_known").isNull(), F.lit("Model not registered"))
+    return rows.join(known, on, "left").select(*rows.columns, error.alias("error"))
+
+
 def services_gone(tracked: DataFrame, services: DataFrame, on: str = "model_id") -> DataFrame:
     return tracked.select(on).distinct().join(services.select(on).distinct(), on, "left_anti")
 
@@ -94,6 +101,32 @@ def page(df: DataFrame, order: Sequence[Column], limit: int = 50, offset: int =
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def _behind(order: Sequence[str], after: Sequence[object]) -> Column:
+    """Rows that come after the given values in descending order of the columns, nulls last."""
+    column, value = F.col(order[0]), after[0]
+    if value is None:  # only its ties can follow
+        later, same = F.lit(False), column.isNull()
+    else:
+        later, same = column.isNull() | (column < F.lit(value)), column == F.lit(value)
+    return later | (same & _behind(order[1:], after[1:])) if len(order) > 1 else later
+
+
+def page_after(df: DataFrame, order: Sequence[str], after: Sequence[object] | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """The page behind a bookmark, in descending order of the columns (nulls last); they tell all rows apart.
+
+    Rows in front of the bookmark are filtered out where they are read, and a task keeps ``limit`` rows however deep
+    the page is.
+    """
+    rows = df if after is None else df.where(_behind(order, after))
+    return page(rows, [F.col(c).desc_nulls_last() for c in order], limit, offset)
+
+
+def bookmark(paged: DataFrame, order: Sequence[str]) -> tuple | None:
+    """The place of the last row of a page, from which the next one goes on; none after an empty page."""
+    last = paged.orderBy(*[F.col(c).asc_nulls_first() for c in order]).select(*order).first()
+    return None if last is None else tuple(last)
+
+
 def latest_value(df: DataFrame, keys: Sequence[str], ts: str = "timestamp", value: str = "value", tie: str | None = None) -> DataFrame:
     """Value at the latest time of each key."""
     return df.groupBy(*keys).agg(F.max(ts).alias(ts), F.max_by(value, place(ts, tie)).alias(value))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+from datetime import datetime, timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import fixed, format_bytes, format_duration, moment, to_iso_utc
 from fleetlens.operators.filters import Moment
+from fleetlens.operators.joins import page_after
+from fleetlens.sources.days import remove_days, since
 
 HIGH_LATENCY = 1.0
 
@@ -77,10 +82,16 @@ def search(
     return logs
 
 
-def query(logs: DataFrame, limit: int = 50, offset: int = 0, tie: str = "event_id", **filters: object) -> DataFrame:
-    """One page of matching logs, newest first, with times as ISO text. The total is ``search(...).count()``."""
+def query(
+    logs: DataFrame, limit: int = 50, offset: int = 0, tie: str = "event_id", after: Sequence[object] | None = None, **filters: object
+) -> DataFrame:
+    """One page of matching logs, newest first, with times as ISO text. The total is ``search(...).count()``.
+
+    ``after`` is the bookmark (time, id) of the page before, see ``joins.bookmark``. An offset costs a task as many
+    rows as it skips, a bookmark none.
+    """
     found = search(logs, **filters)  # type: ignore[arg-type]
-    paged = found.orderBy(F.col("timestamp").desc(), F.col(tie).desc()).offset(offset).limit(limit)
+    paged = page_after(found, ["timestamp", tie], after, limit, offset)
     return paged.withColumn("timestamp", to_iso_utc(F.unix_micros("timestamp") / F.lit(1e6)))
 
 
@@ -110,6 +121,17 @@ def retain(logs: DataFrame, now: Moment, days: int, ts: str = "timestamp") -> Da
     return logs.where(F.col(ts) >= moment(now) - F.expr(f"INTERVAL {days} DAYS"))
 
 
+def expire(spark: SparkSession, path: str, now: datetime, days: int, ts: str = "timestamp") -> DataFrame:
+    """Removes the folders of days that are too old from a log table in day folders; the logs that are kept.
+
+    The oldest day that is kept may hold logs that are too old as well: they are not read, and go with their day.
+    """
+    start = now - timedelta(days=days)
+    schema = spark.read.parquet(path).schema  # all days may go
+    remove_days(spark, path, start.date())
+    return since(spark.read.schema(schema).parquet(path), start, ts)
+
+
 def error_breakdown(logs: DataFrame) -> DataFrame:
     """Errors by model and type; a 404 is not_found, any other failure prediction."""
     kind = F.when(F.col("status_code") == 404, "not_found").otherwise("prediction")

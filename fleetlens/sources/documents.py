@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import moment
 from fleetlens.operators.filters import Moment
+from fleetlens.session import folder_names, fresh_folder, remove_folder
+from fleetlens.sources.days import DAY, remove_days
 
 KEY_PREFIX = "prediction:"
+#: The day a document expires, as a folder.
+UNTIL = "until"
+BUCKET = "bucket"
+BUCKETS = 64
 OFFSET = r"(Z|(?<=:\d\d(\.\d{1,6})?)[+-]\d\d:\d\d)$"
 
 
@@ -65,14 +73,15 @@ def format_documents(docs: DataFrame) -> DataFrame:
 
 
 def store_documents(docs: DataFrame, path: str, expire_seconds: int, ts: str = "timestamp", mode: str = "append") -> None:
-    """Append documents under their time key, one folder per day, with the time they expire."""
-    stored = docs.select(
-        "*",
-        document_key(F.col(ts)).alias("key"),
-        F.timestamp_seconds(F.unix_seconds(F.col(ts)) + expire_seconds).alias("expires_at"),
-        F.to_date(ts).alias("day"),
+    """Append documents under their time key, with the time they expire, in a folder per day of expiry and day."""
+    _keyed(docs, expire_seconds, ts).write.mode(mode).partitionBy(UNTIL, DAY).parquet(path)
+
+
+def _keyed(docs: DataFrame, expire_seconds: int, ts: str) -> DataFrame:
+    expires_at = F.timestamp_seconds(F.unix_seconds(F.col(ts)) + expire_seconds)
+    return docs.select(
+        "*", document_key(F.col(ts)).alias("key"), expires_at.alias("expires_at"), F.to_date(expires_at).alias(UNTIL), F.to_date(ts).alias(DAY)
     )
-    stored.write.mode(mode).partitionBy("day").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -80,11 +89,51 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unexpired(store: DataFrame, now: Moment) -> DataFrame:
-    return store.where(F.col("expires_at") > moment(now))
+    """Documents that hold now; folders of days before it are not read."""
+    return store.where((F.col(UNTIL) >= F.to_date(moment(now))) & (F.col("expires_at") > moment(now)))
+
+
+def remove_expired(spark: SparkSession, path: str, now: datetime) -> list[str]:
+    """Removes the folders of documents that expired before the day of ``now``; their names."""
+    return remove_days(spark, path, now.date(), UNTIL)
+
+
+def keep_latest(docs: DataFrame, path: str, expire_seconds: int, ts: str = "timestamp", buckets: int = BUCKETS) -> None:
+    """Keeps the newest document of every model in a table of its own, in folders by a hash of the model.
+
+    Only the folders of models in ``docs`` are read and written again (dynamic partition overwrite), by way of a table in the
+    shared folder, so a call that broke off can be repeated. With several documents of one model and time the
+    first by all its values is kept.
+    """
+    spark = docs.sparkSession
+    mine = _newest(_keyed(docs, expire_seconds, ts).drop(UNTIL, DAY), ts).withColumn(BUCKET, F.pmod(F.xxhash64("model_id"), F.lit(buckets)).cast("int"))
+    staged = fresh_folder(spark, "latest")
+    mine.write.partitionBy(BUCKET).parquet(f"{staged}/new")
+    mine = spark.read.schema(mine.schema).parquet(f"{staged}/new")
+    touched = [f for f in folder_names(spark, f"{staged}/new") if f.startswith(f"{BUCKET}=")]  # at most as many as buckets
+    if folder_names(spark, path):
+        before = spark.read.schema(mine.schema).parquet(path).where(F.col(BUCKET).isin([int(f.split("=")[1]) for f in touched]))
+        _newest(before.unionByName(mine), ts).write.partitionBy(BUCKET).parquet(f"{staged}/all")
+        mine = spark.read.schema(mine.schema).parquet(f"{staged}/all")
+    mine.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    remove_folder(spark, staged)
+
+
+def _newest(docs: DataFrame, ts: str) -> DataFrame:
+    """One row per model: its newest. Times are aggregated by hash, on two columns, then looked up; only equal times are sorted."""
+    last = docs.groupBy("model_id").agg(F.max(ts).alias("_last")).withColumnRenamed("model_id", "_model")
+    newest = docs.join(last, F.col("model_id").eqNullSafe(F.col("_model")) & (F.col(ts) == F.col("_last"))).drop("_model", "_last")
+    values = F.struct(*[F.col(c) for c in newest.columns if c != "model_id"])
+    return newest.groupBy("model_id").agg(F.min(values).alias("doc")).select("model_id", "doc.*")
+
+
+def read_latest(spark: SparkSession, path: str, now: Moment) -> DataFrame:
+    """The documents of ``keep_latest`` that hold now: a read without a shuffle."""
+    return spark.read.parquet(path).where(F.col("expires_at") > moment(now)).drop(BUCKET)
 
 
 def latest_document(store: DataFrame, now: Moment, ts: str = "timestamp") -> DataFrame:
-    """Newest unexpired document of every model; "latest" is computed, no pointer is kept."""
+    """Newest unexpired document of every model, computed from the whole store; ``keep_latest`` maintains it."""
     row = F.struct(*[c for c in store.columns if c != "model_id"])
     newest = unexpired(store, now).groupBy("model_id").agg(F.max_by(row, F.col(ts)).alias("doc"))
     return newest.select("model_id", "doc.*")
