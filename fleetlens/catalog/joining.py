@@ -9,7 +9,7 @@ from fleetlens.catalog.registry import query
 from fleetlens.catalog.sql import at, r6, rate, seconds, text
 from fleetlens.catalog.tables import Tables
 from fleetlens.operators import joins, tsexpr
-from fleetlens.operators.alerts import system_alerts
+from fleetlens.operators.alerts import for_models, system_alerts
 from fleetlens.schemas import BASIC_METRICS
 
 TS = f"{text('timestamp')} AS timestamp"
@@ -107,7 +107,7 @@ SYSTEM_SQL = f"""
 @query("join_alerts_system_x_models", SYSTEM_SQL)
 def alerts_system_x_models(t: Tables) -> DataFrame:
     """A breach of a host is repeated for each model on it."""
-    return system_alerts(t.events, t.hosts)
+    return for_models(system_alerts(t.events, t.hosts), t.events)
 
 
 @query(
@@ -117,8 +117,7 @@ def alerts_system_x_models(t: Tables) -> DataFrame:
 )
 def semi_registered(t: Tables) -> DataFrame:
     asked = t.events.select("event_id", F.concat(F.lit("m"), (F.col("user_id") % 10).cast("string")).alias("model_id"))
-    known = joins.registered(asked, t.registry).withColumn("error", F.lit(None).cast("string"))
-    return known.unionByName(joins.unregistered(asked, t.registry))
+    return joins.answered(asked, t.registry)
 
 
 @query("set_services_gone", "SELECT model_id FROM services EXCEPT SELECT model_id FROM registry")
@@ -148,8 +147,12 @@ def sort_time(t: Tables) -> DataFrame:
     f"SELECT event_id, {TS}, model_id FROM logs ORDER BY logs.timestamp DESC, event_id DESC LIMIT 50 OFFSET 100",
 )
 def top_page(t: Tables) -> DataFrame:
-    order = [F.col("timestamp").desc(), F.col("event_id").desc()]
-    return joins.page(t.logs, order, 50, 100).select("event_id", "timestamp", "model_id")
+    """The third page, by the bookmarks of those before it."""
+    order, after = ["timestamp", "event_id"], None
+    rows = t.logs.select("event_id", "timestamp", "model_id")
+    for _ in range(2):
+        after = joins.bookmark(joins.page_after(rows, order, after), order)
+    return joins.page_after(rows, order, after)
 
 
 @query(

@@ -132,13 +132,29 @@ def host_breaches(hosts: DataFrame, keep: Sequence[str], thresholds: Thresholds
     return _raise_alerts(hosts, keep, alerts)
 
 
+def on_hosts(models: DataFrame) -> DataFrame:
+    """Which model runs on which host: the relation behind the alerts of hosts."""
+    return models.select("model_id", "instance").distinct()
+
+
 def system_alerts(models: DataFrame, hosts: DataFrame, ts: str = "ts", thresholds: Thresholds = THRESHOLDS) -> DataFrame:
-    """Each breach of a host, once for every model that runs on it.
+    """Each breach of a host that runs models, once, with their number (``n_models``); see ``for_models``.
+
+    The result is as long as there are breaches, however many models share a host.
+    """
+    served = on_hosts(models).groupBy("instance").agg(F.count(F.lit(1)).alias("n_models"))
+    return host_breaches(hosts, ["instance", ts], thresholds).join(served, "instance")
+
+
+def for_models(breaches: DataFrame, models: DataFrame, asked: Sequence[str] | None = None) -> DataFrame:
+    """The breaches of ``system_alerts`` as alerts of the models asked for, or of every model on the host.
 
     A join on the host, so the work is that of the result; one host reproduces "every model".
     """
-    breaches = host_breaches(hosts, ["instance", ts], thresholds)
-    return models.select("model_id", "instance").distinct().join(breaches, "instance")
+    relation = on_hosts(models)
+    if asked is not None:
+        relation = relation.where(F.col("model_id").isin(list(asked)))
+    return relation.join(breaches, "instance").drop("n_models")
 
 
 def alert_view(alerts: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.operators.alerts import Thresholds, alert_view, resource_alerts, system_alerts, young_alerts
+from fleetlens.operators.alerts import Thresholds, alert_view, for_models, host_breaches, resource_alerts, young_alerts
 from fleetlens.operators.filters import Moment
 from fleetlens.schemas import THRESHOLDS
 
@@ -19,7 +19,7 @@ def active_alerts(snapshots: DataFrame, hosts: DataFrame, now: Moment, threshold
     keep = ["model_id", "instance", "ts"]
     recent = young_alerts(snapshots, now, "ts")
     own = resource_alerts(recent, keep, thresholds)
-    shared = system_alerts(recent, young_alerts(hosts, now, "ts"), thresholds=thresholds)
+    shared = for_models(host_breaches(young_alerts(hosts, now, "ts"), ["instance", "ts"], thresholds), recent)
     name = F.initcap(F.replace("type", F.lit("_"), F.lit(" ")))
     rows = own.unionByName(shared).withColumns(
         {

@@ -52,7 +52,10 @@ def test_accuracy_minimum_and_drop(spark):
 def test_host_breach_once_per_model_on_the_host(spark):
     hosts = at(spark, [("h1", 0, 90.0, 10.0, 95.0), ("h2", 0, 10.0, 10.0, 10.0)], "instance STRING, s BIGINT, cpu_percent DOUBLE, memory_percent DOUBLE, disk_percent DOUBLE")
     models = spark.createDataFrame([("a", "h1"), ("b", "h1"), ("c", "h2")], "model_id STRING, instance STRING")
-    got = rows(alerts.system_alerts(models, hosts), "model_id", "type")
+    breaches = alerts.system_alerts(models, hosts)
+    assert rows(breaches, "instance", "type", "n_models") == [("h1", "system_cpu_usage", 2), ("h1", "system_disk_usage", 2)]
+    assert rows(alerts.for_models(breaches, models, ["b"]), "model_id", "type") == [("b", "system_cpu_usage"), ("b", "system_disk_usage")]
+    got = rows(alerts.for_models(breaches, models), "model_id", "type")
     assert got == [("a", "system_cpu_usage"), ("a", "system_disk_usage"), ("b", "system_cpu_usage"), ("b", "system_disk_usage")]
 
 
