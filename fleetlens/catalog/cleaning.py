@@ -123,6 +123,12 @@ def interpolate_time(t: Tables) -> DataFrame:
     return clean.interpolate(t.wide, BASIC_METRICS, by_time=True)
 
 
+@query("cln_interpolate_chunked", f"SELECT model_id, {TS}, {COLS} FROM {_joined('tim')}")
+def interpolate_chunked(t: Tables) -> DataFrame:
+    """As ``cln_interpolate_time``, by chunks of a day: no task holds a series."""
+    return clean.interpolate(t.wide, BASIC_METRICS, by_time=True, regular=False, seconds=86400)
+
+
 view(
     "filled",
     """
@@ -139,6 +145,12 @@ def fill_gaps(t: Tables) -> DataFrame:
     return clean.fill_gaps(t.hourly)
 
 
+@query("cln_fill_chunked", f"SELECT model_id, metric_name, {TS}, {r6('value')} AS value FROM filled")
+def fill_chunked(t: Tables) -> DataFrame:
+    """As ``cln_fill_ffill_bfill_mean``, by chunks of a day."""
+    return clean.fill_gaps(t.hourly, regular=False, seconds=86400)
+
+
 @query("cln_fill_zero", f"SELECT model_id, metric_name, {TS}, {r6('coalesce(value, 0)')} AS value FROM hourly")
 def fill_zero(t: Tables) -> DataFrame:
     return clean.fill_zero(t.hourly, ["value"])

@@ -126,6 +126,33 @@ def previous(
     )
 
 
+def known_around(
+    df: DataFrame, keys: Sequence[str], ts: str, columns: Sequence[str], at: str, seconds: int = CHUNK_SECONDS
+) -> DataFrame:
+    """Adds ``_p_<c>`` and ``_n_<c>``: the last known value up to a row and the first from it on, as structs (at, v).
+
+    ``at`` is the column that places a value. One row per series and time. Inside a chunk both come from windows; what is known
+    before and behind it comes from the chunk table, which is hash-aggregated and has one row per chunk.
+    """
+    parts = chunked(df, ts, seconds, keys)
+    part = [*keys, CHUNK]
+    inside = W.partitionBy(*part).rowsBetween(W.unboundedPreceding, W.currentRow)
+    chunks = W.partitionBy(*keys).rowsBetween(W.unboundedPreceding, -1)
+    local, edges, carry, joined = [], [], [], []
+    for c in columns:
+        known = F.when(F.col(c).isNotNull(), F.struct(F.col(at).alias("at"), F.col(c).alias("v")))
+        micros = F.when(F.col(c).isNotNull(), F.coalesce(F.unix_micros(ts), F.lit(TIMELESS)))
+        for name, pick, order in ((f"_p_{c}", F.max_by, lambda x: F.asc(x)), (f"_n_{c}", F.min_by, lambda x: F.desc(x))):
+            # looking ahead is looking back in reverse order: a frame to the end would be summed anew for each row
+            local.append(F.last(known, ignorenulls=True).over(inside.orderBy(order(ts))).alias(f"_l{name}"))
+            edges.append(F.struct(pick(at, micros).alias("at"), pick(c, micros).alias("v")).alias(f"_e{name}"))
+            edge = F.when(F.col(f"_e{name}.v").isNotNull(), F.col(f"_e{name}"))
+            carry.append(F.last(edge, ignorenulls=True).over(chunks.orderBy(order(CHUNK))).alias(f"_c{name}"))
+            joined.append(F.coalesce(f"_l{name}", f"_c{name}").alias(name))
+    inherited = parts.groupBy(*part).agg(*edges).select(*part, *carry)
+    return parts.select("*", *local).join(inherited, part).select(*df.columns, *joined)
+
+
 def with_position(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], name: str = "position") -> DataFrame:
     """Row number of each row in its series, from 1."""
     return running(df, keys, ts, order, {name: ("count", F.lit(1))})

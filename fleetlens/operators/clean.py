@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetlens.functions.scalars import clip, time_features
-from fleetlens.functions.timeline import matched
+from fleetlens.functions.timeline import CHUNK_SECONDS, chunked, known_around, matched, running
 from fleetlens.schemas import BASIC_METRICS, VALUE_RANGES
 
 SERIES = ["model_id", "metric_name"]
@@ -76,27 +76,44 @@ def points_per_timestamp(df: DataFrame, metrics: Sequence[str], basic: Sequence[
 
 
 def interpolate(
-    df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("model_id",), ts: str = "timestamp", by_time: bool = False
+    df: DataFrame,
+    columns: Sequence[str],
+    keys: Sequence[str] = ("model_id",),
+    ts: str = "timestamp",
+    by_time: bool = False,
+    regular: bool = True,
+    seconds: int = CHUNK_SECONDS,
 ) -> DataFrame:
     """Linear interpolation inside each series, by row position or by elapsed time.
 
-    Leading gaps stay null, trailing gaps repeat the last value. One row per series and time.
+    Leading gaps stay null, trailing gaps repeat the last value. One row per series and time. Regular series (a row per
+    step) are put through one window; those with raw times, of any length, through chunks (``regular=False``), where
+    null keys become ``unknown``.
     """
-    series = W.partitionBy(*keys).orderBy(ts)
-    placed = df.withColumn("_x", F.unix_micros(ts) / F.lit(1e6) if by_time else F.row_number().over(series).cast("double"))
-    back = series.rowsBetween(W.unboundedPreceding, W.currentRow)
-    # Looking ahead is looking back in reverse order: a frame to the end would be summed anew for each row.
-    ahead = W.partitionBy(*keys).orderBy(F.col(ts).desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = []
-    for c in columns:
-        known = F.when(F.col(c).isNotNull(), F.struct("_x", F.col(c).alias("v")))
-        found.append(F.last(known, ignorenulls=True).over(back).alias(f"_p_{c}"))
-        found.append(F.last(known, ignorenulls=True).over(ahead).alias(f"_n_{c}"))
-    spans = placed.select("*", *found)
+    seconds_of = F.unix_micros(ts) / F.lit(1e6)
+    if regular:
+        series = W.partitionBy(*keys).orderBy(ts)
+        placed = df.withColumn("_x", seconds_of if by_time else F.row_number().over(series).cast("double"))
+        back = series.rowsBetween(W.unboundedPreceding, W.currentRow)
+        # Looking ahead is looking back in reverse order: a frame to the end would be summed anew for each row.
+        ahead = W.partitionBy(*keys).orderBy(F.col(ts).desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+        found = []
+        for c in columns:
+            known = F.when(F.col(c).isNotNull(), F.struct(F.col("_x").alias("at"), F.col(c).alias("v")))
+            found.append(F.last(known, ignorenulls=True).over(back).alias(f"_p_{c}"))
+            found.append(F.last(known, ignorenulls=True).over(ahead).alias(f"_n_{c}"))
+        spans = placed.select("*", *found)
+    else:
+        parts = chunked(df, ts, seconds, keys)
+        if by_time:
+            placed = parts.withColumn("_x", seconds_of)
+        else:
+            placed = running(parts, keys, ts, [ts], {"_x": ("count", F.lit(1))}, seconds).withColumn("_x", F.col("_x").cast("double"))
+        spans = known_around(placed, keys, ts, columns, "_x", seconds)
 
     def value(c: str) -> Column:
         p, n = F.col(f"_p_{c}"), F.col(f"_n_{c}")
-        between = p["v"] + (n["v"] - p["v"]) * (F.col("_x") - p["_x"]) / (n["_x"] - p["_x"])
+        between = p["v"] + (n["v"] - p["v"]) * (F.col("_x") - p["at"]) / (n["at"] - p["at"])
         return (
             F.when(F.col(c).isNotNull(), F.col(c)).when(p.isNotNull() & n.isNull(), p["v"]).when(p.isNotNull(), between).alias(c)
         )
@@ -104,8 +121,22 @@ def interpolate(
     return spans.select(*[value(c) if c in columns else c for c in df.columns])
 
 
-def fill_gaps(df: DataFrame, keys: Sequence[str] = SERIES, ts: str = "timestamp", columns: Sequence[str] = ("value",)) -> DataFrame:
-    """Forward fill, then backward fill, then the series mean."""
+def fill_gaps(
+    df: DataFrame,
+    keys: Sequence[str] = SERIES,
+    ts: str = "timestamp",
+    columns: Sequence[str] = ("value",),
+    regular: bool = True,
+    seconds: int = CHUNK_SECONDS,
+) -> DataFrame:
+    """Forward fill, then backward fill, then the series mean (which has no use left, but for series without any value).
+
+    Regular series are put through one window, those with raw times through chunks; see ``interpolate``.
+    """
+    if not regular:
+        placed = chunked(df, ts, seconds, keys).withColumn("_x", F.lit(0.0))
+        around = known_around(placed, keys, ts, columns, "_x", seconds)
+        return around.select(*[F.coalesce(c, f"_p_{c}.v", f"_n_{c}.v").alias(c) if c in columns else c for c in df.columns])
     series = W.partitionBy(*keys)
     back = series.orderBy(ts).rowsBetween(W.unboundedPreceding, W.currentRow)
     ahead = series.orderBy(F.col(ts).desc()).rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -25,26 +25,48 @@ def _first_eval(ts: str, step: int) -> Column:
     return (F.floor(F.unix_seconds(F.col(ts)) / F.lit(step)) + 1) * step
 
 
-def _spread(steps: DataFrame, keys: Sequence[str], range_seconds: int, step: int) -> DataFrame:
+#: Step rows are dealt out by series and time block, so that one series keeps many tasks busy.
+BLOCK_SECONDS = 6 * 3600
+BLOCK = "_block"
+
+
+def _block(seconds: Column, block_seconds: int) -> Column:
+    return F.floor(seconds / F.lit(block_seconds))
+
+
+def _block_length(block_seconds: int, range_seconds: int, step: int) -> int:
+    """Whole steps, and no range reaches beyond the next block."""
+    return -(-max(block_seconds, range_seconds) // step) * step
+
+
+def _spread(steps: DataFrame, keys: Sequence[str], range_seconds: int, step: int, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """One row per series and evaluation time whose range holds a sample.
 
     ``steps`` has one row per series and first evaluation ``e``. Each row is stretched up to the
-    series' next row only, so the result has no duplicates and nothing is copied per range.
+    series' next row only, so the result has no duplicates and nothing is copied per range. The first rows of a block, as far
+    as a range reaches, go to the block before as well, which needs to know where its last rows end.
     """
-    series = W.partitionBy(*keys).orderBy("e")
+    length = _block_length(block_seconds, range_seconds, step)
+    home = _block(F.col("e"), length)
+    halo = F.col("e") - home * length < range_seconds
+    rows = steps.withColumn("_home", home).withColumn(BLOCK, F.explode(F.when(halo, F.array(home, home - 1)).otherwise(F.array(home))))
+    series = W.partitionBy(*keys, BLOCK).orderBy("e")
     ahead = F.lead("e").over(series)
     last = F.least(F.col("e") + range_seconds - step, F.coalesce(ahead - step, F.col("e") + range_seconds - step))
-    return steps.withColumn("_until", last).withColumn("eval", F.explode(F.sequence("e", "_until", F.lit(step))))
+    stretched = rows.withColumn("_until", last).where(F.col(BLOCK) == F.col("_home")).drop(BLOCK, "_home")
+    return stretched.withColumn("eval", F.explode(F.sequence("e", "_until", F.lit(step))))
 
 
-def instant(df: DataFrame, keys: Sequence[str], lookback: int = RATE_RANGE, step: int = EVAL_STEP) -> DataFrame:
+def instant(
+    df: DataFrame, keys: Sequence[str], lookback: int = RATE_RANGE, step: int = EVAL_STEP, block_seconds: int = BLOCK_SECONDS
+) -> DataFrame:
     """Latest sample of each series at each evaluation time within the lookback."""
     if lookback % step:
         raise ValueError("lookback must be a multiple of step")
     latest = df.groupBy(*keys, _first_eval("ts", step).alias("e")).agg(
         F.max_by("value", place("ts", "id")).alias("value")
     )
-    return _spread(latest, keys, lookback, step).select(*keys, F.timestamp_seconds("eval").alias("ts"), "value")
+    return _spread(latest, keys, lookback, step, block_seconds).select(*keys, F.timestamp_seconds("eval").alias("ts"), "value")
 
 
 def _delta(value: str) -> Column:
@@ -65,6 +87,7 @@ def growth(
     range_seconds: int = RATE_RANGE,
     step: int = EVAL_STEP,
     latest: bool = False,
+    block_seconds: int = BLOCK_SECONDS,
 ) -> DataFrame:
     """Per series and evaluation: growth of each counter column inside the range, samples, elapsed seconds.
 
@@ -72,7 +95,8 @@ def growth(
 
     Growth counts differences between two samples that both lie in the range. Samples are summed per
     step first; the step rows, bounded by time span / step per series, are then brought together by
-    series and summed per evaluation in place, without another shuffle.
+    series and time block and summed per evaluation in place, without another shuffle. A step row whose
+    range reaches into the next block goes there as well.
     """
     if range_seconds % step:
         raise ValueError("range must be a multiple of step")
@@ -95,17 +119,20 @@ def growth(
         F.min(F.unix_micros("ts")).alias("t0"),
         F.max(F.unix_micros("ts")).alias("t1"),
     )
-    by_series = steps.repartition(*keys) if keys else steps
+    length = _block_length(block_seconds, range_seconds, step)
     last = F.col("e") + range_seconds - step
-    evals = by_series.select("*", F.explode(F.sequence("e", last, F.lit(step))).alias("eval"))
+    blocks = F.array_distinct(F.array(_block(F.col("e"), length), _block(last, length)))
+    placed = steps.withColumn(BLOCK, F.explode(blocks)).repartition(*keys, BLOCK)
+    begin, end = F.greatest("e", F.col(BLOCK) * length), F.least(last, (F.col(BLOCK) + 1) * length - step)
+    evals = placed.select("*", F.explode(F.sequence(begin, end, F.lit(step))).alias("eval"))
     in_range = F.col("_before") >= (F.col("eval") - range_seconds) * 1000000
     grown = [
         F.sum(F.col(f"_in_{v}") + F.when(in_range, F.col(f"_enter_{v}")).otherwise(0.0)).alias(v) for v in values
     ]
     grown += [F.max_by(f"_last_{v}", "e").alias(f"last_{v}") for v in values if latest]
-    return evals.groupBy(*keys, "eval").agg(
+    return evals.groupBy(*keys, BLOCK, "eval").agg(
         *grown, F.sum("n").alias("n"), ((F.max("t1") - F.min("t0")) / F.lit(1e6)).alias("elapsed")
-    )
+    ).drop(BLOCK)
 
 
 def increase(df: DataFrame, keys: Sequence[str], range_seconds: int = RATE_RANGE, step: int = EVAL_STEP) -> DataFrame:
