@@ -12,8 +12,10 @@ first n - ceil(t n) + 1 tokens of each, under any total order of all tokens. Thr
    partners, and places whose list holds no document of such a size are dropped before lists are joined.
 2. By hash, upwards. 3. By hash, downwards.
 
-Documents that share a prefix token under order 1 are candidates; they must share prefix tokens under
-orders 2 and 3 as well, and only then their whole sets are compared.
+Documents that share a prefix token under order 1 are candidates. They must share prefix tokens under orders 2
+and 3 as well, which is looked up in narrow rows: the two prefixes in 32 bits a token, and the parities of the
+tokens per hash bucket. Two sets differ in at least as many tokens as in parities, so pairs with too many of
+these (pages of one template that differ here and there, for instance) are refused before any whole set moves.
 
 Groups of copies are not expanded into pairs. Equal sets are one node. Candidates are found in two rounds:
 first each node is compared with one node (the lead of most of its posting lists), which joins most groups
@@ -139,6 +141,31 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([some.column("node"), some.column("n"), _lists(arrays)], ["node", "n", "tokens"])
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """Whether an odd number of tokens falls into each of 2n or more buckets, as 64 of them a number.
+
+    The upper half xor the lower half are the parities of half as many buckets.
+    """
+    buckets = max(64, 1 << (2 * max(len(tokens), 1) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, n, up and down (prefixes by hash from either end), odd (parities)."""
+    for batch in batches:
+        up, down, odd = [], [], []
+        for tokens in batch.column("tokens"):
+            tokens = np.asarray(tokens.values).view(np.uint64)
+            size = prefix_length(len(tokens))
+            signed = np.sort(tokens.view(np.int64))
+            up.append(signed[:size].astype(np.int32))
+            down.append(signed[-size:].astype(np.int32))
+            odd.append(parities(tokens))
+        short = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, some)], dtype=np.int32), np.concatenate(some) if some else np.empty(0, np.int32)) for some in (up, down)]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), *short, _lists(odd)], ["node", "n", "up", "down", "odd"])
+
+
 def _prefix(n: str) -> F.Column:
     return F.col(n) - F.floor((F.col(n) * PERCENT + 99) / 100) + 1
 
@@ -154,6 +181,24 @@ def _viable(postings: DataFrame) -> DataFrame:
     return postings.join(lists, "token").where(fits).drop("least", "k")
 
 
+def candidates(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share prefix tokens under orders 2 and 3 and may differ in few enough tokens."""
+    narrow = whole.mapInArrow(_narrow, "node long, n long, up array<int>, down array<int>, odd array<long>")
+    a, b = (narrow.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "up", "down", "odd")]) for c in "ab")
+    both = pairs.join(b, "b").join(a, "a").where(_near_sizes("n_a", "n_b"))
+    both = both.where(F.arrays_overlap("up_a", "up_b") & F.arrays_overlap("down_a", "down_b"))
+    size = F.least(F.size("odd_a"), F.size("odd_b"))
+
+    def folded(odd: str) -> F.Column:
+        halves = F.zip_with(F.slice(odd, F.lit(1), size), F.slice(odd, size + 1, size), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(odd) > size, halves).otherwise(F.col(odd))
+
+    # sizes differ by a quarter at most, so one of them is folded once at most
+    counts = F.zip_with(folded("odd_a"), folded("odd_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long"))
+    differ = F.aggregate(counts, F.lit(0).cast("long"), lambda total, n: total + n)
+    return both.where(differ * (100 + PERCENT) <= (F.col("n_a") + F.col("n_b")) * (100 - PERCENT)).select("a", "b")
+
+
 def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     a, b = (whole.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"t{c}")) for c in "ab")
@@ -230,7 +275,7 @@ def linked(documents: DataFrame) -> DataFrame:
     pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-    more = written(_verified(pairs, whole), "jaccard-links")
+    more = written(_verified(written(candidates(pairs, whole), "jaccard-candidates"), whole), "jaccard-links")
     if not more.isEmpty():
         joined = components(stars.unionByName(more), "a", "b", "jaccard-components")
 
