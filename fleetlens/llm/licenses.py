@@ -5,14 +5,22 @@ of ``GRAM`` words and winnowed: of every ``WINDOW`` neighbouring hashes the smal
 shared run of GRAM + WINDOW - 1 words shares one. The inverted index from fingerprints to places in
 templates is as large as the templates. Each text is winnowed alike; fingerprints found in the index say
 where in the text a template could begin. There the template is aligned with the words of the text inside a
-band around that diagonal, and reported if enough of its words match in order.
+band around that diagonal, and reported if enough of its words match in order. Numbers and the words in
+``DECISIVE`` tell licenses of one family apart: a match has all those of its template and no other decisive word; in
+templates of up to ``SHORT_WORDS`` words no other number either, and words in between count against the
+coverage that is asked for. Lines with an SPDX tag must match word for word.
+
+Of matches that share words of the text only the best is reported: most matched words, then most coverage, then
+the shorter span, then the smaller name.
 
 Defined results: null and empty texts give no row; the others one row per place where a template occurs, so
-equal rows give equal rows; whole texts are read. Templates without words are refused.
+equal rows give equal rows; whole texts are read; columns but doc_id and text are not read, whatever their names.
+Templates without words are refused.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,7 +35,26 @@ WINDOW = 2
 COVERAGE = 0.8
 CACHED_WORDS = 300_000
 
-#: Short notices and grants of common licenses, by their public names.
+# Notices, grants and short bodies of common licenses, by their public names.
+_BSD_HEAD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution."
+)
+_BSD_THIRD = (
+    " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission."
+)
+
+
+def _gnu(name: str, version: str) -> str:
+    return (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published "
+        f"by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+    )
+
+
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT-grant": (
@@ -41,14 +68,18 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
     ),
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-notice": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
-        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
-    ),
-    "BSD-2-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
-    ),
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "GPL-2.0-notice": _gnu("General Public License", "2"),
+    "GPL-3.0-notice": _gnu("General Public License", "3"),
+    "LGPL-2.1-notice": _gnu("Lesser General Public License", "2.1"),
+    "LGPL-3.0-notice": _gnu("Lesser General Public License", "3"),
+    "AGPL-3.0-notice": _gnu("Affero General Public License", "3"),
+    "BSD-2-Clause": _BSD_HEAD,
+    "BSD-3-Clause": _BSD_HEAD + _BSD_THIRD,
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
         "above copyright notice and this permission notice appear in all copies."
@@ -57,9 +88,43 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
         "file, You can obtain one at http://mozilla.org/MPL/2.0/."
     ),
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely, subject to the following restrictions:"
+    ),
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
 }
+_COMMONS = {
+    "BY": "Attribution",
+    "BY-SA": "Attribution-ShareAlike",
+    "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC": "Attribution-NonCommercial",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+    "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+for _short, _long in _COMMONS.items():
+    for _version, _unported in (("3.0", "Unported"), ("4.0", "International")):
+        _full = f"This work is licensed under a Creative Commons {_long} {_version} {_unported} License."
+        # one of the two forms of a license carries its plain name
+        _plain = "CC-BY-NC-4.0" if (_short, _version) == ("BY-NC", "4.0") else None
+        TEMPLATES[f"CC-{_short}-{_version}" + ("-notice" if _plain else "")] = _full
+        TEMPLATES[_plain or f"CC-{_short}-{_version}-short"] = f"Licensed under CC {_short} {_version}."
+#: Names behind an SPDX identifier tag; such a line is the tag and the name, word for word.
+_SPDX = (
+    "MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "Unlicense", "Zlib", "BSL-1.0",
+    *(f"CC-{_short}-{_version}" for _short in _COMMONS for _version in ("3.0", "4.0")),
+)
+TEMPLATES |= {f"{_name}-spdx": f"SPDX-License-Identifier: {_name}." for _name in _SPDX}
+#: Words that make another license of one: a match must have them where its template has them, and no others.
+DECISIVE = frozenset(
+    b"sharealike sa noncommercial nc noderivatives noderivs nd lesser library affero neither endorse mit apache gnu mozilla boost bsd gpl lgpl agpl mpl cc".split()
+)
+SHORT_WORDS = 20
 
 SCHEMA = "doc_id long, license string, coverage double, matched_words long, template_words long, start long, end long"
 
@@ -173,19 +238,55 @@ def align(template: list[bytes], words: list[bytes], begin: int) -> tuple[int, i
     return best[0], best[2] - 1, last
 
 
+def decisive(words: list[bytes]) -> set[bytes]:
+    return {w for w in words if w in DECISIVE}
+
+
+def numbers(words: list[bytes]) -> set[bytes]:
+    return {w for w in words if w.isdigit()}
+
+
+def same_license(template: list[bytes], part: list[bytes], n: int, coverage: float) -> bool:
+    """Whether the words a template was aligned with, n of them equal, name the same license."""
+    if template[:3] == [b"spdx", b"license", b"identifier"]:
+        return part == template
+    if decisive(template) != decisive(part) or not numbers(template) <= numbers(part):
+        return False
+    if len(template) > SHORT_WORDS:
+        return n >= coverage * len(template)
+    return numbers(template) == numbers(part) and n >= coverage * (len(template) + len(part) - n)
+
+
+def best_per_place(found: dict[tuple[str, int, int], tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """Of (name, first, last) with (matched, template words) those that no better one shares words with."""
+    ranked = sorted(found, key=lambda m: (-found[m][0], -found[m][0] / found[m][1], m[2] - m[1], m[0], m[1]))
+    taken: list[tuple[int, int]] = []  # disjoint, ascending
+    kept = []
+    for name, first, last in ranked:
+        at = bisect.bisect(taken, (first, last))
+        if (at and taken[at - 1][1] >= first) or (at < len(taken) and taken[at][0] <= last):
+            continue
+        taken.insert(at, (first, last))
+        kept.append((name, first, last))
+    return kept
+
+
 def matches(text: bytes, index: Index, coverage: float = COVERAGE) -> list[tuple[str, float, int, int, int, int]]:
     """(license, coverage, matched words, template words, start, end) with code points; ends are exclusive."""
     words = words_of(text)
-    found = {}
+    found: dict[tuple[str, int, int], tuple[int, int]] = {}
     for name, begin in index.candidates(words):
         template = index.words[name]
         n, first, last = align(template, words, begin)
-        if n >= coverage * len(template):
-            found[name, first, last] = max(n, found.get((name, first, last), 0))
+        if n >= coverage * len(template) and same_license(template, words[first : last + 1], n, coverage):
+            found[name, first, last] = max((n, len(template)), found.get((name, first, last), (0, 1)))
     if not found:
         return []
     places = [m.span() for m in _SPOKEN.finditer(text.decode("utf-8", "replace"))]
-    out = [(name, n / len(index.words[name]), n, len(index.words[name]), places[a][0], places[b][1]) for (name, a, b), n in found.items()]
+    out = []
+    for place in best_per_place(found):
+        (name, a, b), (n, size) = place, found[place]
+        out.append((name, n / size, n, size, places[a][0], places[b][1]))
     return sorted(out, key=lambda m: (m[4], m[0], m[5]))
 
 
