@@ -63,13 +63,13 @@ def fit(documents: DataFrame) -> dict:
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("gram"))
     words = written(words.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")), "language-words")
     marked = words.select("lang", "n", F.concat(F.lit("^"), "gram", F.lit("$")).alias("w"))
-    pieces = [
-        marked.select(
-            "lang", "n", F.lit(k).alias("k"),
-            F.explode(F.transform(F.sequence(F.lit(1), F.char_length("w") - k + 1), lambda i, k=k: F.substring(F.col("w"), i, F.lit(k)))).alias("gram"),
-        )
-        for k in range(1, LONGEST + 1)
-    ]
+
+    def pieces_of(k: int) -> DataFrame:
+        # a function of one argument: a second one would be the index
+        cut = F.transform(F.sequence(F.lit(1), F.char_length("w") - k + 1), lambda i: F.substring(F.col("w"), i, F.lit(k)))
+        return marked.where(F.char_length("w") >= k).select("lang", "n", F.lit(k).alias("k"), F.explode(cut).alias("gram"))
+
+    pieces = [pieces_of(k) for k in range(1, LONGEST + 1)]
     grams = pieces[0]
     for piece in pieces[1:]:
         grams = grams.unionByName(piece)

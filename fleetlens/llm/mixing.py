@@ -5,8 +5,8 @@ the mix a number of words: passes over all its blocks and, in a last pass, as ma
 permutation as make up the rest (the last of them cut to fit). The numbers of blocks that the sources owe
 are split exactly among the output shards: a tree halves the shards, and each half gets a multivariate
 hypergeometric share. A shard draws its blocks as disjoint ranges of the permuted blocks of each source and
-orders them by a hash of its own, the local shuffle. ``mixed_blocks`` gives the shards and their order;
-``mixed_sizes`` and ``mixed_documents`` sum the same draws up by document, whatever their shard.
+orders them by a hash of its own, the local shuffle; ties of hashes go by unit, pass and block. ``mixed_blocks`` gives the shards and
+their order, ``mixed_sizes`` sums the shards' draws up by document and ``mixed_documents`` puts the drawn blocks together again.
 
 Only totals per source pass through the driver. Sources are configuration-like (the weights name them), and
 more than ``MAX_SOURCES`` of them are refused; everything that grows with the rows stays distributed: ranks
@@ -14,7 +14,7 @@ in a source come from 4096 hash buckets per source, whose sums are added up, and
 
 Defined results: null and empty texts have no words and no blocks; a null source is a source of its own and
 comes last; equal rows are told apart by a copy number; an empty table gives an empty mix; a source without
-words has target 0.
+words has target 0; more than ``MAX_SOURCES`` sources are an error.
 """
 
 from __future__ import annotations
@@ -36,8 +36,7 @@ MOST = 2
 BLOCK_WORDS = 1024
 SHARDS = 8
 MAX_SOURCES = 100_000
-#: numpy draws hypergeometric numbers up to this total; beyond, the normal law with the same moments serves.
-DRAWN_EXACTLY = 10**9
+DEVIATIONS = 12
 
 
 def n_words(text: Column) -> Column:
@@ -62,15 +61,23 @@ def targets(sizes: Sequence[int], weights: Sequence[int], share: float = SHARE,
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
+    """How many of ``take`` blocks are good, by inversion: one law for totals of every size.
+
+    Chances are built up from the most likely number by their ratios. Those beyond ``DEVIATIONS`` standard deviations
+    sum up to less than a double can tell from nothing, so the table grows with the root of the total only.
+    """
     low, high = max(0, take - bad), min(good, take)
     if low == high:
         return low
     total = good + bad
-    if total < DRAWN_EXACTLY:
-        return int(rng.hypergeometric(good, bad, take))
-    mean = take * good / total
-    deviation = math.sqrt(mean * (bad / total) * ((total - take) / (total - 1)))
-    return int(min(high, max(low, round(rng.normal(mean, deviation)))))
+    mode = min(high, max(low, (take + 1) * (good + 1) // (total + 2)))
+    spread = take * (good / total) * (bad / total) * ((total - take) / max(total - 1, 1))
+    reach = int(DEVIATIONS * math.sqrt(spread)) + 50
+    low, high = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(low, high, dtype=np.float64)  # the ratio of the chances of k + 1 and k
+    logs = np.concatenate([[0.0], np.cumsum(np.log(good - k) + np.log(take - k) - np.log(k + 1) - np.log(bad - take + k + 1))])
+    chances = np.cumsum(np.exp(logs - logs.max()))
+    return low + int(np.searchsorted(chances, rng.random() * chances[-1], side="right"))
 
 
 def splitting_tree(quotas: Sequence[int], shards: int, seed: int) -> list[list[int]]:
@@ -173,13 +180,14 @@ def with_units(documents: DataFrame, key: list[str]) -> DataFrame:
 
 
 def mixed_sizes(documents: DataFrame) -> DataFrame:
-    """Per document, how many of its words the mix takes, repeats counted."""
+    """Per document, how many of its words the mix takes, repeats counted, in all and by shard (of those that take any)."""
     units = with_units(documents, ["doc_id"])
     drawn, sources = mix(units)
-    taken = drawn.groupBy("unit").agg(F.sum("words").alias("taken"))
+    by_shard = drawn.groupBy("unit", "shard").agg(F.sum("words").alias("words"))
+    taken = by_shard.groupBy("unit").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("shard", "words"))).alias("by_shard"))
     joined = units.join(taken, "unit", "left")
     return joined.join(sources, joined["source"].eqNullSafe(sources["source"])).select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken")
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "by_shard"
     )
 
 

@@ -19,7 +19,7 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
+    return mixing.mixed_sizes(table(spark, sf_dir, "documents")).drop("by_shard")
 
 
 def op3_mixing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
