@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 from operator import and_
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetlens.session import fresh_folder
+from fleetlens.session import fresh_folder, remove_folder
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words between blanks, tabs and line ends.
@@ -29,13 +30,29 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+#: Folders of tables written so far, for ``scratch``.
+_folders: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder: lineage ends there, and lost executors cost nothing."""
     path = fresh_folder(df.sparkSession, name)
+    _folders.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``written`` makes inside are removed at its end; results that read them must be written by then."""
+    before = len(_folders)
+    try:
+        yield
+    finally:
+        while len(_folders) > before:
+            remove_folder(spark, _folders.pop())
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, with underscores in front if the frame has such a column."""
     taken = {c.lower() for c in df.columns}
