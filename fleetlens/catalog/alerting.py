@@ -81,15 +81,10 @@ def accuracy(t: Tables) -> DataFrame:
     return alerts.accuracy_alerts(t.accuracy, ["model_id", "ts"]).drop("level")
 
 
-@query(
-    "alr_system",
-    f"""
-    SELECT instance, ts, type, level, value, threshold, message, count(*) AS n_models
-    FROM ({SYSTEM_SQL.replace("FROM ev)", "FROM snapshots)")}) GROUP BY ALL""",
-)
+@query("alr_system", SYSTEM_SQL)
 def system(t: Tables) -> DataFrame:
-    """Once per breach, with the number of models on the host."""
-    return alerts.system_alerts(t.snapshots, t.hosts)
+    """Once per breach and model on the host."""
+    return alerts.for_models(alerts.system_alerts(t.snapshots, t.hosts), t.snapshots)
 
 
 @query(
