@@ -16,8 +16,8 @@ their words. The first place of a run (smallest id, then place) stays; every par
 another place of a repeated run covers is removed. Runs shorter than that, single repeated lines for
 instance, are left alone.
 
-A run that many documents hold costs one row per place: places are counted and the first is found map-side,
-then joined back. Nothing is paired.
+A run that many documents hold costs one row per place: places are dealt by their hash once, counted and the
+first found where they lie, and joined back there. Nothing is paired.
 
 Defined results: null texts stay null, texts without words stay as they are; rows with equal id and text
 are one document and give equal rows; an exact copy under another id loses all that its runs cover. Blanks
@@ -214,11 +214,14 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     ``first_ids`` are the documents that hold the first places of what was removed.
     """
     rows = documents.select("doc_id", "text", F.xxhash64("text").alias("t"))
-    places = rows.mapInArrow(_hashed, "doc_id long, t long, first int, last int, h1 long, h2 long")
+    # dealt by their hashes once: counting and joining back read the same shuffle, which both need in the same columns
+    places = rows.mapInArrow(_hashed, "doc_id long, t long, first int, last int, h1 long, h2 long").repartition("h1", "h2")
     seen = places.groupBy("h1", "h2").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "t", "first")).alias("origin")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "t", "first", "last")).alias("origin")
+    )
+    again = places.join(seen.where("n > 1"), ["h1", "h2"]).where(
+        ~F.struct("doc_id", "t", "first").eqNullSafe(F.struct("origin.doc_id", "origin.t", "origin.first"))
     )
-    again = places.join(seen.where("n > 1"), ["h1", "h2"]).where(~F.struct("doc_id", "t", "first").eqNullSafe(F.col("origin")))
     again = again.groupBy("doc_id", "t").agg(
         F.collect_set(F.struct("first", "last")).alias("covered"), F.sort_array(F.collect_set("origin.doc_id")).alias("first_ids")
     )
